@@ -97,11 +97,11 @@ def add_lags(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     out = cold.withColumns({name: F.lag(col, i).over(w) for i, name in enumerate(names, 1)})
     if hot is not None:
         # Positions make the lag an equality join, which spreads one long series over all tasks.
-        rows = materialise(number_rows(hot, keys, order, "_pos"), "positions")
+        rows = materialise(number_rows(hot, keys, order, "_lag_at"), "positions")
         base = rows
         for i, name in enumerate(names, 1):
-            prev = base.select(*keys, (F.col("_pos") + i).alias("_pos"), F.col(col).alias(name))
-            rows = rows.join(prev, [*keys, "_pos"], "left")
+            prev = base.select(*keys, (F.col("_lag_at") + i).alias("_lag_at"), F.col(col).alias(name))
+            rows = rows.join(prev, [*keys, "_lag_at"], "left")
         out = out.unionByName(rows.select(*out.columns))
     return out.dropna(subset=names) if drop_incomplete else out
 

@@ -312,7 +312,7 @@ SELECT v_orgnr, id, CASE WHEN b_sysselsetting_syss = 0 THEN coalesce(inflation_r
  CASE WHEN b_sysselsetting_syss = 0 THEN coalesce(befolkning_delta_oms, 0) ELSE befolkning_delta_oms END AS befolkning_delta_oms,
  CASE WHEN b_sysselsetting_syss = 0 THEN coalesce(emp_delta_oms, 0) ELSE emp_delta_oms END AS emp_delta_oms,
  CASE WHEN b_sysselsetting_syss = 0 THEN coalesce(inntekt_delta_oms, 0) ELSE inntekt_delta_oms END AS inntekt_delta_oms FROM k WHERE rn = 1""",
-       dbl="inflation_rate_oms befolkning_delta_oms emp_delta_oms inntekt_delta_oms", digits=4)
+       dbl="inflation_rate_oms befolkning_delta_oms emp_delta_oms inntekt_delta_oms", digits=7)
 def growth_features(t):
     price = t.part.where("p_type <> 'SMALL'").groupBy(F.substring("p_type", 1, 5).alias("n4")).agg((1 + F.avg("p_size") / 100).alias("factor"))
     pop = t.supplier.groupBy("s_nationkey").agg((1 + F.avg("s_acctbal") / 100003).alias("factor"))
