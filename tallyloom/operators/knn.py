@@ -20,10 +20,6 @@ def _prepare(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequenc
     return distance_columns(train, train, num, cat, scaling), distance_columns(train, rows, num, cat, scaling)
 
 
-def _mean_of(near: DataFrame, id: str, y: str) -> DataFrame:
-    return near.groupBy(id).agg(F.avg(y).alias("predicted"))
-
-
 def knn_regress(train: DataFrame, to_impute: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int = 2,
                 scaler: str = "robust", exclude_same: bool = False) -> DataFrame:
     """``(id, predicted)``: mean y of the k nearest training rows in scaled + one-hot space.
@@ -62,14 +58,26 @@ def rolling_backtest(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: s
     return regression_metrics(df.select(id, time, y).join(pred, id), y, "predicted", [time])
 
 
-def knn_cv(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, ks: Sequence[int] = (2, 3, 5, 7),
-           folds: int = 5, scaler: str = "robust") -> DataFrame:
-    """Mean and deviation of the fold MAE for every k. Distances are computed once, for the largest k."""
+def _out_of_fold(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int, folds: int, scaler: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows with _fold, k nearest rows of the other folds with their _y)``; all folds in one job."""
     d = clean_features(df, num, cat)
     d = distance_columns(d, d, num, cat, fit_scaler(d, num, scaler)).withColumn("_fold", fold_of(F.col(id), folds))
     others = F.filter(F.array(*[F.lit(i) for i in range(folds)]), lambda f: f != F.col("_fold"))
     q = d.withColumn("_may", F.transform(others, lambda f: f.cast("string"))).withColumnRenamed(id, "_qid")
-    near = nearest(q, d.withColumnRenamed(y, "_y"), max(ks), "_qid", id, cats="cats", group="_fold", groups="_may", carry=["_y"])
+    return d, nearest(q, d.withColumnRenamed(y, "_y"), k, "_qid", id, cats="cats", group="_fold", groups="_may", carry=["_y"])
+
+
+def knn_out_of_fold(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int = 2, folds: int = 5,
+                    scaler: str = "robust") -> DataFrame:
+    """``(id, predicted)``: every row predicted from the other folds."""
+    _, near = _out_of_fold(df, num, cat, y, id, k, folds, scaler)
+    return near.groupBy(F.col("_qid").alias(id)).agg(F.avg("_y").alias("predicted"))
+
+
+def knn_cv(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, ks: Sequence[int] = (2, 3, 5, 7),
+           folds: int = 5, scaler: str = "robust") -> DataFrame:
+    """Mean and deviation of the fold MAE for every k. Distances are computed once, for the largest k."""
+    d, near = _out_of_fold(df, num, cat, y, id, max(ks), folds, scaler)
     by_k = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
     pred = by_k.groupBy(F.col("_qid").alias(id), "k").agg(F.avg("_y").alias("predicted"))
     fold = d.select(id, F.col(y), "_fold").join(pred, id).groupBy("k", "_fold").agg(F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("mae"))

@@ -19,8 +19,8 @@ from .aggregate import impute_simple
 from .clean import min_class_size
 from .features import clean_features, feature_pipeline, fit_scaler, fold_of, scaled
 from .hotdeck import in_share
-from .knn import knn_regress
-from .metrics import classification_report, regression_metrics
+from .knn import knn_out_of_fold, knn_regress
+from .metrics import classification_report
 from .nearest import nearest
 
 
@@ -81,13 +81,13 @@ def feature_importance(fitted: Fitted) -> DataFrame:
 def stack_regress(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int = 2, folds: int = 5,
                   ridge: float = 1.0) -> DataFrame:
     """``(id, predicted)``: ridge over out-of-fold kNN and linear predictions; applied to both models fitted on all rows."""
-    t = train.withColumn("_fold_no", fold_of(F.col(id), folds))
+    t = materialise(train, "train").withColumn("_fold_no", fold_of(F.col(id), folds))
     parts = None
     for f in range(folds):
         rest, held = t.where(F.col("_fold_no") != f), t.where(F.col("_fold_no") == f)
-        part = linear_regress(rest, num, cat, y).predict(held, "linear", clip=False).select(id, y, "linear") \
-            .join(knn_regress(rest, held, num, cat, y, id, k).withColumnRenamed("predicted", "knn"), id)
+        part = linear_regress(rest, num, cat, y).predict(held, "linear", clip=False).select(id, y, "linear")
         parts = part if parts is None else parts.unionByName(part)
+    parts = parts.join(knn_out_of_fold(t, num, cat, y, id, k, folds).withColumnRenamed("predicted", "knn"), id)
     meta = linear_regress(materialise(parts, "stack"), ["linear", "knn"], [], y, "standard", ridge)
     both = linear_regress(train, num, cat, y).predict(rows, "linear", clip=False).select(id, "linear") \
         .join(knn_regress(train, rows, num, cat, y, id, k).withColumnRenamed("predicted", "knn"), id)
@@ -115,10 +115,10 @@ def tree_classify(df: DataFrame, num: Sequence[str], cat: Sequence[str], label:
     scaling = fit_scaler(df, num, "none")
     pipe, cols = feature_pipeline(num, cat, scaling)
     ready = df.withColumns(cols)
-    indexer = StringIndexer(inputCol=label, outputCol="label", handleInvalid="error").fit(ready)
-    ready = materialise(pipe.fit(ready).transform(indexer.transform(ready)).select(id, F.col(label).alias("_label"), "label", "features")
+    indexer = StringIndexer(inputCol=label, outputCol="_index", handleInvalid="error").fit(ready)
+    ready = materialise(pipe.fit(ready).transform(indexer.transform(ready)).select(id, F.col(label).alias("_label"), "_index", "features")
                         .withColumn("_train", in_share(F.col(id), F.lit(seed), "cccc")), "classes")
-    model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(ready.where("_train"))
+    model = RandomForestClassifier(featuresCol="features", labelCol="_index", numTrees=trees, maxDepth=depth, seed=seed).fit(ready.where("_train"))
     out = model.transform(ready.where("NOT _train"))
     out = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels).transform(out) \
         .select(id, F.col("_label").alias("actual"), "predicted")
@@ -171,14 +171,14 @@ def learning_curve(df: DataFrame, fit_predict: Callable[[DataFrame, DataFrame],
 
     Training sets are nested: a row's hash decides from which fraction on it takes part.
     """
-    t = df.withColumn("_fold_no", fold_of(F.col(id), folds)).withColumn(
+    t = materialise(df, "curve").withColumn("_fold_no", fold_of(F.col(id), folds)).withColumn(
         "_u", F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit("curve"))), 1, 6), 16, 10).cast("double") / float(16 ** 6))
     out = None
     for frac in fractions:
         for f in range(folds):
             train = t.where((F.col("_fold_no") != f) & (F.col("_u") < frac)).drop("_fold_no", "_u")
             test = t.where(F.col("_fold_no") == f).drop("_fold_no", "_u")
-            part = regression_metrics(fit_predict(train, test), y, "predicted").select(
+            part = fit_predict(train, test).agg(F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("mae")).select(
                 F.lit(float(frac)).alias("fraction"), F.lit(f).alias("fold"), "mae")
             out = part if out is None else out.unionByName(part)
     return out.groupBy("fraction").agg(F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("sd_mae"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import count_char, whole_words
 
 
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("_words", lambda x: x == F.lit(word)))
+
+
 def term_counts(df: DataFrame, cols: Sequence[str], words: Sequence[str], char: str = "!", phrases: Sequence[str] = ()) -> DataFrame:
     """Per row: ``n_words``, ``n_<word>`` for every listed word, ``term_total``, ``n_char``, over all text columns together.
 
@@ -19,7 +23,7 @@ def term_counts(df: DataFrame, cols: Sequence[str], words: Sequence[str], char:
     text = F.concat_ws(" ", *[F.col(c) for c in dict.fromkeys(cols)])
     df = df.withColumns({"_text": text, "_words": whole_words(text)})
     wanted = [w.lower() for w in words]
-    counts = {f"n_{w}": F.size(F.filter("_words", lambda x, w=w: x == w)) for w in wanted}
+    counts = {f"n_{w}": _occurrences(w) for w in wanted}
     flat = F.array_join("_words", " ")
     counts |= {f"n_{p.replace(' ', '_')}": count_char(flat, p.lower()).cast("int") for p in phrases}
     out = df.withColumns(counts)

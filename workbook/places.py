@@ -13,10 +13,10 @@ WORDS = ["the", "et", "und", "de", "an"]
 
 
 def _n(w):
-    return f"CAST(len(list_filter(w, x -> x = '{w}')) AS INTEGER)"
+    return f"CAST(len(list_filter(w, lambda x: x = '{w}')) AS INTEGER)"
 
 
-COUNTS = f"""c AS (SELECT doc_id, lang, source, n_chars, text || ' ' || source AS t, list_filter(string_split_regex(lower(text || ' ' || source), '\\s+'), x -> x <> '') AS w FROM documents),
+COUNTS = f"""c AS (SELECT doc_id, lang, source, n_chars, text || ' ' || source AS t, list_filter(string_split_regex(lower(text || ' ' || source), '\\s+'), lambda x: x <> '') AS w FROM documents),
 k AS (SELECT doc_id, lang, source, {', '.join(f'{_n(w)} AS n_{w}' for w in WORDS)}, CAST(len(w) AS INTEGER) AS n_words, {' + '.join(_n(w) for w in WORDS)} AS term_total,
   CAST(length(t) - length(replace(t, '!', '')) AS INTEGER) AS n_char FROM c)"""
 
