@@ -80,10 +80,8 @@ def multi_level_totals(df: DataFrame, level_sets: Sequence[Sequence[str]], measu
 def impute_simple(df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str]) -> DataFrame:
     """Missing numbers to the exact median, missing codes to the most frequent (ties: smallest)."""
     if num_cols:
-        med = exact_percentiles(df, num_cols, [0.5])
-        for c in num_cols:
-            value = med.where(F.col("column") == c).select("p0").scalar()
-            df = df.withColumn(c, F.coalesce(F.col(c), value))
+        med = {r["column"]: r["p0"] for r in exact_percentiles(df, num_cols, [0.5]).collect()}  # one row per column
+        df = df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c])) for c in num_cols if c in med})
     for c in cat_cols:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).count()
         mode = counts.orderBy(F.desc("count"), "_v").limit(1).select("_v").scalar()

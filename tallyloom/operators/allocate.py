@@ -178,12 +178,12 @@ def enforce_minimum(df: DataFrame, keys: Sequence[str] = ("orgnr_n_1", "lopenr")
 
 
 def reconcile(df: DataFrame, key: str, value: str, total: str, tol: float = 1000.0, keep: str = "above",
-              totals: Totals | None = None) -> DataFrame:
+              totals: Totals | None = None, source: DataFrame | None = None) -> DataFrame:
     """Sum of allocated values beside the parent total; rows to check (``above`` tolerance), ``within``, or ``all``."""
     def step(part: DataFrame, t: Totals) -> DataFrame:
         part = t.add(part, [key], allocated=F.sum(value))
         return part.withColumn("difference", F.col(total) - F.col("allocated"))
-    out = by_group(df, [key], step, totals)
+    out = by_group(df, [key], step, totals, source)
     off = F.abs("difference") > tol
     if keep == "all":
         return out.withColumn("exact", F.col("difference") == 0)
@@ -219,5 +219,5 @@ def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str
         single = F.col("regtype") == "01"
         return part.withColumns({a: F.when(single, F.col(b)).otherwise(F.col(a)) for a, b in
                                  {OMS: T_OMS, cost: T_COST, "bedr_salgsint": "salgsint", "bedr_forbruk": "forbruk"}.items()})
-    out = by_group(df, keys[:1], step)
-    return reconcile(out, key, cost, T_COST, keep="all")
+    out = by_group(df, keys[:1], step, source=df.select(*keys))
+    return reconcile(out, key, cost, T_COST, keep="all", source=df)

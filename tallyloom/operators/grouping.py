@@ -48,12 +48,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, top.schema) if rows else None
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """``(ordinary rows, rows of hot groups or None)``. Without keys the whole table is one group."""
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None | str = "find") -> tuple[DataFrame, DataFrame | None]:
+    """``(ordinary rows, rows of hot groups or None)``. Without keys the whole table is one group.
+
+    ``hot``: the result of an earlier ``hot_keys`` on the same groups, to save the count.
+    """
     if not keys:
         big = df.count() > hot_rows(df)
         return (df.limit(0), df) if big else (df, None)
-    hot = hot_keys(df, keys)
+    if isinstance(hot, str):
+        hot = hot_keys(df, keys)
     if hot is None:
         return df, None
     cold = df.join(F.broadcast(hot), _null_safe(df, hot, keys), "left_anti")
@@ -105,14 +109,16 @@ Totals = WindowTotals | HotTotals
 Step = Callable[[DataFrame, Totals], DataFrame]
 
 
-def by_group(df: DataFrame, keys: Sequence[str], step: Step, totals: Totals | None = None) -> DataFrame:
+def by_group(df: DataFrame, keys: Sequence[str], step: Step, totals: Totals | None = None,
+             source: DataFrame | None = None) -> DataFrame:
     """Run ``step(rows, totals)`` on ordinary and on hot groups and put the rows together.
 
-    ``totals`` given: the caller has split already (a chain splits once, not once per operator).
+    ``totals`` given: the caller has split already (a chain splits once, not once per operator). ``source``: an
+    earlier table whose groups are at least as large and cheaper to count, such as one side before a join.
     """
     if totals is not None:
         return step(df, totals)
-    cold, warm = split_hot(df, keys)
+    cold, warm = split_hot(df, keys, hot_keys(source, keys) if source is not None and keys else "find")
     out = step(cold, WindowTotals())
     if warm is None:
         return out

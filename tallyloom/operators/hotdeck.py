@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse_number, safe_div
 from ..session import materialise
-from .grouping import first_rows
+from .grouping import hot_keys
 from .ordering import add_lags, running
 
 
@@ -39,13 +39,14 @@ def nearest_donors(queries: DataFrame, donors: DataFrame, levels: Sequence[str],
         return df.where(F.col("_code").isNotNull()).withColumn("_y", F.col("_x") * F.col("_side"))
 
     d = spread(donors, did, carry)
-    d = running(d, place, ["_y", "_id", "_row"], sums={"_pos": F.lit(1).cast("long")})
-    d = materialise(d.withColumn("_me", F.struct("_pos", "_id", "_x", "_row", *carry)), "donors")
+    hot = hot_keys(d, place)
+    d = running(d, place, ["_y", "_id", "_row"], sums={"_pos": F.lit(1).cast("long")}, hot=hot)
+    d = d.withColumn("_me", F.struct("_pos", "_id", "_x", "_row", *carry))
     # The next donor with another id: the neighbour where the id changes, carried back over the run.
     back = [F.col("_y").desc(), F.col("_id").desc(), F.col("_row").desc()]
-    d = add_lags(d, place, back, "_me", 1, drop_incomplete=False)
+    d = add_lags(d, place, back, "_me", 1, drop_incomplete=False, hot=hot)
     change = F.when(F.col("_me_lag1._id") != F.col("_id"), F.col("_me_lag1"))
-    d = running(d, place, back, lasts={"_next": change})
+    d = running(d, place, back, lasts={"_next": change}, hot=hot)
     deck = materialise(d.select(*place, "_pos", "_me", "_next", "_id"), "deck")
 
     # Queries and donors in one order. ``_kind`` puts a query behind equal donors on side +1 and before them on side -1,
@@ -71,12 +72,16 @@ def nearest_donors(queries: DataFrame, donors: DataFrame, levels: Sequence[str],
         .where(F.col("_p").isNotNull())
     found = found.select(*keys, F.col("_row").alias(qid), F.col("_lvl").alias("level"), F.abs(F.col("_p._x") - F.col("_x")).alias("distance"),
                          F.col("_p._id").alias("donor_id"), F.col("_p._row").alias("_drow"), *[F.col(f"_p.{c}").alias(c) for c in carry])
+    # At most levels x 2 sides x k rows per query from here on: one shuffle by query serves all three windows.
+    found = found.repartition(*keys, qid)
     best = ["distance", "donor_id", "_drow"]
-    found = first_rows(found, [*keys, qid, "level"], best, k)
+
+    def number(part: Sequence[str], order: Sequence[str]) -> Column:
+        return F.row_number().over(Window.partitionBy(*keys, qid, *part).orderBy(*order))
+    found = found.withColumn("_in", number(["level"], best)).where(F.col("_in") <= k)
     if not allow_repeat:
-        found = first_rows(found, [*keys, qid, "_drow"], ["level"], 1)
-    w = Window.partitionBy(*keys, qid).orderBy("level", *best)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_drow")
+        found = found.withColumn("_in", number(["_drow"], ["level"])).where("_in = 1")
+    return found.withColumn("rank", number([], ["level", *best])).where(F.col("rank") <= k).drop("_drow", "_in")
 
 
 def hot_deck(df: DataFrame, levels: Sequence[str], x: str, ratio: str, amount: str, id: str, row: str) -> DataFrame:

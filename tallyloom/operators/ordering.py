@@ -31,13 +31,14 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-            sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+            sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+            hot: DataFrame | None | str = "find") -> DataFrame:
     """Add running sums and last non-missing values, both up to and including the row.
 
     ``order`` must be a total order inside the group. ``sums={'rn': F.lit(1)}`` numbers the rows.
     """
     sums, lasts = sums or {}, lasts or {}
-    cold, hot = split_hot(df, keys)
+    cold, hot = split_hot(df, keys, hot)
 
     def local(part: DataFrame, extra: Sequence[str]) -> tuple[DataFrame, Window]:
         by = Window.partitionBy(*keys, *extra) if (keys or extra) else Window.partitionBy(F.lit(0))
@@ -89,10 +90,10 @@ def dense_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "ran
 
 
 def add_lags(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], col: str, n: int = 2,
-             drop_incomplete: bool = True) -> DataFrame:
+             drop_incomplete: bool = True, hot: DataFrame | None | str = "find") -> DataFrame:
     """``col_lag1 .. col_lagN``: values of the previous rows of the unit; incomplete rows dropped on request."""
     names = [f"{col}_lag{i}" for i in range(1, n + 1)]
-    cold, hot = split_hot(df, keys)
+    cold, hot = split_hot(df, keys, hot)
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*[_col(o) for o in order])
     out = cold.withColumns({name: F.lag(col, i).over(w) for i, name in enumerate(names, 1)})
     if hot is not None:

@@ -18,11 +18,13 @@ STEPS = {
 }
 
 
-def allocate_units(df: DataFrame, parent: str = "orgnr_n_1", until: str = "single_again") -> DataFrame:
+def allocate_units(df: DataFrame, parent: str = "orgnr_n_1", until: str = "single_again",
+                   source: DataFrame | None = None) -> DataFrame:
     """Impute cost, allocate cost, turnover, sales income and consumption, single units, minimum rule.
 
     The table is split into ordinary and hot parents once, by one count over the parent column; hand in a
-    written stage at scale, so that this pass reads that column only. ``until`` names the last step.
+    written stage at scale, or the unit table before its joins as ``source``, so that this pass reads that column
+    only. ``until`` names the last step.
     """
     df = a.fix_consumption(a.impute_by_margin(df))
 
@@ -32,4 +34,4 @@ def allocate_units(df: DataFrame, parent: str = "orgnr_n_1", until: str = "singl
             if name == until:
                 break
         return part
-    return by_group(df, [parent], chain)
+    return by_group(df, [parent], chain, source=source)

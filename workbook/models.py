@@ -181,10 +181,10 @@ def foreign_neighbours(t):
 
 
 @query("rescale_to_parent", """
-SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 1000 / nullif(sum(l_quantity * 1000) OVER (PARTITION BY o_orderkey), 0) * o_totalprice AS rescaled FROM lineitem JOIN orders ON l_orderkey = o_orderkey""", dbl="rescaled", digits=7)
+SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 1000 / nullif(sum(l_quantity * 1000) OVER (PARTITION BY o_orderkey), 0) * (o_totalprice * 0.7310585786::DOUBLE) AS rescaled FROM lineitem JOIN orders ON l_orderkey = o_orderkey""", dbl="rescaled", digits=5)
 def rescale_to_parent(t):
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("pred", F.col("l_quantity") * 1000)
-    return knn.rescale_to_parent(df, "pred", ["o_orderkey"], "o_totalprice").select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "rescaled")
+    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"pred": F.col("l_quantity") * 1000, "third": F.col("o_totalprice") * 0.7310585786})
+    return knn.rescale_to_parent(df, "pred", ["o_orderkey"], "third").select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "rescaled")
 
 
 # ---------------------------------------------------------------- hot deck

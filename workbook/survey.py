@@ -87,7 +87,7 @@ FROM k GROUP BY 1, 2""", dbl="turnover", digits=2)
 def reconciled_turnover(t):
     """Flagship: classify, scale to the parent totals, reconcile, and total by region and unit type."""
     good = classified(t).where(F.col("quality").isin("good", "good_turnover_only"))
-    checked = al.reconcile(good, "id", "new_oms", "total_oms", keep="all")
+    checked = al.reconcile(good, "id", "new_oms", "total_oms", keep="all", source=children(t))
     return checked.groupBy("region", "l_returnflag").agg(
         F.count(F.lit(1)).alias("units"), F.sum("new_oms").alias("turnover"),
         F.count_if(F.abs("difference") > 2).alias("units_to_check"))
@@ -139,6 +139,10 @@ def units(t):
             (total * 0.9).alias("salgsint"), F.when(prio == "3-MEDIUM", total * 500).otherwise(total * 0.5).alias("forbruk"))
 
 
+def unit_keys(t):
+    return t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("orgnr_n_1"))
+
+
 # The chain as SQL steps; each query below shows one of them.
 STEPS = f"""{BASE},
 s13 AS (SELECT * REPLACE (coalesce(gjeldende_driftsk_kr, coalesce(foretak_driftskostnad / nullif(foretak_omsetning, 0), 0) * new_oms, 0) AS gjeldende_driftsk_kr,
@@ -174,7 +178,7 @@ e19 AS (SELECT * REPLACE (CASE WHEN regtype = '01' THEN foretak_driftskostnad EL
 def upto(t, last: str | None):
     if last is None:
         return al.fix_consumption(al.impute_by_margin(units(t)))
-    return allocate_units(units(t), until=last)
+    return allocate_units(units(t), until=last, source=unit_keys(t))
 
 
 def step_query(name: str, last: str | None, table: str, cols: str):
@@ -196,14 +200,14 @@ step_query("enforce_minimum", "minimum", "s18", "thief new_drkost")
 @query("allocation_chain", f"""WITH {STEPS} SELECT {KEYS}, regtype, vhbed, new_oms, new_drkost, bedr_salgsint, bedr_forbruk FROM e19""",
        dbl="new_oms new_drkost bedr_salgsint bedr_forbruk")
 def allocation_chain(t):
-    return allocate_units(units(t)).select(*KEY, "regtype", "vhbed", "new_oms", "new_drkost", "bedr_salgsint", "bedr_forbruk")
+    return allocate_units(units(t), source=unit_keys(t)).select(*KEY, "regtype", "vhbed", "new_oms", "new_drkost", "bedr_salgsint", "bedr_forbruk")
 
 
 @query("reconcile", f"""
 WITH {STEPS} SELECT * FROM (SELECT {KEYS}, foretak_driftskostnad - sum(new_drkost) OVER (PARTITION BY id) AS difference FROM e19) WHERE abs(difference) > 1000""",
        dbl="difference")
 def reconcile(t):
-    return al.reconcile(allocate_units(units(t)), "id", "new_drkost", "foretak_driftskostnad").select(*KEY, "difference")
+    return al.reconcile(allocate_units(units(t), source=unit_keys(t)), "id", "new_drkost", "foretak_driftskostnad", source=unit_keys(t)).select(*KEY, "difference")
 
 
 @query("industry_cost_control", f"""
@@ -465,5 +469,5 @@ c AS (SELECT n3, sum(new_oms) AS child_oms, sum(new_drkost) AS child_drkost FROM
 SELECT n3, parent_oms, child_oms, parent_oms - coalesce(child_oms, 0) AS diff_oms, parent_drkost, child_drkost, parent_drkost - child_drkost AS diff_drkost FROM p LEFT JOIN c USING (n3)""",
        dbl="parent_oms child_oms diff_oms parent_drkost child_drkost diff_drkost", digits=0)
 def control_totals_n3(t):
-    e = allocate_units(units(t)).withColumn("n3", F.substring("nacef_5", 1, 4)).where(F.substring("nacef_5", 1, 2).isin("45", "46", "47"))
+    e = allocate_units(units(t), source=unit_keys(t)).withColumn("n3", F.substring("nacef_5", 1, 4)).where(F.substring("nacef_5", 1, 2).isin("45", "46", "47"))
     return control(e.where("radnr = 1"), e, ["n3"], {"oms": ("foretak_omsetning", "new_oms"), "drkost": ("foretak_driftskostnad", "new_drkost")})
