@@ -24,6 +24,10 @@ OMS, COST, NEW_COST = "new_oms", "gjeldende_driftsk_kr", "new_drkost"
 T_OMS, T_COST, SIZE = "foretak_omsetning", "foretak_driftskostnad", "b_sysselsetting_syss"
 
 
+def _list(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def impute_by_margin(df: DataFrame, cost: str = COST, oms: str = OMS, total_cost: str = T_COST,
                      total_oms: str = T_OMS) -> DataFrame:
     """Missing cost = own turnover x the parent's cost per turnover; units of parents without totals are dropped."""
@@ -32,7 +36,7 @@ def impute_by_margin(df: DataFrame, cost: str = COST, oms: str = OMS, total_cost
     return drop_zero_total(df, [total_oms, total_cost])
 
 
-def allocate_cost(df: DataFrame, key: str = "id", cost: str = COST, total: str = T_COST, wage_share: str = "lonn",
+def allocate_cost(df: DataFrame, key: str | Sequence[str] = "id", cost: str = COST, total: str = T_COST, wage_share: str = "lonn",
                   size: str = SIZE, oms: str = OMS, total_oms: str = T_OMS, fallbacks: bool = True, name: str = NEW_COST,
                   totals: Totals | None = None) -> DataFrame:
     """Parent cost by share of reported cost; if nothing is reported by wage share, else by employees.
@@ -40,7 +44,7 @@ def allocate_cost(df: DataFrame, key: str = "id", cost: str = COST, total: str =
     ``fallbacks=False``: share of reported cost only.
     """
     def step(part: DataFrame, t: Totals) -> DataFrame:
-        part = t.add(part, [key], _d=F.sum(cost), _s=F.sum(size))
+        part = t.add(part, _list(key), _d=F.sum(cost), _s=F.sum(size))
         none = F.coalesce(F.col("_d"), F.lit(0.0)) == 0
         share = safe_div(cost, "_d")
         if fallbacks:
@@ -51,10 +55,10 @@ def allocate_cost(df: DataFrame, key: str = "id", cost: str = COST, total: str =
         if fallbacks:
             part = part.withColumn(oms, F.when(F.col(total_oms) == 0, F.lit(0.0)).otherwise(F.col(oms)))
         return part.drop("_d", "_s")
-    return by_group(df, [key], step, totals)
+    return by_group(df, _list(key), step, totals)
 
 
-def allocate_with_helpers(df: DataFrame, key: str = "id", helper: Column | None = None, oms: str = OMS,
+def allocate_with_helpers(df: DataFrame, key: str | Sequence[str] = "id", helper: Column | None = None, oms: str = OMS,
                           cost: str = NEW_COST, total: str = T_OMS, wage_share: str = "lonn", size: str = SIZE,
                           totals: Totals | None = None) -> DataFrame:
     """Helper units turn over their cost; the rest of the parent's turnover is split among the others.
@@ -65,7 +69,7 @@ def allocate_with_helpers(df: DataFrame, key: str = "id", helper: Column | None
     wage = F.col(wage_share) / 100
 
     def step(part: DataFrame, t: Totals) -> DataFrame:
-        part = t.add(part, [key], _h=F.sum(F.when(helper, F.col(cost))), _all=F.sum(oms),
+        part = t.add(part, _list(key), _h=F.sum(F.when(helper, F.col(cost))), _all=F.sum(oms),
                      _n=F.sum(F.when(~helper, F.col(oms))), _w=F.sum(F.when(~helper, wage)),
                      _s=F.sum(F.when(~helper, F.col(size))))
         parent = zero_if_null(total)
@@ -76,7 +80,7 @@ def allocate_with_helpers(df: DataFrame, key: str = "id", helper: Column | None
             .when(n != 0, safe_div(F.col(oms), n)).otherwise(safe_div(size, "_s"))
         new = F.when(helper, F.col(cost)).otherwise(F.coalesce(share, F.lit(0.0)) * rest)
         return part.withColumn(oms, new).drop("_h", "_all", "_n", "_w", "_s")
-    return by_group(df, [key], step, totals)
+    return by_group(df, _list(key), step, totals)
 
 
 def flag_industry(df: DataFrame, code: str = "tmp_sn2007_5", parent: str = "orgnr_n_1", name: str = "vhbed",
@@ -132,17 +136,17 @@ def allocate_two_tier(df: DataFrame, keys: Sequence[str] = ("orgnr_n_1", "lopenr
     return by_group(df, keys[:1], step, totals)
 
 
-def override_single_units(df: DataFrame, key: str = "id", kind: str = "regtype",
+def override_single_units(df: DataFrame, key: str | Sequence[str] = "id", kind: str = "regtype",
                           figures: dict[str, str] | None = None, totals: Totals | None = None) -> DataFrame:
     """A single-unit type whose id repeats becomes multi-unit; true single units take the parent's figures."""
     figures = figures or {OMS: T_OMS, NEW_COST: T_COST, "bedr_salgsint": "salgsint", "bedr_forbruk": "forbruk"}
 
     def step(part: DataFrame, t: Totals) -> DataFrame:
-        part = t.add(part, [key], _n=F.count(F.lit(1)))
+        part = t.add(part, _list(key), _n=F.count(F.lit(1)))
         part = part.withColumn(kind, F.when((F.col(kind) == "01") & (F.col("_n") > 1), "02").otherwise(F.col(kind)))
         single = F.col(kind) == "01"
         return part.withColumns({a: F.when(single, F.col(b)).otherwise(F.col(a)) for a, b in figures.items()}).drop("_n")
-    return by_group(df, [key], step, totals)
+    return by_group(df, _list(key), step, totals)
 
 
 def enforce_minimum(df: DataFrame, keys: Sequence[str] = ("orgnr_n_1", "lopenr"), value: str = NEW_COST,

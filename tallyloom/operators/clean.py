@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip_low, finite, parse_number, safe_div
 from .grouping import Totals, by_group
+from .joins import join_unique
 from .ordering import number_rows
 
 
@@ -157,14 +158,13 @@ def encode_codes(df: DataFrame, col: str, order: str | None = None, name: str |
     codes = df.where(F.col(col).isNotNull()).groupBy(col).agg(
         F.min(order if order else F.lit(0)).alias("_first"))
     codes = number_rows(codes, [], ["_first", col], "_code")
-    codes = codes.select(F.col(col).alias("_label"), (F.col("_code") - 1).alias(name or f"{col}_code"))
-    return df.join(codes, df[col] == codes["_label"], "left").drop("_label")
+    return join_unique(df, codes.select(col, (F.col("_code") - 1).alias(name or f"{col}_code")), [col])
 
 
 def min_class_size(df: DataFrame, col: str, n: int) -> DataFrame:
-    """Rows of classes with at least ``n`` rows; the class list is aggregated map-side first."""
-    large = df.groupBy(col).count().where(F.col("count") >= n).select(F.col(col).alias("_class"))
-    return df.join(large, df[col] == large["_class"], "left_semi")
+    """Rows of classes with at least ``n`` rows."""
+    out = by_group(df, [col], lambda part, t: t.add(part, [col], _size=F.count(F.lit(1))))
+    return out.where(F.col("_size") >= n).drop("_size")
 
 
 def drop_zero_total(df: DataFrame, cols: Sequence[str]) -> DataFrame:

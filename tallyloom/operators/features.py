@@ -9,7 +9,9 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import by_group
 from .hotdeck import in_share
+from .joins import join_unique
 from .ordering import exact_percentiles, number_rows
 
 Scaling = Mapping[str, tuple[float, float]]
@@ -49,9 +51,9 @@ def distance_columns(train: DataFrame, df: DataFrame, num: Sequence[str], cat: S
     out = df.withColumn("vec", F.array(*[scaled(scaling, c) for c in num]) if num else F.array().cast("array<double>"))
     hashed = []
     for c in cat:
-        known = train.select(F.col(c).alias("_known")).distinct()
-        out = out.join(known, out[c] == known["_known"], "left")
-        out = out.withColumn("_h_" + c, F.when(F.col("_known").isNotNull(), F.xxhash64(c)).otherwise(F.lit(0))).drop("_known")
+        known = train.select(c).distinct().withColumn("_known", F.lit(True))
+        out = join_unique(out, known, [c])
+        out = out.withColumn("_h_" + c, F.when(F.col("_known"), F.xxhash64(c)).otherwise(F.lit(0))).drop("_known")
         hashed.append("_h_" + c)
     cats = F.array(*hashed).cast("array<bigint>") if hashed else F.array().cast("array<bigint>")
     return out.withColumn("cats", cats).drop(*hashed)
@@ -81,11 +83,10 @@ def split_rows(df: DataFrame, key: str, seed: object = 42, train_hex: str = "ccc
 def split_stratified(df: DataFrame, label: str, key: str, seed: object = 42, share: float = 0.8) -> DataFrame:
     """The same share of every class, in the order of the hash."""
     draw = df.withColumn("_m", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
-    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     out = number_rows(draw, [label], ["_m", key], "_rn")
-    out = out.join(sizes, out[label] == sizes["_l"])
+    out = by_group(out, [label], lambda part, t: t.add(part, [label], _n=F.count(F.lit(1))), source=df)
     return out.withColumn("part", F.when(F.col("_rn") <= F.floor(F.col("_n") * share + F.lit(1e-9)), "train").otherwise("test")) \
-        .drop("_m", "_rn", "_l", "_n")
+        .drop("_m", "_rn", "_n")
 
 
 def split_ordered(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Joins. Join strategy is left to Spark: it knows the sizes at run time (adaptive broadcast, skew split)."""
+"""Joins. Join strategy is left to Spark: it knows the sizes at run time (adaptive broadcast, skew split).
+
+Adaptive execution splits a skewed side only where both sides come straight from a shuffle. Where the other side
+is an aggregate (ids, means, updates: one row per key) ``join_unique`` takes the hot keys out instead.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import hot_keys, split_hot
+
 
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
     cond = F.lit(True)
@@ -27,6 +33,21 @@ def join_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(other, cond, how).drop(*["_r_" + k for k in keys])
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join to a table with one row per key. Rows of hot keys meet the at most HOT_LIMIT matching rows by
+    broadcast and are not shuffled; the others join as usual."""
+    keys = list(keys)
+    hot = hot_keys(left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    cold, warm = split_hot(left, keys, hot)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & right[k].eqNullSafe(hot["_hot_" + k])
+    few = right.join(F.broadcast(hot), cond, "left_semi")
+    return cold.join(right, keys, how).unionByName(warm.join(F.broadcast(few), keys, how))
+
+
 def anti_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` without an equal row in ``b``, over all common columns, missing equal to missing."""
     common = [c for c in a.columns if c in b.columns]
@@ -36,27 +57,27 @@ def anti_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, present: bool = True) -> DataFrame:
     """Rows whose key is (``present``) or is not in another table's ids."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
-    return df.join(wanted, df[key] == wanted["_id"], "left_semi" if present else "left_anti")
+    wanted = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+    return join_unique(df, wanted, [key], "left_semi" if present else "left_anti").select(*df.columns)
 
 
 def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, name: str) -> DataFrame:
     """Value from a table with one row per ``table_key``, by a differently named key."""
-    t = table.select(F.col(table_key).alias("_k"), F.col(value).alias(name))
-    return df.join(t, df[key] == t["_k"], "left").drop("_k")
+    t = table.select(F.col(table_key).alias(key), F.col(value).alias(name))
+    return join_unique(df, t, [key]).select(*df.columns, name)
 
 
 def update_from(df: DataFrame, updates: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Overwrite where an update value exists, else keep."""
+    """Overwrite where an update value exists, else keep. ``updates`` has one row per key."""
     u = updates.select(*keys, *[F.col(c).alias("_u_" + c) for c in cols])
-    return df.join(u, list(keys), "left").withColumns(
+    return join_unique(df, u, keys).withColumns(
         {c: F.coalesce(F.col("_u_" + c), F.col(c)) for c in cols}).select(*df.columns)
 
 
 def update_matched(df: DataFrame, updates: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Matched rows take the update (missing update: 0), unmatched rows keep their value."""
+    """Matched rows take the update (missing update: 0), unmatched rows keep their value. One update per key."""
     u = updates.select(*keys, F.col(col).alias("_new"), F.lit(True).alias("_matched"))
-    return df.join(u, list(keys), "left").withColumn(
+    return join_unique(df, u, keys).withColumn(
         col, F.when(F.col("_matched"), F.coalesce(F.col("_new"), F.lit(0))).otherwise(F.col(col))
     ).select(*df.columns)
 

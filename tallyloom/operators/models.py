@@ -19,6 +19,7 @@ from .aggregate import impute_simple
 from .clean import min_class_size
 from .features import clean_features, feature_pipeline, fit_scaler, fold_of, scaled
 from .hotdeck import in_share
+from .joins import join_unique
 from .knn import knn_out_of_fold, knn_regress
 from .metrics import classification_report
 from .nearest import nearest
@@ -99,7 +100,7 @@ def linear_by_group(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataF
     line = [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]
     per = df.groupBy(*keys).agg(*line, F.avg(y).alias("_mean"))
     pooled = df.agg(*line)
-    out = df.join(per, list(keys), "left").withColumns({
+    out = join_unique(df, per, keys).withColumns({
         "_own": F.coalesce(F.col("slope") * F.col(x) + F.col("intercept"), F.col("_mean")),
         "_all": pooled.select("slope").scalar() * F.col(x) + pooled.select("intercept").scalar()})
     errors = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(y) - F.col("_own"))).alias("mae_group"),
