@@ -1 +1,2 @@
 from .allocation import allocate_units  # noqa: F401
+from .production import classify_year, collect_units, produce  # noqa: F401

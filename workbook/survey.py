@@ -12,7 +12,8 @@ from tallyloom.operators import allocate as al
 from tallyloom.operators import factors, publish, training
 from tallyloom.operators.aggregate import control_totals as control
 from tallyloom.operators.classify import classify_responses, scale_to_total
-from tallyloom.plans import allocate_units
+from tallyloom.plans import allocate_units, produce
+from tallyloom.session import materialise
 
 from .registry import query
 
@@ -144,10 +145,9 @@ def unit_keys(t):
 
 
 # The chain as SQL steps; each query below shows one of them.
-STEPS = f"""{BASE},
-s13 AS (SELECT * REPLACE (coalesce(gjeldende_driftsk_kr, coalesce(foretak_driftskostnad / nullif(foretak_omsetning, 0), 0) * new_oms, 0) AS gjeldende_driftsk_kr,
+CHAIN = """s13 AS (SELECT * REPLACE (coalesce(gjeldende_driftsk_kr, coalesce(foretak_driftskostnad / nullif(foretak_omsetning, 0), 0) * new_oms, 0) AS gjeldende_driftsk_kr,
     CASE WHEN forbruk > foretak_driftskostnad THEN forbruk / 1000 ELSE forbruk END AS forbruk)
-  FROM b WHERE foretak_omsetning <> 0 AND foretak_driftskostnad <> 0),
+  FROM @source WHERE foretak_omsetning <> 0 AND foretak_driftskostnad <> 0),
 a14 AS (SELECT *, sum(gjeldende_driftsk_kr) OVER w AS d, sum(b_sysselsetting_syss) OVER w AS ss FROM s13 WINDOW w AS (PARTITION BY id)),
 b14 AS (SELECT *, coalesce(CASE WHEN d = 0 THEN lonn / 100 ELSE gjeldende_driftsk_kr / nullif(d, 0) END, 0) AS sh FROM a14),
 s14 AS (SELECT *, round_even(CASE WHEN d = 0 AND sh = 0 THEN b_sysselsetting_syss / nullif(ss, 0) ELSE sh END, 10) * foretak_driftskostnad AS new_drkost FROM b14),
@@ -173,6 +173,7 @@ b18 AS (SELECT *, CAST(hv < fl AS INTEGER) AS thief, abs(hv - fl) AS uu FROM a18
 c18 AS (SELECT *, max(thief) OVER (PARTITION BY orgnr_n_1) AS anyt, sum(CASE WHEN thief = 0 THEN uu END) OVER w AS u0, sum(CASE WHEN thief = 1 THEN uu END) OVER w AS u1 FROM b18 WINDOW w AS (PARTITION BY orgnr_n_1, lopenr)),
 s18 AS (SELECT * REPLACE (CASE WHEN anyt = 1 THEN CASE WHEN thief = 1 THEN fl ELSE coalesce(hv - round_even(uu / nullif(u0, 0) * u1, 0), hv) END ELSE hv END AS new_drkost) FROM c18),
 e19 AS (SELECT * REPLACE (CASE WHEN regtype = '01' THEN foretak_driftskostnad ELSE new_drkost END AS new_drkost) FROM s18)"""
+STEPS = BASE + ",\n" + CHAIN.replace("@source", "b")
 
 
 def upto(t, last: str | None):
@@ -471,3 +472,32 @@ SELECT n3, parent_oms, child_oms, parent_oms - coalesce(child_oms, 0) AS diff_om
 def control_totals_n3(t):
     e = allocate_units(units(t), source=unit_keys(t)).withColumn("n3", F.substring("nacef_5", 1, 4)).where(F.substring("nacef_5", 1, 2).isin("45", "46", "47"))
     return control(e.where("radnr = 1"), e, ["n3"], {"oms": ("foretak_omsetning", "new_oms"), "drkost": ("foretak_driftskostnad", "new_drkost")})
+
+
+# ---------------------------------------------------------------- the whole run
+
+@query("end_to_end", f"""
+WITH {BY_RATE}, {BASE},
+w AS (SELECT b.* REPLACE (z.new_oms AS new_oms), z.quality, CAST(year(o_orderdate) AS INTEGER) AS year, b.l_partkey || '-' || b.l_suppkey || '-' || b.l_linenumber AS v_orgnr, b_sysselsetting_syss AS gjeldende_bdr_syss
+  FROM b JOIN z ON b.id = z.id AND b.l_linenumber = z.l_linenumber AND b.l_partkey = z.l_partkey AND b.l_suppkey = z.l_suppkey JOIN orders ON b.id = o_orderkey),
+bad AS (SELECT *, v_orgnr || '|' || id || '|' || year AS row FROM w WHERE year = 2000 AND quality = 'bad'), good AS (SELECT * FROM w WHERE year = 2000 AND quality <> 'bad' AND id NOT IN (SELECT id FROM bad)),
+train AS (SELECT *, v_orgnr || '|' || id || '|' || year AS row FROM w WHERE v_orgnr NOT IN (SELECT v_orgnr FROM bad) AND new_oms IS NOT NULL),
+par AS (SELECT quantile_cont(b_sysselsetting_syss, 0.5) AS m1, quantile_cont(b_sysselsetting_syss, 0.75) - quantile_cont(b_sysselsetting_syss, 0.25) AS q1,
+  quantile_cont(gjeldende_lonn_kr, 0.5) AS m2, quantile_cont(gjeldende_lonn_kr, 0.75) - quantile_cont(gjeldende_lonn_kr, 0.25) AS q2 FROM train),
+za AS (SELECT row, (b_sysselsetting_syss - m1) / q1 AS f1, (gjeldende_lonn_kr - m2) / q2 AS f2, tmp_sn2007_5 AS code FROM bad, par),
+zb AS (SELECT row, (b_sysselsetting_syss - m1) / q1 AS f1, (gjeldende_lonn_kr - m2) / q2 AS f2, tmp_sn2007_5 AS code, new_oms AS y FROM train, par),
+near AS (SELECT za.row, arg_min(zb.y, (round((za.f1 - zb.f1) * (za.f1 - zb.f1) + (za.f2 - zb.f2) * (za.f2 - zb.f2) + CASE WHEN za.code <> zb.code THEN 2 ELSE 0 END, 9), zb.row), 2) AS best FROM za, zb GROUP BY 1),
+pred AS (SELECT row, list_avg(best) AS predicted FROM near),
+o AS (SELECT {KEYS}, regtype, orgnr_n_1, lopenr, radnr, tmp_sn2007_5, nacef_5, foretak_omsetning, foretak_driftskostnad, new_oms, gjeldende_driftsk_kr, lonn, gjeldende_lonn_kr, b_sysselsetting_syss, salgsint, forbruk FROM good
+  UNION ALL SELECT {KEYS}, regtype, orgnr_n_1, lopenr, radnr, tmp_sn2007_5, nacef_5, foretak_omsetning, foretak_driftskostnad, greatest(predicted, 0), gjeldende_driftsk_kr, lonn, gjeldende_lonn_kr, b_sysselsetting_syss, salgsint, forbruk FROM bad LEFT JOIN pred USING (row)),
+{CHAIN.replace("@source", "o")}
+SELECT {KEYS}, regtype, new_oms, new_drkost, bedr_salgsint, bedr_forbruk FROM e19""", dbl="new_oms new_drkost bedr_salgsint bedr_forbruk")
+def end_to_end(t):
+    """Classify, impute this year's bad answers by nearest neighbours, allocate and reconcile."""
+    marks = classified(t).select(*KEY, "quality", F.col("new_oms").alias("_oms"))
+    year = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"))
+    panel = units(t).drop("new_oms").join(marks, KEY).join(year, "id").withColumns({
+        "new_oms": F.col("_oms"), "v_orgnr": F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber"), "gjeldende_bdr_syss": F.col("b_sysselsetting_syss"),
+        "b_kommunenr": F.lit(None).cast("string")}).drop("_oms")
+    out = produce(materialise(panel, "panel"), 2000, ["45", "46", "47", "68"], ["b_sysselsetting_syss", "gjeldende_lonn_kr"], ["tmp_sn2007_5"])
+    return out["units"].select(*KEY, "regtype", "new_oms", "new_drkost", "bedr_salgsint", "bedr_forbruk")
