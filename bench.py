@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from workbook import QUERIES
 
 HEADLINE = [
-    "reconciled_turnover", "allocation_chain", "enforce_minimum", "industry_cost_control", "eav_pivot", "collect_periods",
+    "reconciled_turnover", "end_to_end", "allocation_chain", "enforce_minimum", "industry_cost_control", "eav_pivot", "collect_periods",
     "group_total", "concentration_curve", "multi_level_totals", "linear_trend", "growth_features", "productivity_features",
     "training_sets", "history_series", "hot_deck", "hot_deck_bootstrap", "knn_regress", "knn_impute", "rolling_backtest",
     "regression_metrics", "text_term_counts", "points_in_polygons", "od_costs", "gbt_regress",

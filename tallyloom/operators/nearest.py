@@ -2,11 +2,13 @@
 
 Neither side is broadcast and no pairs are emitted beyond the k best per block:
 
-1. a fixed number of donor rows become pivots; each donor goes to the cell of its nearest pivot, and per cell the
-   row count, the radius and the k smallest pivot distances are kept (a table of at most groups x pivots rows);
-2. for each query the triangle inequality gives an upper bound of its k-th distance and, per cell, a lower bound;
-   the query is sent only to cells that can hold one of its k nearest;
-3. cells are cut into donor blocks and query chunks of bounded size, so a cell holding a third of all rows is spread
+1. a fixed number of donor rows become pivots; each donor goes to the cell of its nearest pivot. Large cells are cut
+   into rings by distance to the pivot. Row counts and bounds per ring and the k smallest pivot distances per cell
+   are kept: at most groups x MAX_PIVOTS x MAX_RINGS rows, whatever the number of donors;
+2. for each query the triangle inequality gives an upper bound of its k-th distance and, per cell and ring, a lower
+   bound; the query is sent only to rings that can hold one of its k nearest. Where cells have rings, one block close to
+   the query is searched first and its k-th distance found there is the bound, which is much tighter;
+3. rings are cut into donor blocks and query chunks of bounded size, so a cell holding a third of all rows is spread
    over many tasks; each (block, chunk) pair is compared with numpy and sends k rows per query;
 4. the k best over all blocks are kept (group limit before the shuffle).
 
@@ -30,6 +32,7 @@ from .grouping import first_rows
 
 BLOCK_ROWS = 4096      # donors, and queries, compared in one task step
 MAX_PIVOTS = 1024
+MAX_RINGS = 256        # per cell
 SAMPLE_ROWS = 200_000  # queries looked at when sizing the chunks
 
 
@@ -96,76 +99,90 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
 
     a = materialise(d.mapInPandas(assign, T.StructType(
         [*d.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_pd", T.DoubleType())])), "assigned")
+    # ---- cells and rings: small tables on the driver, bounded by groups x pivots (x rings)
     near = first_rows(a.select("_g", "_cell", "_pd"), ["_g", "_cell"], ["_pd"], need) \
         .groupBy("_g", "_cell").agg(F.sort_array(F.collect_list("_pd")).alias("near"))
     cells = a.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_pd").alias("radius")) \
-        .join(near, ["_g", "_cell"]).orderBy("_g", "_cell").collect()  # groups x pivots rows
-    c_group = np.array([r["_g"] for r in cells], dtype=object)
-    c_pivot = np.array([r["_cell"] for r in cells], dtype=np.int64)
-    c_radius = np.array([r["radius"] for r in cells])
-    c_blocks = np.array([-(-r["n"] // block_rows) for r in cells], dtype=np.int64)
-    c_near = np.full((len(cells), need), np.inf)
+        .join(near, ["_g", "_cell"]).orderBy("_g", "_cell").collect()
+    index = {(r["_g"], r["_cell"]): i for i, r in enumerate(cells)}
+    cell_group = np.array([r["_g"] for r in cells], dtype=object)
+    cell_pivot = np.array([r["_cell"] for r in cells], dtype=np.int64)
+    radius = np.array([r["radius"] for r in cells])
+    cell_near = np.full((len(cells), need), np.inf)
     for i, r in enumerate(cells):
-        c_near[i, :len(r["near"])] = r["near"]
-    by_group = {g: np.flatnonzero(c_group == g) for g in set(c_group.tolist())}
+        cell_near[i, :len(r["near"])] = r["near"]
+    by_group = {g: np.flatnonzero(cell_group == g) for g in set(cell_group.tolist())}
+    n_rings = min(MAX_RINGS, max(-(-r["n"] // block_rows) for r in cells))
+    cuts = [np.zeros(0)] * len(cells)
+    if n_rings > 1:
+        # Approximate cuts are good enough: they decide how even the rings are, not what is found.
+        probs = F.array(*[F.lit(i / n_rings) for i in range(1, n_rings)])
+        for r in a.groupBy("_g", "_cell").agg(F.percentile_approx("_pd", probs, 1000).alias("cuts")).collect():
+            cuts[index[(r["_g"], r["_cell"])]] = np.array(r["cuts"])
 
-    def candidates(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, slots): every cell that may hold one of the row's nearest."""
+    def place(pdf: pd.DataFrame) -> np.ndarray:
+        """Ring number (cell x n_rings + ring) of each donor."""
+        cell = np.array([index[x] for x in zip(pdf["_g"], pdf["_cell"])], dtype=np.int64)
+        ring = np.zeros(len(pdf), dtype=np.int64)
+        if n_rings > 1:
+            dist = pdf["_pd"].to_numpy()
+            for c in np.unique(cell):
+                at = cell == c
+                ring[at] = np.searchsorted(cuts[c], dist[at])
+        return cell * n_rings + ring
+
+    def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"_slot": place(pdf).astype(np.int32), "_pd": pdf["_pd"]})
+
+    rings = a.select("_g", "_cell", "_pd").mapInPandas(slots_of, "_slot int, _pd double").groupBy("_slot").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_pd").alias("lo"), F.max("_pd").alias("hi")).collect()
+    low, high = np.full(len(cells) * n_rings, np.inf), np.full(len(cells) * n_rings, -np.inf)
+    blocks = np.zeros(len(cells) * n_rings, dtype=np.int64)
+    for r in rings:
+        low[r["_slot"]], high[r["_slot"]], blocks[r["_slot"]] = r["lo"], r["hi"], -(-r["n"] // block_rows)
+
+    def candidates(pdf: pd.DataFrame, home: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, slots): every ring that may hold one of the row's nearest, or (``home``) one close ring."""
         v, c = _matrix(pdf["_v"]), _matrix(pdf["_c"], np.int64)
+        given = pdf["_bound"].fillna(np.inf).to_numpy() if "_bound" in pdf else np.full(len(pdf), np.inf)
         rows_out, slots_out = [], []
         labels = pd.Series([tuple(sorted(x)) for x in pdf["_gs"]])
-        for label, index in labels.groupby(labels).groups.items():
+        for label, members in labels.groupby(labels).groups.items():
             found = [by_group[g] for g in label if g in by_group]
             if not found:
                 continue
-            slots, index = np.concatenate(found), np.asarray(index)
-            for s in range(0, len(index), 256):
-                rows = index[s:s + 256]
-                dist = np.sqrt(_sq_dist(v[rows], c[rows], pv, pc))[:, c_pivot[slots]]
-                upper = (dist[:, :, None] + c_near[slots][None]).reshape(len(rows), -1)
+            own, members = np.concatenate(found), np.asarray(members)
+            for s in range(0, len(members), 128):
+                rows = members[s:s + 128]
+                dist = np.sqrt(_sq_dist(v[rows], c[rows], pv, pc))[:, cell_pivot[own]]
+                upper = (dist[:, :, None] + cell_near[own][None]).reshape(len(rows), -1)
                 bound = np.partition(upper, need - 1, axis=1)[:, need - 1] if upper.shape[1] >= need \
                     else np.full(len(rows), np.inf)
-                slack = 1e-7 * (1.0 + np.where(np.isfinite(bound), bound, 0.0))
-                keep = dist - c_radius[slots][None] <= (bound + slack)[:, None]
-                r, z = np.nonzero(keep)
-                rows_out.append(rows[r])
-                slots_out.append(slots[z])
+                bound = np.minimum(bound, given[rows])
+                bound = bound + 1e-7 * (1.0 + np.where(np.isfinite(bound), bound, 0.0))
+                if home:
+                    r, z = np.arange(len(rows)), dist.argmin(axis=1)
+                else:
+                    r, z = np.nonzero(dist - radius[own][None] <= bound[:, None])
+                slot = (own[z] * n_rings)[:, None] + np.arange(n_rings)[None]
+                away = np.maximum(dist[r, z][:, None] - high[slot], low[slot] - dist[r, z][:, None])
+                if home:
+                    pick = away.argmin(axis=1)
+                    rows_out.append(rows)
+                    slots_out.append(slot[r, pick])
+                else:
+                    i, j = np.nonzero(away <= bound[r][:, None])
+                    rows_out.append(rows[r[i]])
+                    slots_out.append(slot[i, j])
         if not rows_out:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate(rows_out), np.concatenate(slots_out)
 
-    def slots_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            _, slots = candidates(pdf)
-            yield pd.DataFrame({"_slot": slots.astype(np.int32)})
-
-    # How many queries go to each cell, from a hash sample when there are many. This only sizes the chunks.
     n_queries = q.count()
     modulus = max(1, -(-n_queries // SAMPLE_ROWS))
-    load = q.where(F.col("_h") % modulus == 0).mapInPandas(slots_only, "_slot int").groupBy("_slot").count().collect()
-    c_chunks = np.ones(len(cells), dtype=np.int64)
-    for r in load:
-        c_chunks[r["_slot"]] = max(1, -(-r["count"] * modulus // block_rows))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, slots = candidates(pdf)
-            times = c_blocks[slots]
-            rows, slots = np.repeat(rows, times), np.repeat(slots, times)
-            block = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-            out = pdf[["_q", "_v", "_c"]].iloc[rows].reset_index(drop=True)
-            out["_slot"], out["_block"] = slots.astype(np.int32), block.astype(np.int32)
-            out["_chunk"] = (pdf["_h"].to_numpy()[rows] % c_chunks[slots]).astype(np.int32)
-            yield out
-
     at = [T.StructField(n, T.IntegerType()) for n in ("_slot", "_block", "_chunk")]
-    routed = q.mapInPandas(route, T.StructType([q.schema["_q"], q.schema["_v"], q.schema["_c"], *at]))
-    table = spark.createDataFrame(  # groups x pivots rows
-        [(str(r["_g"]), int(r["_cell"]), i, int(c_blocks[i]), int(c_chunks[i])) for i, r in enumerate(cells)],
-        "_g string, _cell int, _slot int, _nb int, _nc int")
-    spread = a.join(F.broadcast(table), ["_g", "_cell"]).select(
-        "_d", "_v", "_c", *carry, "_slot", F.pmod(F.xxhash64("_d"), F.col("_nb")).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_chunk"))
+    hashed = a.withColumn("_h", F.abs(F.xxhash64("_d").bitwiseAND(F.lit((1 << 31) - 1))))
 
     carry = list(carry)
 
@@ -188,10 +205,51 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
             parts.append(out[np.isfinite(dist)])
         return pd.concat(parts, ignore_index=True)
 
-    keys = ["_slot", "_block", "_chunk"]
-    pairs = routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(compare, result_schema)
-    best = _top(pairs, k)
-    return _named(best, qid, did, carry)
+    def search(rows: DataFrame, home: bool) -> DataFrame:
+        """Compare queries with the blocks they are sent to: k best donors per query and block."""
+        def slots_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"_slot": candidates(pdf, home)[1].astype(np.int32)})
+
+        # How many queries go to each ring, from a hash sample when there are many. This only sizes the chunks.
+        load = rows.where(F.col("_h") % modulus == 0).mapInPandas(slots_only, "_slot int").groupBy("_slot").count().collect()
+        chunks = np.ones(len(blocks), dtype=np.int64)
+        for r in load:
+            chunks[r["_slot"]] = max(1, -(-r["count"] * modulus // block_rows))
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                row, slot = candidates(pdf, home)
+                times = np.minimum(blocks[slot], 1) if home else blocks[slot]
+                row, slot = np.repeat(row, times), np.repeat(slot, times)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                out = pdf[["_q", "_v", "_c"]].iloc[row].reset_index(drop=True)
+                out["_slot"], out["_block"] = slot.astype(np.int32), block.astype(np.int32)
+                out["_chunk"] = (pdf["_h"].to_numpy()[row] % chunks[slot]).astype(np.int32)
+                yield out
+
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                slot, h = place(pdf), pdf["_h"].to_numpy()
+                block, times = h % blocks[slot], chunks[slot]
+                if home:
+                    times = np.where(block == 0, times, 0)
+                row = np.repeat(np.arange(len(pdf)), times)
+                out = pdf[["_d", "_v", "_c", *carry]].iloc[row].reset_index(drop=True)
+                out["_slot"], out["_block"] = slot[row].astype(np.int32), block[row].astype(np.int32)
+                out["_chunk"] = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+                yield out
+
+        routed = rows.mapInPandas(route, T.StructType([q.schema["_q"], q.schema["_v"], q.schema["_c"], *at]))
+        spreaded = hashed.mapInPandas(spread, T.StructType(
+            [d.schema["_d"], d.schema["_v"], d.schema["_c"], *[d.schema[c] for c in carry], *at]))
+        keys = ["_slot", "_block", "_chunk"]
+        return routed.groupBy(*keys).cogroup(spreaded.groupBy(*keys)).applyInPandas(compare, result_schema)
+
+    if n_rings > 1:
+        first = _top(search(q, True), k).where(F.col("rank") == k).select("_q", F.col("_dist").alias("_bound"))
+        q = materialise(q.join(first, "_q", "left"), "queries")
+    return _named(_top(search(q, False), k), qid, did, carry)
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:

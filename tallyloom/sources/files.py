@@ -80,7 +80,7 @@ def write_partitioned(df: DataFrame, base: str, keys: Sequence[str] = (), mode:
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = False) -> DataFrame:
     """Compute and save a stage, or reload it when it is there and ``reuse`` is set; either way read from file.
 
-    A stage that was cut off while writing has no ``_SUCCESS`` file: its read fails or it is rebuilt.
+    Parquet files appear when the write job commits, so a stage that was cut off is rebuilt, not half read.
     """
     if reuse:
         try:
