@@ -544,7 +544,7 @@ WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, p_type AS n3, c_na
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey)
 SELECT year, n3, region, CAST(CASE WHEN grouping(region) = 1 THEN 0 ELSE 1 END AS INTEGER) AS level, sum(oms) AS oms, sum(syss) AS syss,
   sum(oms) / nullif(sum(syss), 0) AS oms_pr_syss FROM s GROUP BY GROUPING SETS ((year, n3), (year, n3, region))""",
-       dbl="oms syss oms_pr_syss", digits=2)
+       dbl="oms syss oms_pr_syss", digits=6)
 def multi_level_totals(t):
     return agg.multi_level_totals(sales(t), [["year", "n3"], ["year", "n3", "region"]], ["oms", "syss"],
                                   {"oms_pr_syss": ("oms", "syss")})

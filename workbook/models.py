@@ -236,7 +236,7 @@ n AS (SELECT a.row, 0 AS lvl, abs(a.x - b.x) AS dist, b.id AS did, b.row AS drow
   SELECT a.row, 1, abs(a.x - b.x), b.id, b.row, b.ratio FROM q a JOIN d b ON a.c2 = b.c2 AND a.id <> b.id),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row, drow ORDER BY lvl) AS f FROM n) WHERE f = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY lvl, dist, did, drow) AS rn FROM u), m AS (SELECT row, avg(ratio) AS donor_ratio, count(*) AS donors FROM r WHERE rn <= 3 GROUP BY 1)
-SELECT q.row, donors, donor_ratio * x AS predicted FROM q LEFT JOIN m ON q.row = m.row""", dbl="predicted", digits=4)
+SELECT q.row, donors, donor_ratio * x AS predicted FROM q LEFT JOIN m ON q.row = m.row""", dbl="predicted", digits=7)
 def hot_deck_k(t):
     n = t.nation.select("n_nationkey", F.col("n_regionkey").cast("string").alias("c2"))
     d = t.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
