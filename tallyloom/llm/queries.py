@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import tune
-from . import exact, mixing, near, packing, sharding, toxicity
+from . import exact, mixing, near, packing, sharding, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(_docs(spark, sf_dir), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -36,7 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pack, op4_minhash, op7_toxicity, op9_mix_sources, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pack, op4_minhash, op5_repeats, op7_toxicity, op9_mix_sources, op10_sharding)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
