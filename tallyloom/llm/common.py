@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tune
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A word: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings: those of the library, and few rows per Arrow batch, because texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    return tune(spark)
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, UPPER, LOWER)

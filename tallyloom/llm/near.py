@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.network import connected_components
 from ..session import materialise
 from .common import fresh, numbered, text_or_empty
-from .words import shingle_sets
+from .words import regroup, shingle_sets
 
 TEXT_BYTES = 8 << 20   # texts are hashed in groups of about this size
 BLOCK = 1024           # postings longer than this are compared in pairs of blocks
@@ -32,18 +32,6 @@ def match_threshold(coordinates: int, percent: int, missed: float = 1e-6) -> int
     return max(1, t)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts have about TEXT_BYTES together, one text at least."""
-    import pyarrow.compute as pc
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        total, at = np.concatenate([[0], np.cumsum(sizes)]), 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + TEXT_BYTES, "right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def signatures(docs: DataFrame, words: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, _row, n, fp, sig)``: size, fingerprint and MinHash signature of each document's shingle set; null fp and sig for empty sets."""
     rng = np.random.default_rng(20240501)
@@ -51,7 +39,7 @@ def signatures(docs: DataFrame, words: int, coordinates: int, id_col: str, text_
     flip = rng.integers(0, 1 << 63, coordinates, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 2):
+        for batch in regroup(batches, 2, TEXT_BYTES):
             n, fp, sig = [], [], []
             for s in shingle_sets(batch.column(2), words):
                 n.append(len(s))
@@ -84,7 +72,7 @@ def _alike(a: str, b: str, percent: int) -> str:
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough; ``texts`` is ``(node, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 2):
+        for batch in regroup(batches, 2, TEXT_BYTES):
             both = zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True)
             keep = []
             for x, y in both:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import numbered
+from .common import numbered, text_or_empty
+from .words import regroup
 
 #: Text in which a blank stands before more white space, or at the end. Such texts are encoded whole; in all others every
 #: blank begins a new word for the tokenizer, so a text's ids are those of its blank-separated words one after the other.
@@ -88,30 +89,24 @@ def pieces(docs: DataFrame, capacity: int, path: str | None, end_id: int, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         encoder = Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
-        for batch in batches:
-            size = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))])
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, size[at] + TEXT_BYTES, "right")) - 1)
-                part = batch.slice(at, to - at)
-                at = to
-                ids, counts = encode(encoder, part.column(1))
-                out: list[list[int]] = [[], [], [], [], []]
-                begin = 0
-                for row, n in enumerate(counts.tolist()):
-                    doc = np.append(ids[begin:begin + n], np.uint32(end_id)).astype("<u4")
-                    begin += n
-                    start, number = 0, 0
-                    while start < n + 1:
-                        length = (n + 1) % capacity or capacity if not start else capacity
-                        for col, v in zip(out, (row, number, start, length, zlib.crc32(doc[start:start + length].tobytes())), strict=True):
-                            col.append(v)
-                        start, number = start + length, number + 1
-                rows = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]],
-                                                 ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+        for part in regroup(batches, 1, TEXT_BYTES):
+            ids, counts = encode(encoder, part.column(1))
+            out: list[list[int]] = [[], [], [], [], []]
+            begin = 0
+            for row, n in enumerate(counts.tolist()):
+                doc = np.append(ids[begin:begin + n], np.uint32(end_id)).astype("<u4")
+                begin += n
+                start, number = 0, 0
+                while start < n + 1:
+                    length = (n + 1) % capacity or capacity if not start else capacity
+                    for col, v in zip(out, (row, number, start, length, zlib.crc32(doc[start:start + length].tobytes())), strict=True):
+                        col.append(v)
+                    start, number = start + length, number + 1
+            rows = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]],
+                                             ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
-from . import exact, mixing, near, packing, sharding, suffixes, toxicity, vectors
+from . import exact, lm, mixing, near, packing, sharding, suffixes, toxicity, vectors
+from .common import prepare
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.katz_scores(_docs(spark, sf_dir))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.embedding_dedup(tune(spark).read.parquet(f"{sf_dir}/embeddings.parquet")).drop("_row")
+    return vectors.embedding_dedup(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")).drop("_row")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pack, op4_minhash, op5_repeats, op7_toxicity, op8_embeddings, op9_mix_sources, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz, op3_pack, op4_minhash, op5_repeats, op7_toxicity, op8_embeddings, op9_mix_sources, op10_sharding)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

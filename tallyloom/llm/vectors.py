@@ -79,70 +79,89 @@ def _similarity(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.expr(dot).alias("sim"))
 
 
-def neighbour_links(nodes: DataFrame, least: float, places: int = 8, tables: int = 8, reach: int = 2, rounds: int = 8, recall: float = 0.98) -> DataFrame:
-    """``(src, dst)`` in both directions: pairs of nodes of one group with cosine >= ``least``.
+def neighbour_links(nodes: DataFrame, least: float, places: int = 8, tables: int = 8, reach: int = 2, rounds: int = 8, recall: float = 0.98) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes of one group with cosine >= ``least``, ``(src, dst)`` in both directions, and ``(node, comp, full)``.
 
     NN-descent: every node has a list of ``places`` neighbours, at first the closest in some hyperplane orders. In each round
     the neighbours of a node, in both directions, are compared with each other, and lists take what is closer. Only pairs with a new
-    member are compared. A list that is full of links is doubled. Rounds end when few places change
-    and no list had to grow; then recall is measured on ``AUDIT`` vectors compared with all others, and while it is below ``recall``
-    all lists are doubled and more rounds follow. Lists are never cut below a link: a full list of links grows.
-    ``nodes`` is ``(node, g, unit array<double>)`` with units of one length per group.
+    member are compared, and a list that is full of links takes no more. Rounds end when few places change; then recall is measured on
+    ``AUDIT`` vectors compared with all others, and while it is below ``recall`` all lists are doubled and more rounds follow.
+
+    A list full of links is saturated: the node may have more. All its links are in its component, so the components with a saturated
+    node are marked ``full``, and :func:`count_within` compares these whole. ``nodes`` is ``(node, g, unit array<double>)``.
     """
     light = materialise(nodes.select("node", "g", F.col("unit").cast("array<float>").alias("unit")), "light")
     first = materialise(_start(nodes, tables, reach), "start")
     both = first.unionByName(first.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     found = _similarity(both, light).withColumn("sim", F.col("sim").cast("float"))
-    caps = materialise(nodes.select("node", F.lit(places).alias("cap")), "caps")
     best = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    near = least - 1e-4          # single precision is good enough to keep a place; links are decided in double precision
 
     def lists(edges: DataFrame) -> DataFrame:
-        ranked = edges.withColumn("place", F.row_number().over(best)).join(caps.withColumnRenamed("node", "src"), "src")
-        return materialise(ranked.where((F.col("place") <= F.col("cap"))).select("src", "dst", "sim", "new", "cap"), "graph")
-
-    def grow(graph: DataFrame, every: bool = False) -> int:
-        nonlocal caps
-        full = graph.groupBy("src", "cap").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m")).where("n >= cap").where(F.lit(every) | (F.col("m") >= least - 1e-4))
-        full = materialise(full.select(F.col("src").alias("node"), F.lit(True).alias("grown")), "full")
-        many = full.count()
-        if many:
-            caps = materialise(caps.join(full, "node", "left").select("node", F.when(F.col("grown"), F.col("cap") * 2).otherwise(F.col("cap")).alias("cap")), "caps")
-        return many
-
-    def links(graph: DataFrame) -> DataFrame:
-        near = graph.where(F.col("sim") >= least - 1e-4).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        one = _similarity(near, nodes).where(F.col("sim") >= least).select("src", "dst")
-        return materialise(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
+        return materialise(edges.withColumn("place", F.row_number().over(best)).where(F.col("place") <= places).drop("place"), "graph")
 
     graph = lists(found.withColumn("new", F.lit(True)))
-    total = nodes.count()
-    done = 0
+    total, done = nodes.count(), 0
     while True:
         for _ in range(rounds):
-            grown = grow(graph)
-            last = graph.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m")).join(caps.withColumnRenamed("node", "src"), "src")
-            last = light.join(last.select(F.col("src").alias("node"), F.when(F.col("n") >= F.col("cap"), F.col("m")).otherwise(F.lit(-2.0)).cast("float").alias("last")), "node")
+            last = graph.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m"))
+            last = last.select("node", F.when(F.col("n") < places, F.lit(-2.0)).when(F.col("m") >= near, F.lit(2.0)).otherwise(F.col("m")).cast("float").alias("last"))
+            known = light.join(last, "node").select(F.col("node").alias("u"), "last", "unit")
             around = graph.select(F.col("src").alias("v"), F.col("dst").alias("u"), "new").unionByName(graph.select(F.col("dst").alias("v"), F.col("src").alias("u"), "new"))
             around = materialise(around.groupBy("v", "u").agg(F.max("new").alias("new")), "around")
             blocks = around.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.max("new").alias("any")).where("any").drop("any")
-            dealt = around.join(blocks, "v").withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            dealt = dealt.join(last.select(F.col("node").alias("u"), "last", "unit"), "u")
-            joined = dealt.groupBy("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("u", "own", "new", "last", "unit")).alias("items"))
+            dealt = _in_block_pairs(around.join(blocks, "v"), "u").join(known, "u")
+            joined = dealt.groupBy("v", "i", "j").agg(F.collect_list(F.struct("u", "own", "new", "last", "unit")).alias("items"))
             closer = _local_join(joined.select("items", "i", "j")).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
             closer = closer.join(graph.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("new", F.lit(True))
             graph = lists(graph.select("src", "dst", "sim").withColumn("new", F.lit(False)).unionByName(closer))
             done += 1
-            if not grown and graph.where("new").count() <= 0.01 * places * total:
+            if graph.where("new").count() <= 0.02 * places * total:
                 break
-        linked = links(graph)
-        if audit(nodes, linked, least) >= recall or done >= 4 * rounds:
-            return linked
-        grow(graph, every=True)
+        pairs = graph.where(F.col("sim") >= near).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        one = _similarity(pairs, nodes).where(F.col("sim") >= least).select("src", "dst")
+        linked = materialise(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
+        parts = connected_components(linked, "src", "dst").select("node", F.col("component").alias("comp"))
+        crowded = graph.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m")).where((F.col("n") >= places) & (F.col("m") >= near))
+        parts = parts.join(crowded.select("node", F.lit(True).alias("crowded")), "node", "left")
+        parts = materialise(parts, "parts")
+        full = parts.groupBy("comp").agg(F.coalesce(F.max("crowded"), F.lit(False)).alias("full"))
+        parts = materialise(parts.select("node", "comp").join(full, "comp"), "parts")
+        if audit(nodes, linked, parts, least) >= recall or done >= 4 * rounds:
+            return linked, parts
+        places *= 2
         graph = graph.withColumn("new", F.lit(True))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:
+def _in_block_pairs(df: DataFrame, key: str) -> DataFrame:
+    """Each row once for every pair of blocks that its own block is in; a group's pairs are then those within (i, j)."""
+    df = df.withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def count_within(nodes: DataFrame, parts: DataFrame, least: float, block: int = 128) -> DataFrame:
+    """``(node, linked)``: other vectors linked to each node of a full component; whole components are compared in pairs of blocks."""
+    full = parts.where("full").join(nodes, "node")
+    sizes = materialise(parts.where("full").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "sizes")
+    dealt = _in_block_pairs(full.join(sizes, "comp"), "node").groupBy("comp", "i", "j").agg(F.collect_list(F.struct("node", "own", "copies", "unit")).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                items = batch.column(0).slice(row, 1).flatten()
+                node, own, copies = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                x = _matrix(items.field(3))
+                hit = x @ x.T >= least
+                np.fill_diagonal(hit, False)
+                if batch.column(1)[row].as_py():
+                    hit &= own[:, None] != own[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(hit @ copies)], ["node", "linked"])
+
+    dealt = dealt.select("items", F.col("i") != F.col("j"))
+    return dealt.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def audit(nodes: DataFrame, linked: DataFrame, parts: DataFrame, least: float) -> float:
     """Share of the links of AUDIT vectors (chosen by hash) that were found, against all vectors of their groups."""
     asked = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).collect()           # a fixed number of vectors
     if not asked:
@@ -164,7 +183,9 @@ def audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(who[i][other]), pa.array(ids[mine[j]][other])], ["src", "dst"])
     true = materialise(nodes.select("node", "g", "unit").mapInArrow(run, "src long, dst long"), "audit")
     n = true.count()
-    return true.join(linked, ["src", "dst"], "left_semi").count() / n if n else 1.0
+    whole = parts.where("full").select("node", "comp")
+    within = true.join(whole.toDF("src", "c"), "src").join(whole.toDF("dst", "d"), "dst").where("c = d").select("src", "dst")
+    return true.join(linked.unionByName(within).distinct(), ["src", "dst"], "left_semi").count() / n if n else 1.0
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
@@ -184,10 +205,10 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     rows = materialise(rows.select("vec_id", "_row", F.when(F.col("usable"), F.concat_ws("/", "label", F.size("v").cast("string"))).alias("g"),
                                    F.when(F.col("usable"), F.transform("v", lambda x: x / F.col("norm"))).alias("unit")), "units")
     nodes = materialise(rows.where("g IS NOT NULL").groupBy("g", "unit").agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    linked = neighbour_links(nodes.select("node", "g", "unit"), least, **options)
+    linked, parts = neighbour_links(nodes.select("node", "g", "unit"), least, **options)
     weight = linked.join(nodes.select(F.col("node").alias("dst"), "copies"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("copies").alias("linked"))
-    parts = connected_components(linked, "src", "dst").select("node", F.col("component").alias("comp"))
-    named = nodes.join(weight, "node", "left").join(parts, "node", "left").select(
+    weight = weight.join(parts.where("full"), "node", "left_anti").unionByName(count_within(nodes, parts, least))
+    named = nodes.join(weight, "node", "left").join(parts.select("node", "comp"), "node", "left").select(
         "g", "unit", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
     members = rows.join(named, ["g", "unit"], "left").select("vec_id", "_row", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("comp", "_row").alias("comp"))
     members = materialise(members, "members")

@@ -58,3 +58,22 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
             out.append(np.empty(0, np.uint64))
         at += c
     return out
+
+
+def regroup(batches, column: int, size: int):
+    """The same rows in batches whose texts have about ``size`` bytes together, one text at least."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+        while at < batch.num_rows:
+            to = max(at + (not held), int(np.searchsorted(total, total[at] + size - held_bytes, "right")) - 1)
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                held_bytes += int(total[to] - total[at])
+            if to < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, held_bytes = [], 0
+            at = to
+    if held:
+        yield pa.concat_batches(held)
