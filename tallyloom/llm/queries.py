@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lm, mixing, near, packing, sharding, suffixes, toxicity, vectors
+from . import exact, lm, mixing, near, packing, quality, sharding, suffixes, toxicity, vectors
 from .common import prepare
 
 
@@ -33,6 +33,10 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz, op3_pack, op4_minhash, op5_repeats, op7_toxicity, op8_embeddings, op9_mix_sources, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz, op3_pack, op4_minhash, op5_repeats, op6_quality, op7_toxicity, op8_embeddings, op9_mix_sources, op10_sharding)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
