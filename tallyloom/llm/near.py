@@ -84,7 +84,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, _row, stays)`` for every row of ``docs``.
 
     Documents are linked when 100 * common shingles >= ``percent`` * all shingles of the two, confirmed on their full sets of
@@ -112,8 +112,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
     posted = nodes.select("node", F.posexplode("sig").alias("c", "v")).select("node", F.expr("shiftleft(bigint(c), 32) + bigint(v)").alias("token"))
     often = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")
     shared = posted.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))   # at most K per node
-    prefix = shared.select("node", F.explode(F.expr(f"slice(all, 1, greatest(0, {k - t + 1} - ({k} - size(all))))")).alias("p")).select("node", "p.token")
-    prefix = materialise(prefix, "prefix")
+    first = f"transform(slice(all, 1, greatest(0, {k - t + 1} - ({k} - size(all)))), x -> x.token)"
+    prefixes = materialise(shared.select("node", F.expr(first).alias("pre")), "prefixes")
+    prefix = prefixes.select("node", F.explode("pre").alias("token"))
     lonely = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     postings = materialise(prefix.join(lonely, "token"), "postings")
     small = nodes.select("node", "n", "sig")
@@ -155,11 +156,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
             break
         label = contract()
 
-    left = open_postings().join(small, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    left = open_postings().join(small, "node").join(prefixes, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = materialise(left.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sig"), "blocks")
-    right = left.select("token", "i", "j", *[F.col(c).alias("r_" + c) for c in ("own", "node", "comp", "n", "sig")])
+    left = materialise(left.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sig", "pre"), "blocks")
+    right = left.select("token", "i", "j", *[F.col(c).alias("r_" + c) for c in ("own", "node", "comp", "n", "sig", "pre")])
     cross = left.join(right, ["token", "i", "j"]).where("comp < r_comp AND (i = j OR own <> r_own)").where(_alike("n", "r_n", percent)).where(f"{_matches('sig', 'r_sig')} >= {t}")
+    cross = cross.where("get(array_intersect(pre, r_pre), 0) = token")      # a pair is taken from the rarest posting it shares
     if test(cross.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()):
         label = contract()
 
