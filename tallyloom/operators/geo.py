@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .nearest import nearest
 
 
@@ -72,7 +73,8 @@ def polygon_area(poly: Column) -> Column:
 
 
 def points_in_polygons(polygons: DataFrame, points: DataFrame, how: str = "points", poly: str = "polygon", p: str = "point") -> DataFrame:
-    """Left spatial join: keep all ``points`` (without polygon: NULL) or all ``polygons``. Overlaps give several rows.
+    """Left spatial join: keep all ``points`` (without polygon: NULL) or all ``polygons``. Overlaps give several rows. The kept
+    side is written with row numbers and joined back by these, so equal rows stay as many as they are.
 
     Grid of several cell sizes: a polygon uses the smallest power of two not below its extent, so it touches at most
     four cells whatever its size; points are placed once per size in use (few). The join is an equality on
@@ -80,7 +82,9 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, how: str = "point
     """
     def bound(fn, axis: str) -> Column:
         return fn(F.transform(F.col(poly), lambda c: c[axis]))
-    g = polygons.withColumns({"_x0": bound(F.array_min, "x"), "_x1": bound(F.array_max, "x"),
+    numbered = materialise((points if how == "points" else polygons).withColumn("_key", F.monotonically_increasing_id()), "numbered")
+    pts, shapes = (numbered, polygons) if how == "points" else (points, numbered)
+    g = shapes.withColumns({"_x0": bound(F.array_min, "x"), "_x1": bound(F.array_max, "x"),
                               "_y0": bound(F.array_min, "y"), "_y1": bound(F.array_max, "y")})
     extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-12))
     g = g.withColumn("_lvl", F.ceil(F.log2(extent)).cast("int"))
@@ -91,14 +95,12 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, how: str = "point
     size = F.pow(F.lit(2.0), F.col("_lvl"))
     g = g.withColumn("_ix", F.explode(F.sequence(cell(F.col("_x0"), size), cell(F.col("_x1"), size)))) \
         .withColumn("_iy", F.explode(F.sequence(cell(F.col("_y0"), size), cell(F.col("_y1"), size))))
-    pts = points.withColumn("_key", F.struct(*points.columns)) if how == "points" else points
     pts = pts.withColumn("_lvl", F.explode(F.array(*[F.lit(v) for v in levels])) if levels else F.lit(None).cast("int"))
     pts = pts.withColumns({"_ix": cell(F.col(f"{p}.x"), size), "_iy": cell(F.col(f"{p}.y"), size)})
     hit = pts.join(g, ["_lvl", "_ix", "_iy"]).where(inside(F.col(poly), F.col(f"{p}.x"), F.col(f"{p}.y")))
     keep_g, keep_p = polygons.columns, points.columns
     if how == "points":
         found = hit.select("_key", *keep_g)
-        base = points.withColumn("_key", F.struct(*points.columns))
-        return base.join(found, "_key", "left").select(*keep_p, *keep_g)
-    found = hit.select(F.struct(*keep_g).alias("_key"), *keep_p)
-    return polygons.withColumn("_key", F.struct(*keep_g)).join(found, "_key", "left").select(*keep_g, *keep_p)
+        return numbered.join(found, "_key", "left").select(*keep_p, *keep_g)
+    found = hit.select("_key", *keep_p)
+    return numbered.join(found, "_key", "left").select(*keep_g, *keep_p)

@@ -6,10 +6,11 @@ holds a large part of the table. So every grouped operator runs in two parts:
 
 * ordinary groups: window functions;
 * hot groups, those above ``tallyloom.hotRows`` rows: aggregate (map-side partial sums), then join the
-  result back. At most ``HOT_LIMIT`` groups are treated this way, the largest ones, so both the key list
-  and the totals are at most that many rows and broadcasting them is safe; hot rows are not shuffled.
+  result back. Every group above the threshold is treated this way, so no window ever holds more rows of a key than that.
+  The keys are a written table, never a list on the driver; joins with it carry no hint, so adaptive
+  execution broadcasts it where it is small and splits the skewed side where it is not.
 
-With ``HOT_LIMIT`` = 1000, any group left to the window holds fewer than 1/1000 of the rows.
+``tallyloom.hotRows`` is a setting of the session (default 1,000,000): what one task is allowed to sort for one key.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-HOT_LIMIT = 1000
 HOT_ROWS = 1_000_000
 
 
@@ -37,15 +37,13 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The at most ``HOT_LIMIT`` largest groups above the row threshold, or None if there is none.
+    """All groups above the row threshold as a written table, or None if there is none.
 
     One pass over the key columns with map-side counts.
     """
-    top = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows(df)).orderBy(F.desc("_n")).limit(HOT_LIMIT)
-           .select(*[F.col(k).alias("_hot_" + k) for k in keys]))
-    rows = top.collect()  # bounded by HOT_LIMIT
-    return df.sparkSession.createDataFrame(rows, top.schema) if rows else None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows(df))
+    hot = materialise(counts.select(*[F.col(k).alias("_hot_" + k) for k in keys]), "hot")
+    return None if hot.isEmpty() else hot
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None | str = "find") -> tuple[DataFrame, DataFrame | None]:
@@ -60,8 +58,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None | str =
         hot = hot_keys(df, keys)
     if hot is None:
         return df, None
-    cold = df.join(F.broadcast(hot), _null_safe(df, hot, keys), "left_anti")
-    warm = df.join(F.broadcast(hot), _null_safe(df, hot, keys), "left_semi")
+    cold = df.join(hot, _null_safe(df, hot, keys), "left_anti")
+    warm = df.join(hot, _null_safe(df, hot, keys), "left_semi")
     return cold, warm
 
 
@@ -74,26 +72,27 @@ class WindowTotals:
 
 
 class HotTotals:
-    """Group values by aggregation and broadcast; for the few groups of unbounded size.
+    """Group values by aggregation and join; for the groups of unbounded size.
 
-    The input is written first, so a chain of calls stays linear in size.
+    The input is written before the first call of a chain and again after every ``EVERY`` calls, where the plan has grown.
     """
 
+    EVERY = 4
+
     def __init__(self, keys: Sequence[str]):
-        self.keys = tuple(keys)
+        self.keys, self.calls = tuple(keys), 0
 
     def add(self, df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-        df = materialise(df.drop(*aggs), "hot")
+        df = df.drop(*aggs)
+        if self.calls % self.EVERY == 0:
+            df = materialise(df, "hot")
+        self.calls += 1
         if not keys:
             total = df.agg(*[a.alias(n) for n, a in aggs.items()])
             return df.withColumns({n: total.select(n).scalar() for n in aggs})
         totals = df.where(has_key(keys)).groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-        if set(keys) <= set(self.keys):
-            totals = F.broadcast(totals)
-        else:
-            # Finer groups inside the hot ones may be many: a plain join on a written table, which
-            # adaptive execution broadcasts if small and splits if skewed.
-            totals = materialise(totals, "totals")
+        # A plain join on a written table, which adaptive execution broadcasts if small and splits if skewed.
+        totals = materialise(totals, "totals")
         return df.join(totals, list(keys), "left").select(*df.columns, *aggs)
 
 

@@ -1,7 +1,7 @@
 """Joins. Join strategy is left to Spark: it knows the sizes at run time (adaptive broadcast, skew split).
 
 Adaptive execution splits a skewed side only where both sides come straight from a shuffle. Where the other side
-is an aggregate (ids, means, updates: one row per key) ``join_unique`` takes the hot keys out instead.
+is an aggregate (ids, means, updates: one row per key) ``join_unique`` leaves the choice to adaptive execution.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import hot_keys, split_hot
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
@@ -34,18 +33,9 @@ def join_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join to a table with one row per key. Rows of hot keys meet the at most HOT_LIMIT matching rows by
-    broadcast and are not shuffled; the others join as usual."""
-    keys = list(keys)
-    hot = hot_keys(left, keys)
-    if hot is None:
-        return left.join(right, keys, how)
-    cold, warm = split_hot(left, keys, hot)
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & right[k].eqNullSafe(hot["_hot_" + k])
-    few = right.join(F.broadcast(hot), cond, "left_semi")
-    return cold.join(right, keys, how).unionByName(warm.join(F.broadcast(few), keys, how))
+    """Equi-join to a table with one row per key. Nothing is counted first: adaptive execution broadcasts ``right``
+    where it turns out small, and splits a skewed left side otherwise."""
+    return left.join(right, list(keys), how)
 
 
 def anti_rows(a: DataFrame, b: DataFrame) -> DataFrame:

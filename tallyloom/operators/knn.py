@@ -48,16 +48,44 @@ def knn_regress_past(train: DataFrame, to_impute: DataFrame, num: Sequence[str],
     return near.groupBy(F.col("_qid").alias(id)).agg(F.avg(y).alias("predicted"))
 
 
+def _per_period(parts: Sequence[tuple[int, DataFrame, DataFrame]], num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int, scaler: str) -> DataFrame:
+    """``(id, _tested, predicted)`` for ``(period, training rows, tested rows)``: scaling and known codes of each period come from
+    its own training rows. One search for all periods, in which a training row stands once per period it serves."""
+    donors = asked = None
+    for period, train, test in parts:
+        scaling = fit_scaler(train, num, scaler)
+        d = distance_columns(train, train, num, cat, scaling).select(id, y, "vec", "cats", F.lit(str(period)).alias("_for"))
+        q = distance_columns(train, test, num, cat, scaling).select(F.struct(F.col(id).alias("id"), F.lit(period).alias("tested")).alias("_qid"), "vec", "cats",
+                                                                    F.array(F.lit(str(period))).alias("_may"))
+        donors, asked = (d, q) if donors is None else (donors.unionByName(d), asked.unionByName(q))
+    near = nearest(asked, donors, k, "_qid", id, cats="cats", group="_for", groups="_may", carry=[y])
+    return near.groupBy("_qid").agg(F.avg(y).alias("predicted")).select(F.col("_qid.id").alias(id), F.col("_qid.tested").alias("_tested"), "predicted")
+
+
 def rolling_backtest(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, time: str, k: int = 2,
                      scaler: str = "robust") -> DataFrame:
     """Each year predicted from all earlier years, errors per year; years without history are skipped.
 
-    All years are one job: the neighbours of a row are limited to earlier periods.
+    Nothing of the tested year or a later one enters its scaling or its known codes: a code first seen in it is unknown.
     """
-    pred = knn_regress_past(df, df, num, cat, y, id, time, k, scaler, strict=True)
+    df = clean_features(df, num, cat)
+    periods = sorted(r[0] for r in df.select(time).distinct().collect())  # one row per year
+    parts = [(p, df.where(F.col(time) < p), df.where(F.col(time) == p)) for p in periods[1:]]
+    pred = _per_period(parts, num, cat, y, id, k, scaler).drop("_tested")
     return regression_metrics(df.select(id, time, y).join(pred, id), y, "predicted", [time])
 
 
+def rolling_backtest_cumulative(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, time: str, k: int = 2,
+                                scaler: str = "robust") -> DataFrame:
+    """Per year all rows up to it, split 80/20 by id; the test part predicted from the training part, which alone decides scaling and codes."""
+    df = split_rows(clean_features(df, num, cat), id)
+    periods = sorted(r[0] for r in df.select(time).distinct().collect())  # one row per year
+    upto = [(p, df.where(F.col(time) <= p)) for p in periods]
+    parts = [(p, d.where("part = 'train'").drop("part"), d.where("part = 'test'").drop("part")) for p, d in upto]
+    pred = _per_period(parts, num, cat, y, id, k, scaler)
+    return regression_metrics(df.select(id, y).join(pred, id).withColumnRenamed("_tested", time), y, "predicted", [time])
+
+
 def _out_of_fold(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int, folds: int, scaler: str) -> tuple[DataFrame, DataFrame]:
     """``(rows with _fold, k nearest rows of the other folds with their _y)``; all folds in one job."""
     d = clean_features(df, num, cat)

@@ -54,8 +54,8 @@ def _sq_dist(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> np
 
 def _side(df: DataFrame, key: str, out: str, vec: str, cats: str | None, group, extra: Sequence[str]) -> DataFrame:
     codes = F.col(cats) if cats else F.array().cast("array<bigint>")
-    return df.select(F.col(key).alias(out), F.col(vec).cast("array<double>").alias("_v"), codes.alias("_c"),
-                     group, *extra)
+    df = df.select(F.col(key).alias(out), F.col(vec).cast("array<double>").alias("_v"), codes.alias("_c"), group, *extra)
+    return df.where(F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x)))
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, vec: str = "vec",
@@ -63,7 +63,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
             carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """Rows ``(qid, did, distance, rank, *carry)``: the k nearest donors of each query.
 
-    ``vec``: array<double> without gaps; ``cats``: array<bigint> of hashed codes, 0 = unknown. ``group``: donor
+    ``vec``: array<double>; rows with a missing vector or a gap in it have no neighbours and are none; ``cats``: array<bigint> of hashed codes, 0 = unknown. ``group``: donor
     column (text) restricting who is comparable, ``groups``: query column with the list of groups it may use;
     the number of groups must be small (years, folds, gap patterns). ``exclude_same``: a row is no neighbour
     of itself. A query id may come in several rows (other vectors for other groups): its best k overall are kept.

@@ -2,7 +2,7 @@
 
 Ordinary groups use windows. Hot groups are range-partitioned on (keys, order), so one group spans many
 slices; each slice is worked on alone and then shifted by what the slices before it add up to. That carry
-has one row per slice and key: at most slices + HOT_LIMIT rows, safe to broadcast.
+has one row per slice and key.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_partition(spark: SparkSession, base: str, **keys: object) -> DataFrame:
-    """One partition of a table; the key filters prune folders, so other partitions are not listed or read."""
+    """One partition of a table; the key filters prune folders, so files of other partitions are listed, but not read."""
     df = spark.read.parquet(base)
     for k, v in keys.items():
         df = df.where(F.col(k) == v)

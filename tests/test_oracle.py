@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from workbook import ORACLES, QUERIES
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,11 +14,11 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    ok, msg, _, rows = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
+    ok, msg, _, rows = compare(spark, con, SF, name, QUERIES[name], ORACLES.get(name))
     assert ok, msg
-    if name not in entry.oracle_sql():
+    if name not in ORACLES:
         assert rows > 0
 
 
@@ -31,7 +32,7 @@ def test_query_with_hot_groups(spark, con, name):
     """The largest groups go through aggregation, slices and position joins instead of windows."""
     spark.conf.set("tallyloom.hotRows", "2")
     try:
-        ok, msg, _, _ = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
+        ok, msg, _, _ = compare(spark, con, SF, name, QUERIES[name], ORACLES[name])
     finally:
         spark.conf.unset("tallyloom.hotRows")
     assert ok, msg
@@ -44,4 +45,4 @@ def test_entry(spark):
 def test_every_query_has_sql_or_is_listed():
     rows_only = {"route_frequencies", "gbt_regress", "gbt_grid", "feature_importance", "linear_regress", "stack_regress", "pca_variance", "knn_regress_pca",
                  "tree_classify", "learning_curve", "impute_with"}
-    assert set(entry.queries()) - set(entry.oracle_sql()) == rows_only
+    assert set(QUERIES) - set(ORACLES) == rows_only

@@ -82,14 +82,31 @@ def knn_regress_past(t):
     return knn.knn_regress_past(feat(t), feat(t), NUM, ["code"], "y", "id", "year", exclude_same=True)
 
 
-@query("rolling_backtest", f"""
-WITH {near_sql('b.year < a.year')}, p AS (SELECT id, year, own, avg(y) AS predicted FROM near WHERE rank <= 2 GROUP BY 1, 2, 3)
+def period_sql(train: str, test: str) -> str:
+    """Errors per tested year ``t.year``; ``train`` and ``test`` choose rows f and a. Scaling and known codes come from the training rows."""
+    pars = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS s_{c}" for c in NUM)
+    d = " + ".join(f"((a.{c} - m_{c}) / s_{c} - (f.{c} - m_{c}) / s_{c}) ** 2" for c in NUM)
+    return f"""
+WITH {FEAT}, t AS (SELECT DISTINCT year FROM feat), tr AS (SELECT t.year AS ty, f.* FROM t JOIN feat f ON {train}), te AS (SELECT t.year AS ty, a.* FROM t JOIN feat a ON {test}),
+par AS (SELECT ty, {pars} FROM tr GROUP BY ty), codes AS (SELECT DISTINCT ty, code FROM tr),
+near AS (SELECT a.ty, a.id, a.y AS own, f.y, row_number() OVER (PARTITION BY a.ty, a.id ORDER BY round({d} + CASE WHEN a.code = f.code THEN 0 WHEN c.code IS NULL THEN 1 ELSE 2 END, 9), f.id) AS rank
+  FROM te a JOIN par USING (ty) JOIN tr f USING (ty) LEFT JOIN codes c ON c.ty = a.ty AND c.code = a.code),
+p AS (SELECT ty AS year, id, own, avg(y) AS predicted FROM near WHERE rank <= 2 GROUP BY 1, 2, 3)
 SELECT year, count(*) AS n, avg((own - predicted) ** 2) AS mse, sqrt(avg((own - predicted) ** 2)) AS rmse, avg(abs(own - predicted)) AS mae, quantile_cont(abs(own - predicted), 0.5) AS median_ae,
-  1 - sum((own - predicted) ** 2) / (var_pop(own) * count(*)) AS r2 FROM p GROUP BY 1""", dbl="mse rmse mae median_ae r2", digits=4)
+  1 - sum((own - predicted) ** 2) / (var_pop(own) * count(*)) AS r2 FROM p GROUP BY 1"""
+
+
+@query("rolling_backtest", period_sql("f.year < t.year", "a.year = t.year"), dbl="mse rmse mae median_ae r2", digits=4)
 def rolling_backtest(t):
     return knn.rolling_backtest(feat(t), NUM, ["code"], "y", "id", "year")
 
 
+@query("rolling_backtest_cumulative", period_sql(f"f.year <= t.year AND {SPLIT.format('f.id')} = 'train'", f"a.year <= t.year AND {SPLIT.format('a.id')} = 'test'"),
+       dbl="mse rmse mae median_ae r2", digits=4)
+def rolling_backtest_cumulative(t):
+    return knn.rolling_backtest_cumulative(feat(t), NUM, ["code"], "y", "id", "year")
+
+
 FOLD = "CAST(('0x' || substring(md5(CAST({} AS VARCHAR) || ':42'), 1, 6)) AS BIGINT) % 5"
 
 
