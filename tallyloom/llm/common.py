@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import materialise, tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,11 +36,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` itself where it only scans, projects and filters, so that every pass gives its rows in the same order; otherwise
+    its rows, written once (a shuffle may order rows anew whenever other columns are read)."""
+    def scans(plan) -> bool:
+        below = plan.children()
+        return plan.nodeName() in ("Project", "Filter", "LocalRelation", "LogicalRDD", "LogicalRelation") and all(scans(below.apply(i)) for i in range(below.size()))
+    return df if scans(df._jdf.queryExecution().optimizedPlan()) else materialise(df, "fixed")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Add a number that tells equal rows apart.
 
     The numbers follow the partitions and the order within them. Over a scan of files these are the same each time it
-    is planned in a session, so a decision table made from one pass can be joined back to another pass.
+    is planned in a session, so a decision table made from one pass can be joined back to another pass; see :func:`fixed`.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 

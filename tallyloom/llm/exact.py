@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, shuffle_width
-from .common import fresh, lower_ascii, numbered, text_or_empty
+from .common import fixed, fresh, lower_ascii, numbered, text_or_empty
 
 RADIX_BITS = 4  # each merge takes the runs of 2^4 partitions, by one hex digit of the digest
 
@@ -59,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
+    docs = fixed(docs)
     row = fresh(docs, "_row")
     stay = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("_row").alias(row))
     return numbered(docs, row).join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

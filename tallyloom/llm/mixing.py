@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WORD, fresh, numbered, text_or_empty, unit_hash
+from .common import WORD, fixed, fresh, numbered, text_or_empty, unit_hash
 
 SLICES = 4096  # slices of the rank scale; a window never holds more than one slice of a source
 
@@ -86,6 +86,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (dropped where it takes none)."""
+    docs = fixed(docs)
     row = fresh(docs, "_row")
     mix = mix_sources(docs, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(fresh(docs, "_copies")))
     copies = mix.columns[1]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.network import connected_components
 from ..session import materialise
-from .common import fresh, numbered, text_or_empty
+from .common import fixed, fresh, numbered, text_or_empty
 from .words import regroup, shingle_sets
 
 TEXT_BYTES = 8 << 20   # texts are hashed in groups of about this size
@@ -105,6 +105,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
     one row per component (one with the smallest id). A null id never names a component unless no other id is in
     it. An empty table gives an empty result; other columns are not read.
     """
+    docs = fixed(docs)
     k, t = coordinates, match_threshold(coordinates, percent)
     rows = materialise(signatures(docs, words, k, id_col, text_col), "signatures")
     nodes = materialise(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("_row").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
@@ -176,6 +177,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
 
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``; documents without words all stay."""
+    docs = fixed(docs)
     row = fresh(docs, "_row")
     stay = near_dedup(docs, **options).where("stays").select(F.col("_row").alias(row))
     return numbered(docs, row).join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
