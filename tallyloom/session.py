@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +20,27 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings the operators count on (all are changeable on a live session)."""
+    """Apply the run-time settings the operators count on (all are changeable on a live session), and ship the package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once per application, so that functions inside tasks find it from any working folder."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    handle, path = tempfile.mkstemp(prefix="tallyloom-", suffix=".zip")
+    with os.fdopen(handle, "wb") as file, zipfile.ZipFile(file, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(path)
+    context._tallyloom_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 

@@ -349,3 +349,61 @@ def test_pca_is_centred(spark):
     out, variance, _ = models.pca_fit(df, ["a", "b"], 1)
     assert variance[0] == pytest.approx(1.0)
     assert math.isclose(sum(r["pc"][0] for r in out.collect()), 0.0, abs_tol=1e-9)
+
+
+def test_equal_points_stay_as_many(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    g = spark.createDataFrame([("s", square), ("s", square)], "name string, polygon array<struct<x:double,y:double>>")
+    p = spark.createDataFrame([(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 9.0, 9.0), (3, None, 1.0)], "id int, x double, y double").select("id", geo.point(F.col("x"), F.col("y")).alias("point"))
+    assert rows(geo.points_in_polygons(g.limit(1), p), "id", "name") == [(1, "s"), (1, "s"), (2, None), (3, None)]
+    assert len(rows(geo.points_in_polygons(g, p.where("id = 1").limit(1), how="polygons"), "name", "id")) == 2
+
+
+def test_missing_coordinates_have_no_neighbours(spark):
+    p = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 2.0), (3, float("nan"), 1.0)], "id int, x double, y double").select("id", geo.point(F.col("x"), F.col("y")).alias("point"))
+    q = spark.createDataFrame([(7, 1.0, 2.0), (8, None, None)], "place int, x double, y double").select("place", geo.point(F.col("x"), F.col("y")).alias("point"))
+    assert rows(geo.nearest_join(p, q, "id", "place"), "id", "place", "distance") == [(1, 7, 1.0)]
+
+
+def test_backtest_does_not_look_ahead(spark):
+    data = [(i, 2000 + i // 4, float(i % 4), "a", float(i % 4)) for i in range(8)] + [(8, 2002, 1000.0, "new", 3.0), (9, 2002, -1000.0, "new", 0.0)]
+    df = spark.createDataFrame(data, "id int, year int, f double, code string, y double")
+    later = df.unionByName(df.where("year = 2002").withColumns({"id": F.col("id") + 10, "year": F.lit(2003), "f": F.col("f") * 1e6}))
+    got = {r.year: r.mae for r in knn.rolling_backtest(later, ["f"], ["code"], "y", "id", "year", 1, "standard").collect()}
+    assert got[2001] == 0 and got[2002] == 0          # the shifted scale and the new code of 2002 and 2003 are not known
+    assert rows(knn.rolling_backtest(df, ["f"], ["code"], "y", "id", "year", 1, "standard"), "year", "mae") == [(2001, 0.0), (2002, 0.0)]
+
+
+def test_more_hot_groups_than_a_list(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("tallyloom.hotRows", "3")
+    try:
+        got = windows.group_total(df, "v", ["k"], name="total")
+        assert got.where("total <> 4 * k + 9000").count() == 0 and got.count() == 6000
+    finally:
+        spark.conf.unset("tallyloom.hotRows")
+
+
+def test_repeated_field_takes_the_first_answer(spark):
+    df = spark.createDataFrame([("u", 1, "oms", "5", 2), ("u", 1, "oms", "7", 1), ("u", 1, "oms", None, 0)], "id string, radnr int, feltnavn string, feltverdi string, line int")
+    assert rows(reshape.eav_pivot(df, ["id", "radnr"], "feltnavn", "feltverdi", ["oms"], "line"), "oms") == [("7",)]
+
+
+def test_workers_get_the_package(tmp_path):
+    """A driver that only knows the package by its own path, from another folder."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.append({root!r})
+from pyspark.sql import SparkSession, functions as F
+from tallyloom.session import tune
+from tallyloom.operators.nearest import nearest
+spark = tune(SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate())
+a = spark.range(30).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+print("rows", nearest(a, a.withColumnRenamed("id", "other"), 1, "id", "other").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 30" in done.stdout, done.stderr[-2000:]
