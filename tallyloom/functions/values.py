@@ -26,11 +26,6 @@ def parse_number(col: ColumnLike) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
-def num(col: ColumnLike) -> Column:
-    """Numeric column as double with NaN and infinities turned to NULL."""
-    return finite(_c(col).cast("double"))
-
-
 def finite(col: ColumnLike) -> Column:
     c = _c(col)
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)

@@ -37,7 +37,8 @@ SAMPLE_ROWS = 200_000  # queries looked at when sizing the chunks
 
 
 def _matrix(col: pd.Series, dtype=np.float64) -> np.ndarray:
-    return np.array(col.tolist(), dtype=dtype).reshape(len(col), -1)
+    width = len(col.iloc[0]) if len(col) else 0
+    return np.concatenate(col.to_numpy()).astype(dtype).reshape(len(col), width) if width else np.empty((len(col), 0), dtype)
 
 
 def _sq_dist(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from ..functions import count_char, whole_words
 
 
 def _occurrences(word: str) -> Column:
-    return F.size(F.filter("_words", lambda x: x == F.lit(word)))
+    return F.size(F.filter("_listed", lambda x: x == F.lit(word)))
 
 
 def term_counts(df: DataFrame, cols: Sequence[str], words: Sequence[str], char: str = "!", phrases: Sequence[str] = ()) -> DataFrame:
@@ -23,6 +23,7 @@ def term_counts(df: DataFrame, cols: Sequence[str], words: Sequence[str], char:
     text = F.concat_ws(" ", *[F.col(c) for c in dict.fromkeys(cols)])
     df = df.withColumns({"_text": text, "_words": whole_words(text)})
     wanted = [w.lower() for w in words]
+    df = df.withColumn("_listed", F.filter("_words", lambda x: x.isin(wanted)))     # one pass over all words; each listed word then looks at what is left
     counts = {f"n_{w}": _occurrences(w) for w in wanted}
     flat = F.array_join("_words", " ")
     counts |= {f"n_{p.replace(' ', '_')}": count_char(flat, p.lower()).cast("int") for p in phrases}
@@ -31,7 +32,7 @@ def term_counts(df: DataFrame, cols: Sequence[str], words: Sequence[str], char:
     for name in counts:
         total = total + F.col(name)
     return out.withColumns({"n_words": F.size("_words"), "term_total": total, "n_char": count_char("_text", char).cast("int")}) \
-        .drop("_text", "_words")
+        .drop("_text", "_words", "_listed")
 
 
 def term_rollup(df: DataFrame, value: str, level_sets: Sequence[Sequence[str]]) -> DataFrame:
