@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import numbered, text_or_empty
+from .common import fixed, numbered, text_or_empty
 from .words import mix
 
 GROUP_BYTES = 1 << 21     # bytes hashed at once; a longer text is taken in slices that overlap by the threshold length
@@ -132,29 +133,55 @@ def runs_by_digit(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "_row long, lo int, hi int, core long, ctx long, dup boolean")
 
 
-def strings(rows: DataFrame, length: int) -> DataFrame:
-    """``(h, _row, start, dup)`` for the suffixes [lo, hi] of ``at`` of each text: a hash of their first ``length`` bytes."""
+def packed(rows: DataFrame) -> DataFrame:
+    """Texts compressed one by one, to be moved."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())],
+                                             [*batch.schema.names[:-1], "_z"])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, _z binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    unpack = zstandard.ZstdDecompressor().decompress
+    at = batch.schema.get_field_index("_z")
+    return batch.set_column(at, "_t", pa.array(map(unpack, batch.column(at).to_pylist()), pa.binary()))
+
+
+def strings(rows: DataFrame, length: int) -> DataFrame:
+    """``(core, _row, start, hs[], dups[])`` for the runs ``at`` of each text: hashes of the first ``length`` bytes of their suffixes.
+
+    Suffixes of one run stay together up to the shard of their first digit, where they are taken apart.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(_unpacked, batches):
             ids, wanted = batch.column(0), batch.column(2).to_pylist()
             for raw, owner, begin, end, offset in slices(batch, length):
                 h = Rolling(raw)
-                starts = []
+                spans, cores, who = [], [], []
                 for r, b, e, o in zip(owner, begin, end, offset, strict=True):
-                    spans = np.array([(x["lo"], x["hi"] + 1) for x in wanted[r]], np.int64) - o + b
-                    spans = np.clip(spans, b, e - length + 1)
-                    starts.append(np.unique(_starts(spans[:, 0], np.maximum(spans[:, 1], spans[:, 0]) + length - 1, length)))
-                starts = np.concatenate(starts)
-                if not len(starts):
+                    for x in wanted[r]:
+                        lo, hi = max(x["lo"] - o, 0) + b, min(x["hi"] - o + b, e - length)
+                        if lo <= hi:
+                            spans.append((lo, hi, lo - b + o))
+                            cores.append(x["core"])
+                            who.append(r)
+                if not spans:
                     continue
+                span = np.array(spans, np.int64)
+                starts = _starts(span[:, 0], span[:, 1] + length, length)
                 key = h(starts, starts + length)
                 first, dup = _once(key, np.zeros(len(key), np.int8))
-                slot = np.searchsorted(end, starts, "right")
-                row = ids.take(pa.array(owner[slot]))
-                spread = mix(key ^ mix(row.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(31) + starts.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(first, key, spread).view(np.int64)), row, pa.array((starts + offset[slot] - begin[slot]).astype(np.int32)),
-                                                  pa.array(dup)], ["h", "_row", "start", "dup"])
-    return rows.mapInArrow(run, "h long, _row long, start int, dup boolean")
+                row = ids.take(pa.array(np.array(who)))
+                sizes = span[:, 1] - span[:, 0] + 1
+                spread = mix(key ^ mix(np.repeat(row.to_numpy(zero_copy_only=False), sizes).astype(np.uint64) * np.uint64(31) + starts.astype(np.uint64)))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), row, pa.array(span[:, 2].astype(np.int32)),
+                                                  pa.ListArray.from_arrays(ends, pa.array(np.where(first, key, spread).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(dup))],
+                                                 ["core", "_row", "start", "hs", "dups"])
+    return rows.mapInArrow(run, "core long, _row long, start int, hs array<long>, dups array<boolean>")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,26 +198,29 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     overlapping ones and those within one text. Repeated rows repeat each other. Null ids are kept; an empty table
     gives an empty result; other columns are not read. ``spans`` are (start, end) byte positions.
     """
+    docs = fixed(docs)
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t")), "_row")
     by_core = Window.partitionBy("core").orderBy("ctx")
     before, after = F.lag("ctx").over(by_core), F.lead("ctx").over(by_core)
     marked = runs_by_digit(rows.select("_row", "_t"), length).withColumn("before", before).withColumn("after", after)
     whole = F.col("dup") | F.coalesce(F.col("before") == F.col("ctx"), F.lit(False)) | F.coalesce(F.col("after") == F.col("ctx"), F.lit(False))
     mixed = F.coalesce(F.col("before") != F.col("ctx"), F.lit(False)) | F.coalesce(F.col("after") != F.col("ctx"), F.lit(False))
-    marked = materialise(marked.select("_row", "lo", "hi", whole.alias("whole"), mixed.alias("apart")).where("whole OR apart"), "runs")
+    marked = materialise(marked.select("_row", "lo", "hi", "core", whole.alias("whole"), mixed.alias("apart")).where("whole OR apart"), "runs")
 
-    wanted = marked.where("apart").groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))      # at most the length of a text
-    single = strings(rows.select("_row", "_t").join(wanted, "_row"), length)
-    same = Window.partitionBy("h").orderBy("_row")
+    wanted = marked.where("apart").groupBy("_row").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("at"))      # at most the length of a text
+    single = strings(packed(rows.select("_row", "_t")).join(wanted, "_row"), length).repartition("core")
+    single = single.select("core", "_row", "start", F.posexplode(F.arrays_zip("hs", "dups")).alias("k", "x"))
+    single = single.select("core", "_row", (F.col("start") + F.col("k")).alias("start"), F.col("x.hs").alias("h"), F.col("x.dups").alias("dup"))
+    same = Window.partitionBy("core", "h").orderBy("_row")
     hit = F.col("dup") | F.lag("_row").over(same).isNotNull() | F.lead("_row").over(same).isNotNull()
     single = single.withColumn("hit", hit).where("hit").groupBy("_row").agg(F.collect_list("start").alias("single"))
     runs = marked.where("whole").groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     found = materialise(runs.join(single, "_row", "full"), "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_unpacked, batches):
             out: list[list] = [[], [], [], []]
-            for text, runs, single in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, runs, single in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 change = np.zeros(len(text) + 1, np.int32)
                 if runs:
                     span = np.array([(x["lo"], x["hi"]) for x in runs])
@@ -209,5 +239,5 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                                              ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    full = rows.join(found, "_row", "left").select("doc_id", "_t", "runs", "single")
+    full = packed(rows.select("doc_id", "_row", "_t")).join(found, "_row", "left").select("doc_id", "_z", "runs", "single")
     return full.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string")
