@@ -17,7 +17,7 @@ from .common import numbered, text_or_empty
 from .words import hash_words, mix, regroup, split_words
 
 TEXT_BYTES = 8 << 20      # texts that are counted and looked up together
-SHARD_ENTRIES = 2_000_000
+SHARD_ENTRIES = 1_000_000
 SPLIT = 4096              # a history with more than 1/SPLIT of all tokens is spread over several shards
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)   # keys of the end token and of the history before a text
 K = 5                     # counts up to K are discounted
@@ -174,13 +174,17 @@ class Pairs:
         self.ends = np.cumsum(self.length)
         begin = self.ends - self.length
         held = np.array(b["held"], bool)
+        self.token_count = count[place]
         history = np.empty_like(place)
         history[1:] = place[:-1]
         history[begin] = n
-        self.token_count = count[place]
         ends_seen = count[np.searchsorted(self.keys, END)]
         self.word_counts = np.append(count, ends_seen)                     # the history before a text is seen once per training text
-        pair, inverse = np.unique(history * n + place, return_inverse=True)
+        history *= n
+        history += place
+        del place
+        pair, inverse = np.unique(history, return_inverse=True)
+        del history
         first, second = pair // n, pair % n
         h1, self.h2 = np.append(self.keys, BEGIN)[first], self.keys[second]
         c1 = self.word_counts[first]
@@ -204,7 +208,8 @@ def count_pairs(groups: DataFrame, unigrams: Unigrams, shards: int) -> tuple[Dat
     """``(b, pairs)``: what every group needs to know of its pairs; discounts; statistics of the histories that are split."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1).to_pylist()[0]
                 p = Pairs(b, unigrams, shards)
                 for s, lo, hi in _slices(p.shard):
                     blob = _pack(p.h1[lo:hi], p.h2[lo:hi], p.train[lo:hi], p.c2[lo:hi].astype("u8"), p.split[lo:hi])
@@ -289,24 +294,31 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
+            for row in range(batch.num_rows):
+                b = batch.slice(row, 1).to_pylist()[0]
                 p = Pairs(b, unigrams, shards)
-                r, low = np.empty(len(p.h1), np.int64), np.empty(len(p.h1), np.uint8)
-                stats = np.zeros((len(p.h1), K + 2))
+                r, low, parts = np.empty(len(p.h1), np.uint32), np.empty(len(p.h1), np.uint8), []
                 at = 0
-                for x in b["pairs"]:
+                for x in b.pop("pairs"):
                     raw, n, u = zstandard.ZstdDecompressor().decompress(x["blob"]), x["n"], x["unseen"]
                     r[at:at + n], low[at:at + n] = np.frombuffer(raw, "u4", n), np.frombuffer(raw, "u1", n, 4 * n)
-                    stats[at + np.flatnonzero(r[at:at + n] == 0)] = np.frombuffer(raw, "f8", u * (K + 2), 5 * n).reshape(u, K + 2)
+                    parts.append(np.frombuffer(raw, "f8", u * (K + 2), 5 * n).reshape(u, K + 2))
                     at += n
-                for i in np.flatnonzero(p.split):
-                    full = hot[int(p.h1[i].astype(np.int64))]
-                    stats[i] = full
-                    low[i] = next((j for j in range(1, K + 1) if full[j - 1]), K + 1)
+                unseen = np.flatnonzero(r == 0)
+                stats = np.concatenate(parts)                               # of the histories of pairs that were never seen
+                for k in np.flatnonzero(p.split[unseen]):
+                    stats[k] = hot[int(p.h1[unseen[k]].astype(np.int64))]
+                split = np.flatnonzero(p.split)
+                if len(split):
+                    kinds, place = np.unique(p.h1[split], return_inverse=True)
+                    lowest = [next((j for j in range(1, K + 1) if hot[int(h.astype(np.int64))][j - 1]), K + 1) for h in kinds]
+                    low[split] = np.array(lowest, np.uint8)[place]
                 flat = low > discounted                                     # nothing after this history is discounted
-                seen = np.where(r <= K, d[np.minimum(r, K)], 1.0) * r / np.maximum(np.where(flat, p.c1 + 1, p.c1), 1)
-                back = np.where(p.c1 > 0, alpha(stats, p.c1), 1.0) * unigrams.p(p.c2)
-                logs = np.log10(np.where(r > 0, seen, back))
+                logs = d[np.minimum(r, K)] * r / np.maximum(p.c1 + flat, 1)
+                logs[r > K] = (r / np.maximum(p.c1 + flat, 1))[r > K]
+                c1 = p.c1[unseen]
+                logs[unseen] = np.where(c1 > 0, alpha(stats, c1), 1.0) * unigrams.p(p.c2[unseen])
+                logs = np.log10(logs)
                 first = p.ends - p.length
                 known = np.add.reduceat((p.token_count > 0).astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays(
