@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -190,9 +190,9 @@ def _toxic_share(sizes: dict[int, int], max_docs: int) -> float:
     return t / (t + o)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1; the text alone decides it, all of it. Null and empty texts have no windows."""
-    names = [c for c in docs.columns]
+def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "score", names: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``names`` (all) of ``docs`` with a score from 0 to 1; the text alone decides it, all of it. Null and empty texts have no windows."""
+    names = list(names or docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(model)
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
             s = 1 / (1 + np.exp(-np.clip(_inputs(np.array(hits), np.array(words)) @ np.array(model.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*names, column])
 
-    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    schema = StructType([*[docs.schema[c] for c in names], StructField(column, DoubleType())])
     return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(f"`{text_col}`").alias("_text_")).mapInArrow(run, schema)
 
 
@@ -218,8 +218,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **options) ->
     """
     model = train(docs, labels, **options)
     ids = docs.select(F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col(options.get("text_col", "text")).alias("_t"))
-    ids = ids.withColumn("held_out", _held_out("doc_id")).select("doc_id", "held_out", F.col("_t").cast("string").alias("_t"))
-    out = score(ids.select("doc_id", "held_out", "_t"), model, "_t").drop("_t")
+    out = score(ids.withColumn("held_out", _held_out("doc_id")), model, "_t", names=["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
