@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: tempfile.TemporaryDirectory | None = None
+_written: list[str] = []
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -52,13 +55,25 @@ def scratch_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    base = tempfile.mkdtemp(prefix="tallyloom-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    global _local
+    _local = tempfile.TemporaryDirectory(prefix="tallyloom-", ignore_cleanup_errors=True)     # goes when the program ends
+    spark.conf.set("spark.checkpoint.dir", _local.name)
+    return _local.name
 
 
 def scratch_path(spark: SparkSession, name: str = "t") -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every intermediate table this program has written. Call it when the results have been saved: tables that
+    are still to be computed may read them."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:

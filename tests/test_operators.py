@@ -407,3 +407,12 @@ print("rows", nearest(a, a.withColumnRenamed("id", "other"), 1, "id", "other").c
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "rows 30" in done.stdout, done.stderr[-2000:]
+
+
+def test_scratch_tables_can_be_removed(spark):
+    import os
+
+    from tallyloom.session import clear_scratch, materialise, scratch_dir
+    materialise(spark.range(3), "gone").count()
+    clear_scratch(spark)
+    assert not [n for n in os.listdir(scratch_dir(spark)) if n.startswith("gone")]
