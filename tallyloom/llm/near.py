@@ -18,7 +18,8 @@ from .words import regroup, shingle_sets
 
 TEXT_BYTES = 8 << 20   # texts are hashed in groups of about this size
 BLOCK = 1024           # postings longer than this are compared in pairs of blocks
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+LEADERS = 16           # nodes of a posting that all others are compared with in one round
 
 
 def match_threshold(coordinates: int, percent: int, missed: float = 1e-6) -> int:
@@ -95,7 +96,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
       coordinates (but for one pair in a million at the very threshold). So, with every node's pairs in order of how many nodes have them,
       they share one of their K-t+1 rarest: only this prefix is joined. Values that one node alone has come first
       and are skipped: they join nothing, but use up the prefix.
-    * Postings are first joined to one leader each, in rounds with different leaders, and what is confirmed is contracted to components.
+    * Postings are first joined to a few leaders each, in rounds with different leaders, and what is confirmed is contracted to components.
       A posting within one component is done. Only nodes of different components that still share a posting
       are then compared with each other, in pairs of blocks of at most 1024, with the collision count and the sizes
       as conditions of the join, so a group of copies never turns into all its pairs.
@@ -149,8 +150,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
 
     for seed in range(STAR_ROUNDS):
         left = open_postings()
-        lead = materialise(left.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))).alias("l"))
-                           .select("token", "l.lead", "l.lead_comp"), "leaders")
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(seed * LEADERS + i)), "node", "comp")).alias(f"l{i}") for i in range(LEADERS)]
+        lead = left.groupBy("token").agg(*least).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"l{i}.node", f"l{i}.comp") for i in range(LEADERS)]))).alias("l"))
+        lead = materialise(lead.select("token", F.col("l.node").alias("lead"), F.col("l.comp").alias("lead_comp")), "leaders")
         near = left.join(lead, "token").where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         near = near.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b").where(_alike("na", "nb", percent)).where(f"{_matches('sa', 'sb')} >= {t}")
         if not test(near.select("a", "b")):
