@@ -124,16 +124,22 @@ def _inputs(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(hits)), np.minimum(hits, 4.0), np.log1p(1000 * hits / np.maximum(words, 50.0))], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
+    """The curve and its loss; row i stands for ``weight[i]`` rows. A Newton step that makes the loss larger is halved."""
+    def loss(w: np.ndarray) -> float:
+        z = np.clip(x @ w, -30, 30)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
+        while np.abs(step).max() >= 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + ridge / 2 * w @ w)
+    return w, loss(w)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: int = 4000, max_common: int = 30_000,
@@ -144,14 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
     of them train the dictionaries: the toxic one gets the words and stems that are significantly more frequent in toxic documents
     (log-likelihood ratio above the logarithm of the number of different ones), at most ``max_words``; the ordinary one
     the most frequent others among those that look like these, so that what both classes share costs the same. The remaining third
-    chooses the threshold and fits a logistic curve. Without labels of both classes every score is about 0.
+    chooses the threshold and fits a logistic curve; each of its documents counts for all that its class has for one drawn, so that
+    scores keep the class ratio of all labelled rows, whatever their number. Without labels of both classes every score is about 0.
     """
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).alias("_y"))
     label = label.where(~_held_out("_i")).withColumn("_y", (F.col("_y") > 0).cast("int"))
     sizes = {r["_y"]: r["count"] for r in label.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         return Model()
-    share = F.when(F.col("_y") == 1, min(1.0, max_docs / sizes[1])).otherwise(min(1.0, max_docs / sizes[0]))
+    shares = [min(1.0, max_docs / sizes[k]) for k in (0, 1)]
+    share = F.when(F.col("_y") == 1, shares[1]).otherwise(shares[0])
     chosen = label.where(unit_hash(F.concat(F.lit("t"), F.col("_i").cast("string"))) < share)
     sample = docs.select(F.col(id_col).alias("_i"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_i")   # at most about 2 * max_docs ids
     fit = unit_hash(F.concat(F.lit("f"), F.col("_i").cast("string"))) < 2 / 3
@@ -175,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
     if not rows:
         return Model()
     y, words, hits = np.array([r["y"] for r in rows], float), np.array([r["words"] for r in rows]), np.array([r["hits"] for r in rows])
+    weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
     best = None
     for k, g in enumerate(GRID):
-        w, loss = _logistic(_inputs(hits[:, k], words), y)
+        w, loss = _logistic(_inputs(hits[:, k], words), y, weight)
         if best is None or loss < best[0] - 1e-9:
             best = (loss, g, w)
     model.threshold, model.weights = best[1], [float(v) for v in best[2]]

@@ -385,6 +385,20 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.drop_toxic(odd, labels.where("false")).columns == odd.columns
 
 
+def test_toxicity_keeps_the_class_ratio(spark):
+    prepare(spark)
+    rows = []
+    for i in range(6600):
+        y = int(i % 11 == 0)
+        hit = (i // 11) % 10 < (6 if y else 2)
+        rows.append((i, ("vileword " if hit else "") + f"some plain text number{i % 50} again", y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    true = sum(y for _, t, y in rows if "vileword" in t) / sum("vileword" in t for _, t, _ in rows)
+    for max_docs in (8000, 350):                           # uncut; ordinary documents cut to about a twelfth
+        got = toxicity.toxicity(docs.drop("toxic"), docs.drop("text"), max_docs=max_docs).join(docs, "doc_id").where("text LIKE 'vile%'").agg(F.avg("score"), F.max("predicted")).first()
+        assert abs(got[0] - true) < 0.08 and got[1] == 0
+
+
 # ---------------------------------------------------------------- mixing, sharding
 
 def test_targets_refill_to_the_caps(spark):
