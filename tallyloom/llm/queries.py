@@ -50,7 +50,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.extendible_shards(_docs(spark, sf_dir))
+    return sharding.extendible_shards(_docs(spark, sf_dir)).drop("_row")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz, op3_pack, op4_minhash, op5_repeats, op6_quality, op7_toxicity, op8_embeddings, op9_mix_sources, op10_sharding)}

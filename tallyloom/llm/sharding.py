@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import numbered
+from .common import fixed, fresh, numbered
 
 #: Bits of the key: the first ones come from the md5 of the id, the last ones tell rows of one id apart.
 ID_BITS, ROW_BITS = 48, 15
@@ -17,7 +17,7 @@ MEBIBYTE = 1 << 20
 
 
 def extendible_shards(docs: DataFrame, limit_bytes: int = MEBIBYTE, id_col: str = "doc_id", text_col: str = "text", slack_bits: int = 4) -> DataFrame:
-    """``(doc_id, n_bytes, depth, prefix, shard_id, shard_bytes, shard_docs, fits)`` for every row.
+    """``(doc_id, n_bytes, depth, prefix, shard_id, shard_bytes, shard_docs, fits, _row)`` for every row.
 
     A shard is a bucket of extendible hashing: the rows whose hash begins with ``prefix`` (``depth`` bits). A bucket
     over ``limit_bytes`` is split on one more bit, any other stays, so a row's shard is its shortest prefix that fits.
@@ -32,7 +32,7 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = MEBIBYTE, id_col: str
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, ID_BITS // 4), 16, 10).cast("long")
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
                                 key.alias("_id")), "_row")
-    rows = materialise(rows.select("doc_id", "n_bytes", (F.shiftleft("_id", ROW_BITS) + F.pmod(F.xxhash64("_row"), F.lit(1 << ROW_BITS))).alias("_key")), "sized")
+    rows = materialise(rows.select("_row", "doc_id", "n_bytes", (F.shiftleft("_id", ROW_BITS) + F.pmod(F.xxhash64("_row"), F.lit(1 << ROW_BITS))).alias("_key")), "sized")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     low, high = 0, min(BITS, math.ceil(math.log2(max(1, total / limit_bytes))) + slack_bits)
     left, found = rows, None
@@ -54,10 +54,29 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = MEBIBYTE, id_col: str
         low, high = high + 1, min(BITS, high + 8)
     shard = F.expr("shiftleft(1L, cast(depth AS INT)) + prefix").alias("shard_id")
     return found.select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "prefix", shard, "shard_bytes", "shard_docs",
-                        (F.col("shard_bytes") <= limit_bytes).alias("fits"))
+                        (F.col("shard_bytes") <= limit_bytes).alias("fits"), "_row")
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents as one Parquet folder per shard; a shard's rows meet in one task, at most ``limit_bytes`` of text."""
-    owned = docs.join(shards.select(F.col("doc_id").alias(id_col), "shard_id").distinct(), id_col)
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents as one Parquet folder per shard; a shard's rows meet in one task, at most ``limit_bytes`` of text.
+
+    ``shards`` is :func:`extendible_shards` of the same ``docs``. Rows are joined by their number, so rows that share an id
+    or have none are each written once, to their own shard. Where ``docs`` may give its rows in another order on
+    another pass, use :func:`shard`. Every row's id and size are compared with those of its number; rows that do not fit are an error.
+    """
+    row = fresh(docs, "_row")
+    number, doc_id, size = fresh(docs, "_number"), fresh(docs, "_id"), fresh(docs, "_size")
+    owner = shards.select(F.col("_row").alias(number), F.col("doc_id").alias(doc_id), F.col("n_bytes").alias(size), "shard_id")
+    n_bytes = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0))
+    same = (F.col(row) == F.col(number)) & F.col(f"`{id_col}`").eqNullSafe(F.col(doc_id)) & (n_bytes == F.col(size))
+    owned = numbered(docs, row).join(owner, same).drop(row, number, doc_id, size)
     owned.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    written, wanted = docs.sparkSession.read.schema("shard_id long").parquet(path).count(), shards.count()
+    if written != wanted:
+        raise ValueError(f"{written} of {wanted} rows were written: docs gave its rows in another order than for shards; use shard(docs, path)")
+
+
+def shard(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
+    """Deal ``docs``, whatever its plan, to shards and write them; see :func:`extendible_shards` and :func:`write_shards`."""
+    docs = fixed(docs)
+    write_shards(docs, extendible_shards(docs, id_col=id_col, text_col=text_col, **options), path, id_col, text_col)

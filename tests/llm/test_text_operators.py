@@ -448,3 +448,17 @@ def test_shards_are_written(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count()
     assert back.groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).where("b > 100000 AND n > 1").count() == 0
+
+
+def test_shards_hold_every_row_once(spark, tmp_path):
+    same = [(7 if i % 2 else None, "x" * 100, str(i)) for i in range(200)] + [(i, None, None) for i in range(5)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, _row string")
+    sharding.write_shards(docs, sharding.extendible_shards(docs, limit_bytes=1000), str(tmp_path / "plain"))
+    sharding.shard(docs.repartition(3), str(tmp_path / "dealt"), limit_bytes=1000)           # not a plain scan
+    for name in ("plain", "dealt"):
+        back = spark.read.parquet(str(tmp_path / name))
+        assert Counter((r.doc_id, r.text, r._row) for r in back.collect()) == Counter(same)
+        assert back.groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 1000").count() == 0
+    other = docs.orderBy(F.desc("_row"), F.desc("doc_id"))
+    with pytest.raises(ValueError):
+        sharding.write_shards(other, sharding.extendible_shards(docs, limit_bytes=1000), str(tmp_path / "other"))
