@@ -87,8 +87,9 @@ def neighbour_links(nodes: DataFrame, least: float, places: int = 8, tables: int
     member are compared, and a list that is full of links takes no more. Rounds end when few places change; then recall is measured on
     ``AUDIT`` vectors compared with all others, and while it is below ``recall`` all lists are doubled and more rounds follow.
 
-    A list full of links is saturated: the node may have more. All its links are in its component, so the components with a saturated
-    node are marked ``full``, and :func:`count_within` compares these whole. ``nodes`` is ``(node, g, unit array<double>)``.
+    A list full of links is saturated: the node may have more, in its own component or another. The components with a saturated
+    node are marked ``full``; :func:`merge_full` joins those that any link connects, and :func:`count_within` compares these whole.
+    Recall that stays below ``recall`` is an error. ``nodes`` is ``(node, g, unit array<double>)``.
     """
     light = materialise(nodes.select("node", "g", F.col("unit").cast("array<float>").alias("unit")), "light")
     first = materialise(_start(nodes, tables, reach), "start")
@@ -126,9 +127,12 @@ def neighbour_links(nodes: DataFrame, least: float, places: int = 8, tables: int
         parts = parts.join(crowded.select("node", F.lit(True).alias("crowded")), "node", "left")
         parts = materialise(parts, "parts")
         full = parts.groupBy("comp").agg(F.coalesce(F.max("crowded"), F.lit(False)).alias("full"))
-        parts = materialise(parts.select("node", "comp").join(full, "comp"), "parts")
-        if audit(nodes, linked, parts, least) >= recall or done >= 4 * rounds:
+        parts = merge_full(nodes, materialise(parts.select("node", "comp").join(full, "comp"), "parts"), least)
+        reached = audit(nodes, linked, parts, least)
+        if reached >= recall:
             return linked, parts
+        if done >= 4 * rounds:
+            raise RuntimeError(f"{reached:.3f} of the links of {AUDIT} vectors found after {done} rounds, less than {recall}")
         places *= 2
         graph = graph.withColumn("new", F.lit(True))
 
@@ -139,6 +143,60 @@ def _in_block_pairs(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
 
+def merge_full(nodes: DataFrame, parts: DataFrame, least: float, block: int = 128, centres: int = 1024) -> DataFrame:
+    """``parts`` with full components that any link connects as one.
+
+    The nodes of full components are dealt to balls of about ``block``, each in one component. By the triangle inequality two balls can
+    hold a link only if the angle of their centres is at most both radii and the angle of ``least``; the centres of a group are compared
+    in pairs of blocks, and balls that pass are compared whole. Nothing is left out, so one pass finds every such pair of components.
+    """
+    full = parts.where("full").join(nodes, "node")
+    sizes = materialise(parts.where("full").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "sizes")
+    balls = full.join(sizes, "comp").groupBy("g", "comp", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    balls = materialise(balls.agg(F.min("node").alias("ball"), F.collect_list("unit").alias("units")).drop("own"), "balls")
+    widest = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-4         # rounding must not lose a pair
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            middle, radius = [], []
+            for row in range(batch.num_rows):
+                x = _matrix(batch.column(3).slice(row, 1).flatten())
+                m = x.sum(0)
+                m = m / np.linalg.norm(m) if np.linalg.norm(m) > 1e-9 else x[0]
+                middle.append(m)
+                radius.append(float(np.arccos(np.clip((x @ m).min(), -1, 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(middle, pa.list_(pa.float64())), pa.array(radius, pa.float64())], ["g", "comp", "ball", "centre", "radius"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                items = batch.column(0).slice(row, 1).flatten()
+                ball, comp, own, radius = (items.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                x = _matrix(items.field(4))
+                ok = np.arccos(np.clip(x @ x.T, -1, 1)) <= radius[:, None] + radius[None, :] + widest
+                ok &= (comp[:, None] != comp[None, :]) & (ball[:, None] < ball[None, :])
+                if batch.column(1)[row].as_py():
+                    ok &= own[:, None] != own[None, :]
+                a, b = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(ball[a]), pa.array(ball[b])], ["a", "b"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [bool((_matrix(batch.column(2).slice(row, 1).flatten()) @ _matrix(batch.column(3).slice(row, 1).flatten()).T >= least).any()) for row in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], ["src", "dst"])
+
+    centred = materialise(balls.mapInArrow(centre, "g string, comp long, ball long, centre array<double>, radius double"), "centres")
+    per_group = materialise(centred.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / centres).alias("blocks")), "sizes")
+    dealt = _in_block_pairs(centred.join(per_group, "g"), "ball").groupBy("g", "i", "j").agg(F.collect_list(F.struct("ball", "comp", "own", "radius", "centre")).alias("items"))
+    pairs = materialise(dealt.select("items", F.col("i") != F.col("j")).mapInArrow(close, "a long, b long"), "near_balls")
+    one, two = balls.select(F.col("ball").alias("a"), F.col("comp").alias("src"), F.col("units").alias("x")), balls.select(F.col("ball").alias("b"), F.col("comp").alias("dst"), F.col("units").alias("y"))
+    links = materialise(pairs.join(one, "a").join(two, "b").select("src", "dst", "x", "y").mapInArrow(linked, "src long, dst long").distinct(), "between")
+    if links.isEmpty():
+        return parts
+    merged = connected_components(links, "src", "dst").select(F.col("node").alias("comp"), "component")
+    return materialise(parts.join(merged, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"), "full"), "parts")
+
+
 def count_within(nodes: DataFrame, parts: DataFrame, least: float, block: int = 128) -> DataFrame:
     """``(node, linked)``: other vectors linked to each node of a full component; whole components are compared in pairs of blocks."""
     full = parts.where("full").join(nodes, "node")

@@ -59,3 +59,22 @@ def test_clusters_and_odd_rows(spark):
     assert Counter(tuple(r)[:4] for r in got.collect()) == plain(rows, 0.98)
     assert vectors.embedding_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     assert got.where(F.col("n_links") > 30).count() >= 120
+
+
+def test_links_between_saturated_groups(spark):
+    prepare(spark)
+    rng = np.random.default_rng(1)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    rows = []
+    for label in range(2):
+        for centre in (a, 0.985 * a + np.sqrt(1 - 0.985 ** 2) * b):       # cosine 0.999 inside, about 0.985 across
+            for _ in range(60):
+                rows.append((len(rows), [float(np.float32(x)) for x in centre + 0.0055 * rng.standard_normal(32)], label, "x"))
+    # as if every list had closed inside its own group: two components of a label, both with full lists
+    units = [(i, str(r[2]), [float(x) for x in np.array(r[1]) / np.linalg.norm(r[1])]) for i, r in enumerate(rows)]
+    nodes = spark.createDataFrame(units, "node long, g string, unit array<double>")
+    parts = spark.createDataFrame([(i, i // 60 * 60, True) for i in range(len(rows))], "node long, comp long, full boolean")
+    for block in (128, 16):
+        got = vectors.merge_full(nodes, parts, 0.98, block=block, centres=block // 8).collect()
+        assert sorted((r.node, r.comp, r.full) for r in got) == [(i, i // 120 * 120, True) for i in range(len(rows))]
+    assert {r.comp for r in vectors.merge_full(nodes, parts, 0.998).collect()} == {0, 60, 120, 180}
