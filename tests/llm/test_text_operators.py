@@ -365,6 +365,21 @@ def test_quality_separates(spark):
     assert share[1] > 0.93 and share[0] < 0.5
 
 
+def test_quality_of_small_languages(spark):
+    prepare(spark)
+    rows = [(i, "en", f"the plain words number {i % 7} of a text", 1) for i in range(2000)]
+    rows += [(2000 + i, "xx", f"ein kleiner satz {i % 5} mit worten", 1) for i in range(20)] + [(2020, "xx", "zq vj wk pf gh", 0), (2021, "yy", "no trusted text", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, quality int").repartition(4, "doc_id")
+    scores = []
+    for max_docs in (8000, 40):
+        got = {r.doc_id: r for r in quality.quality(docs.drop("quality"), docs.drop("text", "lang"), max_docs=max_docs).collect()}
+        assert len(got) == len(rows) and not got[2020].kept
+        assert got[2021].kept and got[2021].perplexity is None and got[2021].threshold is None
+        scores.append([got[i].perplexity for i in range(2000, 2021)])
+    assert scores[0] == pytest.approx(scores[1])          # a large language beside it changes nothing
+    assert quality._level([10, 1000, 5000], 605) == 300 and quality._level([10, 20], 600) == 600
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op7_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
