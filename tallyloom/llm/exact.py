@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, shuffle_width
-from .common import fixed, fresh, lower_ascii, numbered, text_or_empty
+from .common import fixed, fresh, located, lower_ascii, text_or_empty
 
 RADIX_BITS = 4  # each merge takes the runs of 2^4 partitions, by one hex digit of the digest
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, _row, _part, digest, n_bytes, check)``: one written row per document, read from the text once."""
-    norm = numbered(docs.select(F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("_part"), lower_ascii(text_or_empty(text_col)).alias("_t")), "_row")
+    norm = located(fixed(docs), "_row", F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("_part"), lower_ascii(text_or_empty(text_col)).alias("_t"))
     return materialise(norm.select("doc_id", "_row", "_part", F.sha2("_t", 256).alias("digest"), F.octet_length("_t").alias("n_bytes"),
                                    F.xxhash64("_t").alias("check")), "digests")
 
@@ -47,8 +47,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are after lower-casing A-Z; null counts as empty, so all null and empty texts are one
     group. Of equal texts the row with the largest (or smallest) id stays; among rows that share that id, too, the last
-    (first) of the scan, so exactly one row of a group is kept. A null id is smaller than any other. An empty
-    table gives an empty result. ``_row`` numbers the rows of the scan; other columns are not read.
+    (first) in order of files, so exactly one row of a group is kept. A null id is smaller than any other. An empty
+    table gives an empty result. ``_row`` is a row's place in its files; other columns are not read.
     """
     rows = digests(docs, id_col, text_col)
     groups = merge_runs(rows, keep)
@@ -62,4 +62,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = fixed(docs)
     row = fresh(docs, "_row")
     stay = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("_row").alias(row))
-    return numbered(docs, row).join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return located(docs, row).join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

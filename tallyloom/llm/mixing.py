@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WORD, fixed, fresh, numbered, text_or_empty, unit_hash
+from .common import WORD, fixed, fresh, located, text_or_empty, unit_hash
 
 SLICES = 4096  # slices of the rank scale; a window never holds more than one slice of a source
 
@@ -45,18 +45,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     The cut is found by words per slice of the rank scale, so no window holds more than a 4096th of a source.
     Null text has size 0; null is a source of its own, the last; a null id hashes as an empty one; rows that
-    share an id are ranked by their place in the scan. A source without words has target 0. Other columns are not read.
+    share an id are ranked by their place in the files. A source without words has target 0, and its documents are not taken;
+    so is a table without words. Other columns are not read.
     """
     extra = [F.col(odds_col).cast("double").alias("_w")] if odds_col else [F.lit(1.0).alias("_w")]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-                       *extra)
-    rows = materialise(numbered(rows, "_row"), "sizes")
+    rows = located(fixed(docs), "_row", F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                   F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), *extra)
+    rows = materialise(rows, "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = materialise(targets.withColumnRenamed("source", "_s"), "targets")
     u = unit_hash(F.col("doc_id"))
-    p = F.col("rest") / F.col("source_size")
+    p = F.try_divide("rest", "source_size")
     t = rows.join(targets, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", (u / (1 - u)) / F.coalesce(F.col("_w"), F.lit(1.0)))
     t = t.withColumn("rank", F.when((p > 0) & (p < 1), F.col("_u") / (p / (1 - p)))) \
         .withColumn("slice", F.floor(F.lit(SLICES) * (F.col("_u") / (1 + F.col("_u"))))).drop("_s", "_u", "_w")
@@ -90,5 +91,5 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     row = fresh(docs, "_row")
     mix = mix_sources(docs, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(fresh(docs, "_copies")))
     copies = mix.columns[1]
-    out = numbered(docs, row).join(mix, row).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
+    out = located(docs, row).join(mix, row).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import fixed, fresh, numbered
+from .common import fixed, fresh, located
 
 #: Bits of the key: the first ones come from the md5 of the id, the last ones tell rows of one id apart.
 ID_BITS, ROW_BITS = 48, 15
@@ -30,8 +30,8 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = MEBIBYTE, id_col: str
     An empty table gives an empty result. Other columns are not read.
     """
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, ID_BITS // 4), 16, 10).cast("long")
-    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
-                                key.alias("_id")), "_row")
+    rows = located(fixed(docs), "_row", F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
+                   key.alias("_id"))
     rows = materialise(rows.select("_row", "doc_id", "n_bytes", (F.shiftleft("_id", ROW_BITS) + F.pmod(F.xxhash64("_row"), F.lit(1 << ROW_BITS))).alias("_key")), "sized")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     low, high = 0, min(BITS, math.ceil(math.log2(max(1, total / limit_bytes))) + slack_bits)
@@ -64,12 +64,13 @@ def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "d
     or have none are each written once, to their own shard. Where ``docs`` may give its rows in another order on
     another pass, use :func:`shard`. Every row's id and size are compared with those of its number; rows that do not fit are an error.
     """
+    docs = fixed(docs)
     row = fresh(docs, "_row")
     number, doc_id, size = fresh(docs, "_number"), fresh(docs, "_id"), fresh(docs, "_size")
     owner = shards.select(F.col("_row").alias(number), F.col("doc_id").alias(doc_id), F.col("n_bytes").alias(size), "shard_id")
     n_bytes = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0))
     same = (F.col(row) == F.col(number)) & F.col(f"`{id_col}`").eqNullSafe(F.col(doc_id)) & (n_bytes == F.col(size))
-    owned = numbered(docs, row).join(owner, same).drop(row, number, doc_id, size)
+    owned = located(docs, row).join(owner, same).drop(row, number, doc_id, size)
     owned.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
     written, wanted = docs.sparkSession.read.schema("shard_id long").parquet(path).count(), shards.count()
     if written != wanted:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import fixed, numbered, text_or_empty
+from .common import fixed, located, text_or_empty
 from .words import mix
 
 GROUP_BYTES = 1 << 21     # bytes hashed at once; a longer text is taken in slices that overlap by the threshold length
@@ -199,7 +199,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     gives an empty result; other columns are not read. ``spans`` are (start, end) byte positions.
     """
     docs = fixed(docs)
-    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t")), "_row")
+    rows = located(docs, "_row", F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t")).select("doc_id", "_t", "_row")
     by_core = Window.partitionBy("core").orderBy("ctx")
     before, after = F.lag("ctx").over(by_core), F.lead("ctx").over(by_core)
     marked = runs_by_digit(rows.select("_row", "_t"), length).withColumn("before", before).withColumn("after", after)
