@@ -34,7 +34,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     often = held.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "_row")).alias("stay")).where(F.col("n") >= min_docs)
     often = materialise(often.select("h", "h2", F.col("stay._row").alias("stay")), "often")
     gone = held.join(often, ["h", "h2"]).where("_row <> stay").groupBy("_row").agg(F.flatten(F.collect_list("at")).alias("gone"))
-    out = rows.join(materialise(gone, "gone"), "_row", "left")
+    out = rows.join(materialise(gone, "gone").hint("merge"), "_row", "left")      # grows with the documents: never sent to every task, also where it is small
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     text = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"), "_row")
