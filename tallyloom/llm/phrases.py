@@ -20,6 +20,7 @@ NO_LANG = "und"
 TEXT_BYTES = 4 << 20       # texts are taken in parts of about this size, longer ones in several
 WORD_BITS = 27             # bits of the table of frequent words, and of that of frequent pairs: 16 MiB each, whatever the data
 BUCKET_BITS = 16           # prefixes are dealt to groups by this many bits of their hash
+LONG_WORD = 64             # bytes; longer words are hashed one by one
 SEPARATOR = rb"\x09-\x0d\x20.,;:!?"
 
 _END = re.compile(b"[" + SEPARATOR + b"]")
@@ -35,35 +36,38 @@ _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 class Words:
     """The words of some texts of one language: two hashes of each, and the number of the piece that it stands in."""
 
-    _powers: list[tuple[np.ndarray, np.ndarray]] = []
-
     def __init__(self, raw: bytes, lang: str, check: bool = False):
         self.raw = raw.lower()                     # of bytes: A-Z only
         byte = np.frombuffer(self.raw, np.uint8)
         kind = _KIND[byte]
         edge = np.diff(np.concatenate([[False], kind == 0, [False]]).astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.cumsum(kind == 2)[self.start] if len(self.start) else np.empty(0, np.int64)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.start] if len(self.start) else np.empty(0, np.int32)
         salt = np.uint64(xxhash.xxh3_64_intdigest(lang))
         self.id = self._hash(byte, 0, salt)
         self.check = self._hash(byte, 1, salt) if check else None
 
     def _hash(self, byte: np.ndarray, k: int, salt: np.uint64) -> np.ndarray:
-        n = len(byte) + 1
-        if not Words._powers or len(Words._powers[0][0]) < n:
-            inverse = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
-            grow = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n + TEXT_BYTES, b)]))
-            Words._powers = [(grow(b), grow(i)) for b, i in zip(_BASES, inverse, strict=True)]
-        power, inverse = Words._powers[k]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[k][byte] * power[:n - 1])])
-        found = mix(mix((sums[self.end] - sums[self.start]) * inverse[self.start]) ^ salt)
+        """Polynomials of the words' bytes, one byte of all words at a time; the few very long words one by one."""
+        sizes = self.end - self.start
+        order = np.argsort(-sizes, kind="stable")
+        start, left = self.start[order], np.searchsorted(-sizes[order], -np.arange(LONG_WORD))       # words that have more than so many bytes
+        out = sizes[order].astype(np.uint64)
+        for at, n in enumerate(left.tolist()):
+            if not n:
+                break
+            out[:n] = out[:n] * _BASES[k] + _VALUES[k][byte[start[:n] + at]]
+        for i in range(int(np.searchsorted(-sizes[order], -LONG_WORD))):
+            out[i] = xxhash.xxh3_64_intdigest(self.raw[start[i]:start[i] + sizes[order[i]]], k)
+        found = np.empty(len(out), np.uint64)
+        found[order] = mix(mix(out) ^ salt)
         return np.maximum(found, np.uint64(1))     # 0 stands for no word
 
 
-def parts(batch: pa.RecordBatch, ahead: int) -> Iterator[tuple[str, bytes, int]]:
+def parts(batch: pa.RecordBatch, ahead: int, size: int) -> Iterator[tuple[str, bytes, int]]:
     """``(lang, bytes, own)`` from columns (lang, text): texts of one language one after the other, a line feed between them.
 
-    A text over ``TEXT_BYTES`` comes in parts that end between words; each brings the next ``ahead`` words of the text along,
+    A text over ``size`` bytes comes in parts that end between words; each brings the next ``ahead`` words of the text along,
     and only words that start before ``own`` are its own.
     """
     onward = re.compile(b"(?:[" + SEPARATOR + b"]*[^" + SEPARATOR + b"]+){0,%d}" % ahead)
@@ -71,17 +75,17 @@ def parts(batch: pa.RecordBatch, ahead: int) -> Iterator[tuple[str, bytes, int]]
     sizes: dict[str, int] = {}
     texts = batch.column(1).cast(pa.binary())
     for lang, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
-        if len(raw.as_buffer()) > TEXT_BYTES:
+        if len(raw.as_buffer()) > size:
             whole, at = raw.as_py(), 0
             while at < len(whole):
-                cut = _END.search(whole, min(len(whole), at + TEXT_BYTES))
+                cut = _END.search(whole, min(len(whole), at + size))
                 to = cut.start() if cut else len(whole)
                 yield lang, whole[at:onward.match(whole, to).end()], to - at
                 at = to
             continue
         held.setdefault(lang, []).append(raw.as_py())
         sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
-        if sizes[lang] > TEXT_BYTES:
+        if sizes[lang] > size:
             joined = b"\n".join(held.pop(lang))
             del sizes[lang]
             yield lang, joined, len(joined)
@@ -90,24 +94,24 @@ def parts(batch: pa.RecordBatch, ahead: int) -> Iterator[tuple[str, bytes, int]]
         yield lang, joined, len(joined)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about ``TEXT_BYTES`` for each of a few languages."""
-    held, size = [], 0
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``size`` bytes for each of a few languages."""
+    held, total = [], 0
     for batch in batches:
         held.append(batch)
-        size += batch.get_total_buffer_size()
-        if size > 2 * TEXT_BYTES:
+        total += batch.get_total_buffer_size()
+        if total > 2 * size:
             yield pa.concat_batches(held)
-            held, size = [], 0
+            held, total = [], 0
     if held:
         yield pa.concat_batches(held)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, part_bytes: int) -> DataFrame:
     """``(lang, id, word, f)``: every word of every language. Two words with the same 64-bit hash are an error, told by a second hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches):
-            for lang, raw, own in parts(batch, 0):
+        for batch in _gathered(batches, part_bytes):
+            for lang, raw, own in parts(batch, 0, part_bytes):
                 w = Words(raw, lang, check=True)
                 n = int(np.searchsorted(w.start, own))
                 ids, at, back, f = np.unique(w.id[:n], return_index=True, return_inverse=True, return_counts=True)
@@ -150,12 +154,12 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[at], f
 
 
-def pair_counts(texts: DataFrame, frequent, min_count: int) -> DataFrame:
+def pair_counts(texts: DataFrame, frequent, min_count: int, part_bytes: int) -> DataFrame:
     """``(w1, w2, f)``: pairs of neighbouring words, ``min_count`` times or more. ``frequent``: table of the words that come into question."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
-        for batch in _gathered(batches):
-            for lang, raw, own in parts(batch, 1):
+        for batch in _gathered(batches, part_bytes):
+            for lang, raw, own in parts(batch, 1, part_bytes):
                 w = Words(raw, lang)
                 if len(w.id) < 2:
                     continue
@@ -217,7 +221,7 @@ class Partition:
         return plan
 
 
-def subtree_counts(texts: DataFrame, pairs, plan, depth: int, min_count: int) -> DataFrame:
+def subtree_counts(texts: DataFrame, pairs, plan, depth: int, min_count: int, part_bytes: int) -> DataFrame:
     """``(w1 .. w<depth>, f)``: phrases of three words or more, ``min_count`` times or more; no word is 0.
 
     A suffix is the run of words from some place on, cut at ``depth`` words, at the end of its piece and before a pair that is not frequent:
@@ -228,8 +232,8 @@ def subtree_counts(texts: DataFrame, pairs, plan, depth: int, min_count: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, groups = pairs.value, plan.value
-        for batch in _gathered(batches):
-            for lang, raw, own in parts(batch, depth - 1):
+        for batch in _gathered(batches, part_bytes):
+            for lang, raw, own in parts(batch, depth - 1, part_bytes):
                 w = Words(raw, lang)
                 if len(w.id) < 3:
                     continue
@@ -271,8 +275,8 @@ def subtree_counts(texts: DataFrame, pairs, plan, depth: int, min_count: int) ->
     return texts.mapInArrow(cut, f"g int, {kinds}, f long").groupBy("g").applyInArrow(grow, f"{kinds}, f long")
 
 
-def collocations(docs: DataFrame, min_count: int = 30, depth: int = 4, contained: int = 80, top: int = 2000, scale: int = 2_000_000, budget: int = 1 << 20,
-                 text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 30, depth: int = 4, contained: int = 80, top: int = 2000, scale: int = 2_000_000, budget: int = 1 << 18,
+                 part_bytes: int = TEXT_BYTES, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's first ``top`` phrases of 2 to ``depth`` words.
 
     Texts, A-Z lower-cased, are split at ``. , ; : ! ?`` and line breaks into pieces and these at blanks and tabs into words; a
@@ -285,17 +289,17 @@ def collocations(docs: DataFrame, min_count: int = 30, depth: int = 4, contained
     prefixes within ``budget`` suffixes (:class:`Partition`), whose subtrees are built independently (:func:`subtree_counts`). What goes
     to every worker are two tables of fixed size, one group number per bucket, and the words and pairs above the budget.
 
-    Null and empty texts have no words; a text of any length is taken in parts. Repeated rows count each. An empty table gives an empty
+    Null and empty texts have no words; a text over ``part_bytes`` is taken in parts, and no part is much larger. Repeated rows count each. An empty table gives an empty
     result; other columns, the id included, are not read.
     """
     spark = docs.sparkSession
     names = [f"w{k + 1}" for k in range(depth)]
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_or_empty(text_col).alias("text"))
-    every = materialise(word_counts(texts), "words")
+    every = materialise(word_counts(texts, part_bytes), "words")
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = materialise(every.where(F.col("f") >= min_count), "frequent")
     frequent = spark.sparkContext.broadcast(BitTable(words.select("id")))
-    pairs = materialise(pair_counts(texts, frequent, min_count), "pairs")
+    pairs = materialise(pair_counts(texts, frequent, min_count, part_bytes), "pairs")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +307,7 @@ def collocations(docs: DataFrame, min_count: int = 30, depth: int = 4, contained
 
     linked = spark.sparkContext.broadcast(BitTable(pairs.select("w1", "w2").mapInArrow(keyed, "id long")))
     plan = spark.sparkContext.broadcast(Partition.plan(pairs, budget))
-    longer = subtree_counts(texts, linked, plan, depth, min_count)
+    longer = subtree_counts(texts, linked, plan, depth, min_count, part_bytes)
     none = F.lit(0).cast("long")
     phrases = materialise(pairs.select("w1", "w2", *[none.alias(c) for c in names[2:]], "f").unionByName(longer), "phrases")
 
