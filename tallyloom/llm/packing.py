@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,33 +19,47 @@ from ..session import materialise
 from .common import numbered, text_or_empty
 from .words import regroup
 
-#: Text in which a blank stands before more white space, or at the end. Such texts are encoded whole; in all others every
+#: Text in which a blank stands before more white space, or at the end. Such texts, and those with strings of added tokens, are encoded whole; in all others every
 #: blank begins a new word for the tokenizer, so a text's ids are those of its blank-separated words one after the other.
 ODD_BLANKS = " (?:[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 TEXT_BYTES = 8 << 20   # texts are encoded in groups of about this size
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary, the same as the tokenizers library gives without special tokens.
+    """Ids of a byte-level BPE vocabulary, the same as the tokenizers library gives without adding special tokens.
 
-    The vocabulary file is that library's; ids are computed by the tiktoken library's encoder over its merges, which is several
+    The strings of added tokens that stand in a text are their ids, as in that library (``special=False``: ordinary text). The vocabulary file is that library's; ids are computed by the tiktoken library's encoder over its merges, which is several
     times faster for single words (a test holds the two against each other).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import public_tokenizers
         import tiktoken
         spec = json.load(open(path, encoding="utf-8"))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(printable)]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        added = spec.get("added_tokens", [])
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that match by more than their string are not known here")
+        self.added = {t["content"]: t["id"] for t in added} if special else {}
+        self.marks = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in {t["content"] for t in added}}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
         found = [self.bpe.encode_ordinary(t) for t in texts]
+        return self._flat(found)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that may hold the strings of added tokens."""
+        if self.marks is None:
+            return self.words(texts)
+        return self._flat([[i for part in self.marks.split(t) for i in ([self.added[part]] if part in self.added else self.bpe.encode_ordinary(part))] for t in texts])
+
+    @staticmethod
+    def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
         return flat, sizes
@@ -60,6 +75,8 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 def encode(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all texts, and ids per text. Every distinct word is encoded once."""
     odd = pc.match_substring_regex(texts, ODD_BLANKS).to_numpy(zero_copy_only=False)
+    for mark in encoder.added:
+        odd = odd | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
     plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts) if odd.any() else texts
     parts = pc.split_pattern(plain, " ")
     offsets = np.diff(parts.offsets.to_numpy())
@@ -76,7 +93,7 @@ def encode(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts = np.add.reduceat(sizes[index], np.cumsum(offsets) - offsets) if len(index) else np.zeros(len(texts), np.int64)
     if odd.any():
         where = np.flatnonzero(odd)
-        extra, extra_sizes = encoder.words([texts[i].as_py() for i in where])
+        extra, extra_sizes = encoder.whole([texts[i].as_py() for i in where])
         begin = np.cumsum(counts) - counts
         pool = np.concatenate([ids, extra])
         begin[where], counts[where] = len(ids) + np.cumsum(extra_sizes) - extra_sizes, extra_sizes
