@@ -166,7 +166,6 @@ def check_packing(got, docs, capacity=1024):
     from tokenizers import Tokenizer
     import public_tokenizers
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -196,7 +195,7 @@ def test_pack_whole_table(spark, texts):
 def test_pack_odd_rows(spark, odd, none):
     check_packing(rows(packing.pack(odd)), [r[:2] for r in ODD])
     assert rows(packing.pack(none)) == []
-    blanks = [(i, t) for i, t in enumerate([" ", "  a", " a  b ", "\n\n x \t y", "don't we'll  x's", "<|endoftext|> a", "é　 x", "a \x85b", "x \x1cb", "x   y ", "a | b"])]
+    blanks = [(i, t) for i, t in enumerate([" ", "  a", " a  b ", "\n\n x \t y", "don't we'll  x's", "<|endoftext|> a", "x<|endoftext|><|endoftext|>y <|endoftext|", "é　 x", "a \x85b", "x \x1cb", "x   y ", "a | b"])]
     check_packing(rows(packing.pack(spark.createDataFrame(blanks, "doc_id long, text string"))), blanks)
 
 
@@ -283,7 +282,6 @@ def test_near_groups_and_odd_rows(spark, odd, none, monkeypatch):
     assert Counter(rows(near.near_dedup(odd, words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept"))) == plain_near([r[:2] for r in ODD], 3, 85)
     assert rows(near.near_dedup(none)) == [] and near.keep_one_per_component(none).count() == 0
     monkeypatch.setattr(near, "BLOCK", 8)          # postings in several blocks
-    monkeypatch.setattr(near, "STAR_ROUNDS", 1)
     rng = np.random.default_rng(1)
     docs = []
     for base in range(3):
@@ -420,7 +418,13 @@ def test_targets_refill_to_the_caps(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
     assert got["a"] == 20 and got[None] == 0 and sum(got.values()) == pytest.approx(1.5 * 2010)
-    assert got["b"] == 2000 and got["c"] == pytest.approx(995)          # 2 to 1 would be over b's cap
+    assert got["b"] == pytest.approx(2995 * 2 / 3) and got["c"] == pytest.approx(2995 / 3)      # a is capped, b and c share the rest 2 to 1
+    sizes = spark.createDataFrame([("a", 10), ("b", 500), ("c", 1500), ("d", 1000)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    assert got["a"] == 20 and got["b"] == 1000 and sum(got.values()) == pytest.approx(1.5 * 3010)    # a is capped; what is left caps b; then d (weight 5)
+    assert got["d"] == 2000 and got["c"] == pytest.approx(4515 - 3020)
+    nothing = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size long")).collect()}
+    assert nothing == {"a": 0, None: 0}
 
 
 def test_mixing_odd_rows(odd, none):
