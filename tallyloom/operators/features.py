@@ -34,6 +34,39 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "robust") -> dict
     return {c: (found[c][0], found[c][1] or 1.0) if c in found else (0.0, 1.0) for c in cols}
 
 
+def fit_scalers(df: DataFrame, cols: Sequence[str], key: str, kind: str = "robust") -> DataFrame:
+    """``(key, center, scale)``: :func:`fit_scaler` for every value of ``key`` in one grouped pass; arrays in the order of ``cols``."""
+    cols = list(cols)
+    if kind == "none" or not cols:
+        zero, one = (F.array(*[F.lit(x)] * len(cols)).cast("array<double>") for x in (0.0, 1.0))
+        return df.select(key).distinct().select(key, zero.alias("center"), one.alias("scale"))
+    if kind == "robust":
+        by_column = exact_percentiles(df, cols, [0.25, 0.5, 0.75], [key]).groupBy(key).agg(
+            F.map_from_entries(F.collect_list(F.struct("column", F.struct(F.col("p1").alias("a"), (F.col("p2") - F.col("p0")).alias("b"))))).alias("m"))
+        pairs = [(F.col("m")[c]["a"], F.col("m")[c]["b"]) for c in cols]
+    else:
+        a, b = (F.avg, F.stddev_pop) if kind == "standard" else (F.min, lambda c: F.max(c) - F.min(c))
+        by_column = df.groupBy(key).agg(*[a(c).cast("double").alias(f"_a{i}") for i, c in enumerate(cols)], *[b(F.col(c)).cast("double").alias(f"_b{i}") for i, c in enumerate(cols)])
+        pairs = [(F.col(f"_a{i}"), F.col(f"_b{i}")) for i in range(len(cols))]
+    scale = [F.when(F.coalesce(b, F.lit(0.0)) == 0, 1.0).otherwise(b) for _, b in pairs]
+    return by_column.select(key, F.array(*[F.coalesce(a, F.lit(0.0)) for a, _ in pairs]).alias("center"), F.array(*scale).alias("scale"))
+
+
+def distance_columns_by(train: DataFrame, df: DataFrame, num: Sequence[str], cat: Sequence[str], key: str, scalers: DataFrame) -> DataFrame:
+    """:func:`distance_columns` where scaling and known codes are those of the training rows with the same ``key``."""
+    out = df.join(scalers, key)
+    numbers = F.array(*[F.col(c).cast("double") for c in num]) if num else F.array().cast("array<double>")
+    out = out.withColumn("vec", F.zip_with(F.zip_with(numbers, "center", lambda x, c: x - c), "scale", lambda x, s: x / s)).drop("center", "scale")
+    hashed = []
+    for c in cat:
+        known = train.select(key, c).distinct().withColumn("_known", F.lit(True))
+        out = join_unique(out, known, [key, c])
+        out = out.withColumn("_h_" + c, F.when(F.col("_known"), F.xxhash64(c)).otherwise(F.lit(0))).drop("_known")
+        hashed.append("_h_" + c)
+    cats = F.array(*hashed).cast("array<bigint>") if hashed else F.array().cast("array<bigint>")
+    return out.withColumn("cats", cats).drop(*hashed)
+
+
 def scaled(scaling: Scaling, col: str) -> Column:
     center, scale = scaling[col]
     return (F.col(col) - F.lit(float(center))) / F.lit(float(scale))

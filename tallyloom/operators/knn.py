@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_div, safe_denominator
-from .features import clean_features, distance_columns, fit_scaler, fold_of, split_rows
+from ..session import materialise
+from .features import clean_features, distance_columns, distance_columns_by, fit_scaler, fit_scalers, fold_of, split_rows
 from .grouping import Totals, by_group, first_rows
-from .metrics import regression_metrics
+from .metrics import adjusted_r2, regression_metrics
 from .nearest import nearest
+from .partial import nearest_partial
 
 
 def _prepare(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequence[str], scaler: str):
@@ -20,15 +22,28 @@ def _prepare(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequenc
     return distance_columns(train, train, num, cat, scaling), distance_columns(train, rows, num, cat, scaling)
 
 
+def weighted_mean(y: str, weights: str, among: Column | None = None) -> Column:
+    """Mean of the neighbours' y: ``uniform``, or by ``distance`` (1 / distance; where some are at distance 0, these alone count).
+    An aggregate over rows with ``distance``; ``among`` restricts the rows."""
+    among = F.lit(True) if among is None else among
+    if weights == "uniform":
+        return F.avg(F.when(among, F.col(y)))
+    if weights != "distance":
+        raise ValueError(f"unknown weights {weights}")
+    here, inverse = F.when(among & (F.col("distance") == 0), F.col(y)), F.when(among & (F.col("distance") > 0), 1 / F.col("distance"))
+    return F.coalesce(F.avg(here), safe_div(F.sum(inverse * F.col(y)), F.sum(inverse)))
+
+
 def knn_regress(train: DataFrame, to_impute: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int = 2,
-                scaler: str = "robust", exclude_same: bool = False) -> DataFrame:
+                scaler: str = "robust", exclude_same: bool = False, weights: str = "uniform", power: float = 2) -> DataFrame:
     """``(id, predicted)``: mean y of the k nearest training rows in scaled + one-hot space.
 
-    ``exclude_same``: training and imputed rows are the same table, each row is predicted from the others.
+    ``exclude_same``: training and imputed rows are the same table, each row is predicted from the others. ``weights``: see
+    :func:`weighted_mean`; ``power``: of the Minkowski distance.
     """
     d, q = _prepare(train, to_impute, num, cat, scaler)
-    near = nearest(q.withColumnRenamed(id, "_qid"), d, k, "_qid", id, cats="cats", exclude_same=exclude_same, carry=[y])
-    return near.groupBy(F.col("_qid").alias(id)).agg(F.avg(y).alias("predicted"))
+    near = nearest(q.withColumnRenamed(id, "_qid"), d, k, "_qid", id, cats="cats", exclude_same=exclude_same, carry=[y], power=power)
+    return near.groupBy(F.col("_qid").alias(id)).agg(weighted_mean(y, weights).alias("predicted"))
 
 
 def _earlier(periods: Sequence[int], time: str, strict: bool) -> Column:
@@ -42,24 +57,27 @@ def knn_regress_past(train: DataFrame, to_impute: DataFrame, num: Sequence[str],
                      exclude_same: bool = False) -> DataFrame:
     """As ``knn_regress``, with neighbours of the same or an earlier period only (``strict``: earlier only)."""
     d, q = _prepare(train, to_impute, num, cat, scaler)
-    periods = sorted(r[0] for r in train.select(time).distinct().collect())  # one row per year
-    q = q.withColumn("_may", _earlier(periods, time, strict)).withColumnRenamed(id, "_qid")
+    q = q.withColumn("_may", _earlier(_periods(train, time), time, strict)).withColumnRenamed(id, "_qid")
     near = nearest(q, d, k, "_qid", id, cats="cats", group=time, groups="_may", exclude_same=exclude_same, carry=[y])
     return near.groupBy(F.col("_qid").alias(id)).agg(F.avg(y).alias("predicted"))
 
 
-def _per_period(parts: Sequence[tuple[int, DataFrame, DataFrame]], num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int, scaler: str) -> DataFrame:
-    """``(id, _tested, predicted)`` for ``(period, training rows, tested rows)``: scaling and known codes of each period come from
-    its own training rows. One search for all periods, in which a training row stands once per period it serves."""
-    donors = asked = None
-    for period, train, test in parts:
-        scaling = fit_scaler(train, num, scaler)
-        d = distance_columns(train, train, num, cat, scaling).select(id, y, "vec", "cats", F.lit(str(period)).alias("_for"))
-        q = distance_columns(train, test, num, cat, scaling).select(F.struct(F.col(id).alias("id"), F.lit(period).alias("tested")).alias("_qid"), "vec", "cats",
-                                                                    F.array(F.lit(str(period))).alias("_may"))
-        donors, asked = (d, q) if donors is None else (donors.unionByName(d), asked.unionByName(q))
-    near = nearest(asked, donors, k, "_qid", id, cats="cats", group="_for", groups="_may", carry=[y])
-    return near.groupBy("_qid").agg(F.avg(y).alias("predicted")).select(F.col("_qid.id").alias(id), F.col("_qid.tested").alias("_tested"), "predicted")
+def _near_by_part(train: DataFrame, test: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int, scaler: str, power: float = 2) -> DataFrame:
+    """``(_id, _for, distance, rank, y)``: the k nearest training rows of each tested row among those with the same ``_for``.
+
+    Scaling and known codes of each part come from its own training rows, all in one grouped pass, and one search serves all parts;
+    a training row stands once per part that it serves.
+    """
+    scalers = materialise(fit_scalers(train, num, "_for", scaler), "scalers")
+    d = distance_columns_by(train, train, num, cat, "_for", scalers).select(id, F.col(y).alias("_y"), "vec", "cats", "_for")
+    q = distance_columns_by(train, test, num, cat, "_for", scalers).select(F.struct(F.col(id).alias("id"), F.col("_for").alias("part")).alias("_qid"), "vec", "cats",
+                                                                           F.array("_for").alias("_may"))
+    near = nearest(q, d, k, "_qid", id, cats="cats", group="_for", groups="_may", carry=["_y"], power=power)
+    return near.select(F.col("_qid.id").alias("_id"), F.col("_qid.part").alias("_for"), "distance", "rank", F.col("_y").alias(y))
+
+
+def _periods(df: DataFrame, time: str) -> list[int]:
+    return sorted(r[0] for r in df.select(time).distinct().collect())  # one row per year
 
 
 def rolling_backtest(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, time: str, k: int = 2,
@@ -69,9 +87,10 @@ def rolling_backtest(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: s
     Nothing of the tested year or a later one enters its scaling or its known codes: a code first seen in it is unknown.
     """
     df = clean_features(df, num, cat)
-    periods = sorted(r[0] for r in df.select(time).distinct().collect())  # one row per year
-    parts = [(p, df.where(F.col(time) < p), df.where(F.col(time) == p)) for p in periods[1:]]
-    pred = _per_period(parts, num, cat, y, id, k, scaler).drop("_tested")
+    tested = F.array(*[F.lit(p) for p in _periods(df, time)[1:]])
+    train = df.withColumn("_for", F.explode(F.filter(tested, lambda p: p > F.col(time)))).withColumn("_for", F.col("_for").cast("string"))
+    test = df.where(F.array_contains(tested, F.col(time))).withColumn("_for", F.col(time).cast("string"))
+    pred = _near_by_part(train, test, num, cat, y, id, k, scaler).groupBy(F.col("_id").alias(id)).agg(F.avg(y).alias("predicted"))
     return regression_metrics(df.select(id, time, y).join(pred, id), y, "predicted", [time])
 
 
@@ -79,13 +98,49 @@ def rolling_backtest_cumulative(df: DataFrame, num: Sequence[str], cat: Sequence
                                 scaler: str = "robust") -> DataFrame:
     """Per year all rows up to it, split 80/20 by id; the test part predicted from the training part, which alone decides scaling and codes."""
     df = split_rows(clean_features(df, num, cat), id)
-    periods = sorted(r[0] for r in df.select(time).distinct().collect())  # one row per year
-    upto = [(p, df.where(F.col(time) <= p)) for p in periods]
-    parts = [(p, d.where("part = 'train'").drop("part"), d.where("part = 'test'").drop("part")) for p, d in upto]
-    pred = _per_period(parts, num, cat, y, id, k, scaler)
+    every = F.array(*[F.lit(p) for p in _periods(df, time)])
+    part = df.withColumn("_for", F.explode(F.filter(every, lambda p: p >= F.col(time)))).withColumn("_for", F.col("_for").cast("string"))
+    near = _near_by_part(part.where("part = 'train'"), part.where("part = 'test'"), num, cat, y, id, k, scaler)
+    pred = near.groupBy(F.col("_id").alias(id), F.col("_for").cast(df.schema[time].dataType).alias("_tested")).agg(F.avg(y).alias("predicted"))
     return regression_metrics(df.select(id, y).join(pred, id).withColumnRenamed("_tested", time), y, "predicted", [time])
 
 
+def knn_grid(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, ks: Sequence[int] = (2, 3, 4, 5), weights: Sequence[str] = ("uniform", "distance"),
+             powers: Sequence[float] = (1, 2), folds: int = 5, scaler: str = "standard") -> DataFrame:
+    """``(k, weights, p, mean_score, sd_score, place)``: adjusted R2 over the folds for every choice, the best first.
+
+    Every fold is predicted from the others, which alone decide its scaling and known codes. Neighbours are searched once per power, for the largest k;
+    the values of all k and both weights are sums over the first of these. The adjustment counts all rows and the columns of ``num`` and ``cat``.
+    """
+    d = clean_features(df, num, cat).withColumn("_fold", fold_of(F.col(id), folds))
+    others = F.filter(F.array(*[F.lit(i) for i in range(folds)]), lambda f: f != F.col("_fold"))
+    train = d.withColumn("_for", F.explode(others)).withColumn("_for", F.col("_for").cast("string"))
+    test = d.withColumn("_for", F.col("_fold").cast("string"))
+    n = d.agg(F.count(F.lit(1)).alias("n")).scalar()
+    choices = [(k, w) for k in ks for w in weights]
+    out = None
+    for power in powers:
+        near = _near_by_part(train, test, num, cat, y, id, max(ks), scaler, power)
+        pred = near.groupBy(F.col("_id").alias(id)).agg(*[weighted_mean(y, w, F.col("rank") <= k).alias(f"_p{i}") for i, (k, w) in enumerate(choices)])
+        rows = d.select(id, "_fold", y).join(pred, id)
+        r2 = [(F.lit(1.0) - safe_div(F.sum((F.col(y) - F.col(f"_p{i}")) ** 2), F.var_pop(y) * F.count(F.lit(1)))).alias(f"_r{i}") for i in range(len(choices))]
+        scores = [F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"), F.lit(float(power)).alias("p"), adjusted_r2(F.col(f"_r{i}"), n, len(num) + len(cat)).alias("score"))
+                  for i, (k, w) in enumerate(choices)]
+        part = rows.groupBy("_fold").agg(*r2).select("_fold", F.explode(F.array(*scores)).alias("s")).select("s.*")
+        out = part if out is None else out.unionByName(part)
+    mean = out.groupBy("k", "weights", "p").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("sd_score"))
+    best = Window.orderBy(F.desc_nulls_last(F.round("mean_score", 12)), "k", F.desc("weights"), "p")      # one row per choice
+    return mean.withColumn("place", F.row_number().over(best)).orderBy("place")
+
+
+def knn_best(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, scaler: str = "standard", **grid) -> DataFrame:
+    """``(id, predicted)`` by the best choice of :func:`knn_grid` on ``train``, refitted on all of it."""
+    best = knn_grid(train, num, cat, y, id, scaler=scaler, **grid).where("place = 1").first()
+    if best is None:
+        return rows.select(id, F.lit(None).cast("double").alias("predicted")).where("false")
+    return knn_regress(train, rows, num, cat, y, id, best["k"], scaler, weights=best["weights"], power=best["p"])
+
+
 def _out_of_fold(df: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int, folds: int, scaler: str) -> tuple[DataFrame, DataFrame]:
     """``(rows with _fold, k nearest rows of the other folds with their _y)``; all folds in one job."""
     d = clean_features(df, num, cat)
@@ -122,64 +177,23 @@ def knn_classify(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Seq
         .select(id, F.col("_b.label").alias("predicted"))
 
 
-def knn_impute(df: DataFrame, cols: Sequence[str], id: str, k: int = 3) -> DataFrame:
+def knn_impute(df: DataFrame, cols: Sequence[str], id: str, k: int = 3, by: str | None = None) -> DataFrame:
     """Fill every gap with the mean of the k nearest rows that have the value.
 
-    Distances are Euclidean over the standardised columns both rows have, blown up by (columns / shared columns).
-    Rows with the same gaps form a pattern; inside one pair of patterns (query, donor) the distance is a plain
-    Euclidean one, so the exact kernel applies with the pair as group. There are at most 2^columns patterns. A gap
-    without any comparable donor takes the column mean.
+    Distances are Euclidean over the standardised columns both rows have, blown up by (columns / shared columns), found
+    exactly whatever patterns the gaps make (:func:`nearest_partial`). A gap without any comparable donor takes the column mean.
+    With ``by`` (a period) every value of it is standardised and filled on its own; ids have to differ over all of them.
     """
-    cols, p = list(cols), len(cols)
-    scaling = fit_scaler(df, cols, "standard")
-    z = df.select(id, *[F.col(c).cast("double").alias(c) for c in cols])
-    z = z.withColumns({"_z_" + c: (F.col(c) - F.lit(scaling[c][0])) / F.lit(scaling[c][1]) for c in cols})
-    z = z.withColumn("_have", F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols]))
-    patterns = sorted(r[0] for r in z.select("_have").distinct().collect())  # at most 2^p rows
-    asked = [s for s in patterns if "0" in s]
-
-    def shared(a: str, b: str) -> list[int]:
-        return [i for i in range(p) if a[i] == "1" and b[i] == "1"]
-
-    def vec_for(own: Sequence[str], other: Sequence[str], own_is_query: bool) -> Column:
-        """One struct(group, vec) per pattern pair, chosen by the row's own pattern."""
-        out = F.lit(None)
-        for a in own:
-            structs = []
-            for b in other:
-                on = shared(a, b)
-                if not on:
-                    continue
-                f = (p / len(on)) ** 0.5
-                pair = f"{a}|{b}" if own_is_query else f"{b}|{a}"
-                structs.append(F.struct(F.lit(pair).alias("pair"), F.array(
-                    *[F.col("_z_" + cols[i]) * F.lit(f) if i in on else F.lit(0.0) for i in range(p)]).alias("vec")))
-            if structs:
-                out = F.when(F.col("_have") == a, F.array(*structs)).otherwise(out)
-        return out
-
-    filled = z
-    if asked:
-        d = z.select(F.col(id).alias("_did"), *["_z_" + c for c in cols], F.explode(vec_for(patterns, asked, False)).alias("_g")) \
-            .select("_did", *["_z_" + c for c in cols], "_g.*")
-        q = z.where(F.col("_have").isin(asked)).select(id, F.explode(F.filter(F.array(*[
-            F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)]), lambda i: i.isNotNull())).alias("_c"),
-            vec_for(asked, patterns, True).alias("_g"))
-        q = q.select(id, "_c", F.explode("_g").alias("_g")).select(id, "_c", "_g.*")
-        # Only donor patterns that have the wanted column.
-        q = q.where(F.substring(F.split("pair", r"\|")[1], F.col("_c") + 1, F.lit(1)) == "1")
-        q = q.select(F.concat_ws(":", F.col(id).cast("string"), "_c").alias("_qid"), "vec", F.array("pair").alias("_may"))
-        near = nearest(q, d, k, "_qid", "_did", group="pair", groups="_may", carry=["_z_" + c for c in cols])
-        at = F.split("_qid", ":")
-        value = F.element_at(F.array(*["_z_" + c for c in cols]), F.element_at(at, -1).cast("int") + 1)
-        key = F.array_join(F.slice(at, 1, F.size(at) - 1), ":")
-        means = near.select(key.alias("_key"), F.element_at(at, -1).cast("int").alias("_c"), value.alias("_z")) \
-            .groupBy("_key").agg(*[F.avg(F.when(F.col("_c") == i, F.col("_z"))).alias("_m_" + c) for i, c in enumerate(cols)])
-        filled = z.join(means, z[id].cast("string") == means["_key"], "left")
-    else:
-        filled = z.withColumns({"_m_" + c: F.lit(None).cast("double") for c in cols})
-    return filled.select(id, *[F.coalesce(
-        F.col(c), F.col("_m_" + c) * F.lit(scaling[c][1]) + F.lit(scaling[c][0]), F.lit(float(scaling[c][0]))).alias(c) for c in cols])
+    cols = list(cols)
+    z = df.select(id, *([by] if by else []), *[F.col(c).cast("double").alias(c) for c in cols])
+    z = z.withColumn("_by", F.col(by) if by else F.lit(0))
+    scalers = materialise(fit_scalers(z, cols, "_by", "standard"), "scalers")
+    z = z.join(scalers.withColumnRenamed("_by", "_b"), F.col("_by").eqNullSafe(F.col("_b"))).drop("_b")
+    unit = [((F.col(c) - F.col("center")[i]) / F.col("scale")[i]).alias(c) for i, c in enumerate(cols)]
+    near = nearest_partial(z.select(id, "_by", *unit), cols, id, k, "_by")
+    means = near.groupBy(id).agg(*[F.avg(F.when(F.col("column") == i, F.col("value"))).alias("_m_" + c) for i, c in enumerate(cols)])
+    return z.join(means, id, "left").select(id, *([by] if by else []), *[
+        F.coalesce(F.col(c), F.col("_m_" + c) * F.col("scale")[i] + F.col("center")[i], F.col("center")[i]).alias(c) for i, c in enumerate(cols)])
 
 
 def rescale_to_parent(df: DataFrame, pred: str, keys: Sequence[str], total: str, name: str = "rescaled",

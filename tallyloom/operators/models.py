@@ -1,4 +1,4 @@
-"""Models by Spark ML: boosted trees, linear, stacked, random forest, PCA, cross-validation, learning curve."""
+"""Models by Spark ML: boosted trees, linear, random forest, cross-validation; imputers by name."""
 
 from __future__ import annotations
 
@@ -6,23 +6,22 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clip_low
 from ..session import materialise
 from .aggregate import impute_simple
 from .clean import min_class_size
-from .features import clean_features, feature_pipeline, fit_scaler, fold_of, scaled
+from .features import clean_features, feature_pipeline, fit_scaler, fold_of
+from .gram import FRACTIONS, Components, stack_regress, with_components
 from .hotdeck import in_share
 from .joins import join_unique
-from .knn import knn_out_of_fold, knn_regress
+from .knn import knn_regress
 from .metrics import classification_report
-from .nearest import nearest
 
 
 class Fitted:
@@ -79,22 +78,6 @@ def feature_importance(fitted: Fitted) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def stack_regress(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, k: int = 2, folds: int = 5,
-                  ridge: float = 1.0) -> DataFrame:
-    """``(id, predicted)``: ridge over out-of-fold kNN and linear predictions; applied to both models fitted on all rows."""
-    t = materialise(train, "train").withColumn("_fold_no", fold_of(F.col(id), folds))
-    parts = None
-    for f in range(folds):
-        rest, held = t.where(F.col("_fold_no") != f), t.where(F.col("_fold_no") == f)
-        part = linear_regress(rest, num, cat, y).predict(held, "linear", clip=False).select(id, y, "linear")
-        parts = part if parts is None else parts.unionByName(part)
-    parts = parts.join(knn_out_of_fold(t, num, cat, y, id, k, folds).withColumnRenamed("predicted", "knn"), id)
-    meta = linear_regress(materialise(parts, "stack"), ["linear", "knn"], [], y, "standard", ridge)
-    both = linear_regress(train, num, cat, y).predict(rows, "linear", clip=False).select(id, "linear") \
-        .join(knn_regress(train, rows, num, cat, y, id, k).withColumnRenamed("predicted", "knn"), id)
-    return meta.predict(both).select(id, "predicted")
-
-
 def linear_by_group(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
     """Line per group and one over all rows; errors of both per group, and overall with missing keys."""
     line = [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]
@@ -126,63 +109,46 @@ def tree_classify(df: DataFrame, num: Sequence[str], cat: Sequence[str], label:
     return out, classification_report(out, "actual", "predicted")
 
 
-def pca_fit(df: DataFrame, cols: Sequence[str], n: int = 6, scaler: str = "standard"):
-    """``(rows with the component array pc, explained variance, loadings)``. Columns are centred before projecting."""
-    scaling = fit_scaler(df, cols, scaler)
-    centre = {c: (scaling[c][0], scaling[c][1]) for c in cols}
-    if scaler in ("robust", "minmax"):
-        means = fit_scaler(df, cols, "standard")
-        centre = {c: (means[c][0], scaling[c][1]) for c in cols}
-    ready = df.withColumns({"_s_" + c: scaled(centre, c) for c in cols})
-    ready = VectorAssembler(inputCols=["_s_" + c for c in cols], outputCol="_features").transform(ready)
-    model = PCA(k=n, inputCol="_features", outputCol="_pc").fit(ready)
-    out = model.transform(ready).withColumn("pc", vector_to_array("_pc")).select(*df.columns, "pc")
-    return out, model.explainedVariance.toArray(), model.pc.toArray()
-
-
-def pca_variance(df: DataFrame, cols: Sequence[str], n: int = 6, scaler: str = "standard", top: int = 5) -> DataFrame:
+def pca_variance(df: DataFrame, cols: Sequence[str], n: int | float | None = 6, scaler: str = "standard", top: int = 5, cat: Sequence[str] = ()) -> DataFrame:
     """Per component: share of variance, cumulative share, and the columns with the largest loadings."""
-    _, variance, loadings = pca_fit(df, cols, n, scaler)
+    parts = Components(df, cols, cat, n, scaler)
     rows, total = [], 0.0
-    for i in range(n):
-        total += float(variance[i])
-        best = sorted(range(len(cols)), key=lambda j: -abs(loadings[j, i]))[:top]
-        rows.append((i + 1, float(variance[i]), total, [cols[j] for j in best]))
+    for i in range(parts.n):
+        total += float(parts.share[i])
+        best = sorted(range(len(parts.loadings)), key=lambda j: (-round(abs(parts.loadings[j, i]), 9), j))[:top]
+        rows.append((i + 1, float(parts.share[i]), total, [parts.columns.names[1 + j] for j in best]))
     return df.sparkSession.createDataFrame(rows, "component int, variance double, cumulative double, top_columns array<string>")
 
 
-def knn_regress_pca(train: DataFrame, rows: DataFrame, cols: Sequence[str], y: str, id: str, n: int = 6, k: int = 2,
-                    exclude_same: bool = False) -> DataFrame:
-    """kNN in the space of the first principal components of the training rows."""
-    both = train.select(id, *cols, F.lit(1).alias("_t"), F.col(y)).unionByName(
-        rows.select(id, *cols, F.lit(0).alias("_t")), allowMissingColumns=True)
-    scaling = fit_scaler(train, cols, "standard")
-    ready = both.withColumns({"_s_" + c: scaled(scaling, c) for c in cols})
-    ready = VectorAssembler(inputCols=["_s_" + c for c in cols], outputCol="_features").transform(ready)
-    model = PCA(k=n, inputCol="_features", outputCol="_pc").fit(ready.where("_t = 1"))
-    out = model.transform(ready).withColumn("vec", vector_to_array("_pc"))
-    near = nearest(out.where("_t = 0").select(F.col(id).alias("_qid"), "vec"), out.where("_t = 1").select(id, "vec", y), k, "_qid", id,
-                   exclude_same=exclude_same, carry=[y])
-    return near.groupBy(F.col("_qid").alias(id)).agg(F.avg(y).alias("predicted"))
+def gbt_regress_pca(train: DataFrame, rows: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, id: str, n: int | float | None = 6, scaler: str = "robust",
+                    **options) -> DataFrame:
+    """``(id, predicted)``: boosted trees over the principal components of scaled numbers and codes; ``options`` as for :func:`gbt_regress`."""
+    fitted, asked, names = with_components(train.where(F.col(y).isNotNull()), rows, num, cat, y, id, n, scaler)
+    return gbt_regress(fitted, names, [], y, scaler="none", **options).predict(asked).select(id, "predicted")
 
 
 def learning_curve(df: DataFrame, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], y: str, id: str,
-                   fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 3) -> DataFrame:
-    """Mean and deviation of the fold MAE at growing training sizes. ``fit_predict(train, test)`` adds ``predicted``.
+                   fractions: Sequence[float] = FRACTIONS, folds: int = 3, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``(fraction, train_mean, train_sd, test_mean, test_sd)`` of any model at growing training sizes; by default MAE.
 
-    Training sets are nested: a row's hash decides from which fraction on it takes part.
+    ``fit_predict(train, rows)`` adds ``predicted``; ``score(actual, predicted)`` is averaged over the rows. Training sets are nested: a row's hash
+    decides from which fraction on it takes part. The model is fitted once per fraction and fold; for lines and nearest neighbours
+    :func:`linear_learning_curve` and :func:`knn_learning_curve` need one pass for all of them.
     """
+    score = score or (lambda a, p: F.abs(a - p))
     t = materialise(df, "curve").withColumn("_fold_no", fold_of(F.col(id), folds)).withColumn(
         "_u", F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit("curve"))), 1, 6), 16, 10).cast("double") / float(16 ** 6))
     out = None
     for frac in fractions:
         for f in range(folds):
-            train = t.where((F.col("_fold_no") != f) & (F.col("_u") < frac)).drop("_fold_no", "_u")
-            test = t.where(F.col("_fold_no") == f).drop("_fold_no", "_u")
-            part = fit_predict(train, test).agg(F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("mae")).select(
-                F.lit(float(frac)).alias("fraction"), F.lit(f).alias("fold"), "mae")
+            used = (F.col("_fold_no") != f) & (F.col("_u") < frac)
+            train = t.where(used).drop("_fold_no", "_u")
+            rows = t.where(used | (F.col("_fold_no") == f)).withColumn("_tested", F.col("_fold_no") == f).drop("_fold_no", "_u")
+            value = score(F.col(y), F.col("predicted"))
+            part = fit_predict(train, rows).agg(F.avg(F.when(~F.col("_tested"), value)).alias("train"), F.avg(F.when(F.col("_tested"), value)).alias("test")).select(
+                F.lit(float(frac)).alias("fraction"), F.lit(f).alias("fold"), "train", "test")
             out = part if out is None else out.unionByName(part)
-    return out.groupBy("fraction").agg(F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("sd_mae"))
+    return out.groupBy("fraction").agg(F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_sd"), F.avg("test").alias("test_mean"), F.stddev_pop("test").alias("test_sd"))
 
 
 IMPUTERS: dict[str, Callable] = {

@@ -14,6 +14,11 @@ Neither side is broadcast and no pairs are emitted beyond the k best per block:
 
 Codes count like one-hot columns: two different known codes add 2 to the squared distance, a known against an
 unknown one adds 1. Equal distances (to nine digits) are ordered by donor id.
+
+In many dimensions pivots prune little. There, donors are product-quantised: each coordinate becomes one byte, by quantile cuts, and the
+donor keeps its distance to the point that its bytes stand for. Blocks hold bytes only and are sixteen times as long. The
+distance of a query to that point, plus and minus the donor's, bounds the true one from both sides: a block sends on only donors
+whose lower bound is within the k-th upper bound, and these alone are compared by their full vectors.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +39,8 @@ BLOCK_ROWS = 4096      # donors, and queries, compared in one task step
 MAX_PIVOTS = 1024
 MAX_RINGS = 256        # per cell
 SAMPLE_ROWS = 200_000  # queries looked at when sizing the chunks
+WIDE = 16              # coordinates from which on donors are quantised
+LEVELS = 256           # values of a coordinate's byte
 
 
 def _matrix(col: pd.Series, dtype=np.float64) -> np.ndarray:
@@ -41,18 +48,50 @@ def _matrix(col: pd.Series, dtype=np.float64) -> np.ndarray:
     return np.concatenate(col.to_numpy()).astype(dtype).reshape(len(col), width) if width else np.empty((len(col), 0), dtype)
 
 
-def _sq_dist(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of a to all rows of b, summed column by column (same value in any block)."""
+def _sq_dist(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray, power: float = 2) -> np.ndarray:
+    """Sums of ``power``-th powers of the differences (squared distances) of all rows of a to all rows of b, column by column (same value in any block)."""
     out = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         diff = a[:, j, None] - b[None, :, j]
-        out += diff * diff
+        out += diff * diff if power == 2 else np.abs(diff) ** power
+    return out + _codes_apart(ca, cb)
+
+
+def _codes_apart(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(ca), len(cb)))
     for j in range(ca.shape[1]):
         x, y = ca[:, j, None], cb[None, :, j]
         out += np.where(x == y, 0.0, np.where((x == 0) | (y == 0), 1.0, 2.0))
     return out
 
 
+class Quantiser:
+    """One byte per coordinate. ``points[j, b]`` is the value that byte b of coordinate j stands for; the cuts come from one aggregate over the donors."""
+
+    def __init__(self, donors: DataFrame, width: int):
+        probs = F.array(*[F.lit(i / LEVELS) for i in range(1, LEVELS)])
+        one = [F.get("_v", F.lit(j)) for j in range(width)]
+        row = donors.agg(F.array(*[F.min(x) for x in one]).alias("lo"), F.array(*[F.max(x) for x in one]).alias("hi"), *[F.percentile_approx(x, probs, 2000).alias(f"c{j}") for j, x in enumerate(one)]).first()
+        self.cuts = np.array([row[f"c{j}"] for j in range(width)], float)
+        edges = np.concatenate([np.array(row["lo"], float)[:, None], self.cuts, np.array(row["hi"], float)[:, None]], axis=1)
+        self.points = (edges[:, 1:] + edges[:, :-1]) / 2
+
+    def encode(self, v: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, v[:, j]) for j, c in enumerate(self.cuts)], axis=1).astype(np.uint8)
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        return np.stack([self.points[j, code[:, j]] for j in range(code.shape[1])], axis=1)
+
+    def bounds(self, q: np.ndarray, cq: np.ndarray, code: np.ndarray, off: np.ndarray, cd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared lower and upper bounds of the distances of queries to donors with these bytes, which are ``off`` from their points."""
+        points = self.decode(code)
+        size = (q * q).sum(axis=1)[:, None] + (points * points).sum(axis=1)[None]
+        apart = np.sqrt(np.maximum(0.0, size - 2 * q @ points.T))
+        slack = off[None] + 1e-7 * np.sqrt(1.0 + size)               # rounding of the matrix product
+        codes = _codes_apart(cq, cd)
+        return np.maximum(0.0, apart - slack) ** 2 + codes, (apart + slack) ** 2 + codes
+
+
 def _side(df: DataFrame, key: str, out: str, vec: str, cats: str | None, group, extra: Sequence[str]) -> DataFrame:
     codes = F.col(cats) if cats else F.array().cast("array<bigint>")
     df = df.select(F.col(key).alias(out), F.col(vec).cast("array<double>").alias("_v"), codes.alias("_c"), group, *extra)
@@ -61,29 +100,34 @@ def _side(df: DataFrame, key: str, out: str, vec: str, cats: str | None, group,
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, vec: str = "vec",
             cats: str | None = None, group: str | None = None, groups: str | None = None, exclude_same: bool = False,
-            carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
+            carry: Sequence[str] = (), block_rows: int | None = None, pivots: int | None = None, power: float = 2, wide: int = WIDE) -> DataFrame:
     """Rows ``(qid, did, distance, rank, *carry)``: the k nearest donors of each query.
 
     ``vec``: array<double>; rows with a missing vector or a gap in it have no neighbours and are none; ``cats``: array<bigint> of hashed codes, 0 = unknown. ``group``: donor
     column (text) restricting who is comparable, ``groups``: query column with the list of groups it may use;
     the number of groups must be small (years, folds, gap patterns). ``exclude_same``: a row is no neighbour
     of itself. A query id may come in several rows (other vectors for other groups): its best k overall are kept.
+    ``power``: that of the Minkowski distance (1: sum of differences). Vectors of at least ``wide`` numbers are quantised (for power 2).
     """
     spark = donors.sparkSession
     need = k + int(exclude_same)
     g_donor = (F.col(group).cast("string") if group else F.lit("")).alias("_g")
     g_query = (F.col(groups).cast("array<string>") if groups else F.array(F.lit(""))).alias("_gs")
     # Of equal donors only the first few ids can be among the k best, so copies never pile up in a cell.
-    d = materialise(first_rows(_side(donors, did, "_d", vec, cats, g_donor, carry), ["_g", "_v", "_c"], ["_d"], need), "donors")
+    d = first_rows(_side(donors, did, "_d", vec, cats, g_donor, carry), ["_g", "_v", "_c"], ["_d"], need)
+    d = materialise(d.withColumn("_di", F.monotonically_increasing_id()), "donors")
     q = materialise(_side(queries, qid, "_q", vec, cats, g_query, ()).withColumn(
-        "_h", F.abs(F.xxhash64("_q").bitwiseAND(F.lit((1 << 31) - 1)))), "queries")
+        "_h", F.abs(F.xxhash64("_q").bitwiseAND(F.lit((1 << 31) - 1)))).withColumn("_qi", F.monotonically_increasing_id()), "queries")
     d_type, q_type = d.schema["_d"].dataType, q.schema["_q"].dataType
     result_schema = T.StructType([T.StructField("_q", q_type), T.StructField("_d", d_type),
                                   T.StructField("_dist", T.DoubleType()), *[d.schema[c] for c in carry]])
-    n_donors = d.count()
+    n_donors, width = d.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     if n_donors == 0:
         return _named(spark.createDataFrame([], result_schema).withColumn("rank", F.lit(0)), qid, did, carry)
-    n_pivots = pivots or min(MAX_PIVOTS, max(1, math.isqrt(n_donors)))
+    coder = Quantiser(d, width) if width >= wide and power == 2 else None
+    donor_rows = (block_rows or BLOCK_ROWS) * (16 if coder else 1)
+    block_rows = block_rows or BLOCK_ROWS
+    n_pivots = pivots or min(MAX_PIVOTS, max(1, -(-n_donors // donor_rows) if coder else math.isqrt(n_donors)))
     top = d.orderBy(F.xxhash64("_d"), "_d").limit(n_pivots).select("_v", "_c").collect()  # at most MAX_PIVOTS rows
     pv = np.array([r[0] for r in top], dtype=float).reshape(len(top), -1)
     pc = np.array([r[1] for r in top], dtype=np.int64).reshape(len(top), -1)
@@ -93,13 +137,18 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
             v, c = _matrix(pdf["_v"]), _matrix(pdf["_c"], np.int64)
             cell, dist = np.zeros(len(pdf), dtype=np.int32), np.zeros(len(pdf))
             for s in range(0, len(pdf), 2048):
-                d2 = _sq_dist(v[s:s + 2048], c[s:s + 2048], pv, pc)
+                d2 = _sq_dist(v[s:s + 2048], c[s:s + 2048], pv, pc, power)
                 cell[s:s + 2048] = d2.argmin(axis=1)
-                dist[s:s + 2048] = np.sqrt(d2.min(axis=1))
-            yield pdf.assign(_cell=cell, _pd=dist)
-
+                dist[s:s + 2048] = d2.min(axis=1) ** (1 / power)
+            pdf = pdf.assign(_cell=cell, _pd=dist)
+            if coder:
+                code = coder.encode(v)
+                pdf = pdf.assign(_code=[x.tobytes() for x in code], _off=np.sqrt(((v - coder.decode(code)) ** 2).sum(axis=1)) * (1 + 1e-9))
+            yield pdf
+
+    coded = [T.StructField("_code", T.BinaryType()), T.StructField("_off", T.DoubleType())] if coder else []
     a = materialise(d.mapInPandas(assign, T.StructType(
-        [*d.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_pd", T.DoubleType())])), "assigned")
+        [*d.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_pd", T.DoubleType()), *coded])), "assigned")
     # ---- cells and rings: small tables on the driver, bounded by groups x pivots (x rings)
     near = first_rows(a.select("_g", "_cell", "_pd"), ["_g", "_cell"], ["_pd"], need) \
         .groupBy("_g", "_cell").agg(F.sort_array(F.collect_list("_pd")).alias("near"))
@@ -113,7 +162,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
     for i, r in enumerate(cells):
         cell_near[i, :len(r["near"])] = r["near"]
     by_group = {g: np.flatnonzero(cell_group == g) for g in set(cell_group.tolist())}
-    n_rings = min(MAX_RINGS, max(-(-r["n"] // block_rows) for r in cells))
+    n_rings = min(MAX_RINGS, max(-(-r["n"] // donor_rows) for r in cells))
     cuts = [np.zeros(0)] * len(cells)
     if n_rings > 1:
         # Approximate cuts are good enough: they decide how even the rings are, not what is found.
@@ -141,7 +190,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
     low, high = np.full(len(cells) * n_rings, np.inf), np.full(len(cells) * n_rings, -np.inf)
     blocks = np.zeros(len(cells) * n_rings, dtype=np.int64)
     for r in rings:
-        low[r["_slot"]], high[r["_slot"]], blocks[r["_slot"]] = r["lo"], r["hi"], -(-r["n"] // block_rows)
+        low[r["_slot"]], high[r["_slot"]], blocks[r["_slot"]] = r["lo"], r["hi"], -(-r["n"] // donor_rows)
 
     def candidates(pdf: pd.DataFrame, home: bool) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, slots): every ring that may hold one of the row's nearest, or (``home``) one close ring."""
@@ -156,7 +205,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
             own, members = np.concatenate(found), np.asarray(members)
             for s in range(0, len(members), 128):
                 rows = members[s:s + 128]
-                dist = np.sqrt(_sq_dist(v[rows], c[rows], pv, pc))[:, cell_pivot[own]]
+                dist = (_sq_dist(v[rows], c[rows], pv, pc, power) ** (1 / power))[:, cell_pivot[own]]
                 upper = (dist[:, :, None] + cell_near[own][None]).reshape(len(rows), -1)
                 bound = np.partition(upper, need - 1, axis=1)[:, need - 1] if upper.shape[1] >= need \
                     else np.full(len(rows), np.inf)
@@ -195,17 +244,38 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
         take, parts = min(need, len(right)), []
         for s in range(0, len(left), 1024):
             part = left.iloc[s:s + 1024]
-            d2 = np.round(_sq_dist(_matrix(part["_v"]), _matrix(part["_c"], np.int64), v, c), 9)
+            d2 = np.round(_sq_dist(_matrix(part["_v"]), _matrix(part["_c"], np.int64), v, c, power), 9)
             if exclude_same:
                 d2[part["_q"].to_numpy()[:, None] == right["_d"].to_numpy()[None, :]] = np.inf
             best = np.argsort(d2, axis=1, kind="stable")[:, :take]
             dist = np.take_along_axis(d2, best, axis=1).ravel()
             out = right[["_d", *carry]].iloc[best.ravel()].reset_index(drop=True)
             out.insert(0, "_q", np.repeat(part["_q"].to_numpy(), take))
-            out.insert(2, "_dist", np.sqrt(dist))
+            out.insert(2, "_dist", dist ** (1 / power))
             parts.append(out[np.isfinite(dist)])
         return pd.concat(parts, ignore_index=True)
 
+    bounded = T.StructType([T.StructField("_qi", T.LongType()), T.StructField("_di", T.LongType()), T.StructField("_ub", T.DoubleType()), T.StructField("_lb", T.DoubleType())])
+
+    def compare_codes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Donors of a block whose lower bound is within the k-th upper bound, for each query."""
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in bounded.fields})
+        code, off = np.frombuffer(b"".join(right["_code"]), np.uint8).reshape(len(right), width), right["_off"].to_numpy()
+        c, ids, di, parts = _matrix(right["_c"], np.int64), right["_d"].to_numpy(), right["_di"].to_numpy(), []
+        for s in range(0, len(left), 64):
+            part = left.iloc[s:s + 64]
+            low, up = coder.bounds(_matrix(part["_v"]), _matrix(part["_c"], np.int64), code, off, c)
+            if exclude_same:
+                same = part["_q"].to_numpy()[:, None] == ids[None, :]
+                low[same], up[same] = np.inf, np.inf
+            limit = part["_bound"].fillna(np.inf).to_numpy() ** 2 if "_bound" in part else np.full(len(part), np.inf)
+            if len(right) >= k:
+                limit = np.minimum(limit, np.partition(up, k - 1, axis=1)[:, k - 1])
+            r, j = np.nonzero((low <= limit[:, None] + 1e-8) & np.isfinite(low))
+            parts.append(pd.DataFrame({"_qi": part["_qi"].to_numpy()[r], "_di": di[j], "_ub": up[r, j], "_lb": low[r, j]}))
+        return pd.concat(parts, ignore_index=True)
+
     def search(rows: DataFrame, home: bool) -> DataFrame:
         """Compare queries with the blocks they are sent to: k best donors per query and block."""
         def slots_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +294,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
                 times = np.minimum(blocks[slot], 1) if home else blocks[slot]
                 row, slot = np.repeat(row, times), np.repeat(slot, times)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                out = pdf[["_q", "_v", "_c"]].iloc[row].reset_index(drop=True)
+                out = pdf[asked].iloc[row].reset_index(drop=True)
                 out["_slot"], out["_block"] = slot.astype(np.int32), block.astype(np.int32)
                 out["_chunk"] = (pdf["_h"].to_numpy()[row] % chunks[slot]).astype(np.int32)
                 yield out
@@ -236,21 +306,44 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, v
                 if home:
                     times = np.where(block == 0, times, 0)
                 row = np.repeat(np.arange(len(pdf)), times)
-                out = pdf[["_d", "_v", "_c", *carry]].iloc[row].reset_index(drop=True)
+                out = pdf[held].iloc[row].reset_index(drop=True)
                 out["_slot"], out["_block"] = slot[row].astype(np.int32), block[row].astype(np.int32)
                 out["_chunk"] = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
                 yield out
 
-        routed = rows.mapInPandas(route, T.StructType([q.schema["_q"], q.schema["_v"], q.schema["_c"], *at]))
-        spreaded = hashed.mapInPandas(spread, T.StructType(
-            [d.schema["_d"], d.schema["_v"], d.schema["_c"], *[d.schema[c] for c in carry], *at]))
+        asked = ["_q", "_qi", "_v", "_c", *(["_bound"] if coder and "_bound" in rows.columns else [])]
+        held = ["_d", "_di", "_code", "_off", "_c"] if coder else ["_d", "_v", "_c", *carry]
+        routed = rows.mapInPandas(route, T.StructType([*[rows.schema[c] for c in asked], *at]))
+        spreaded = hashed.mapInPandas(spread, T.StructType([*[hashed.schema[c] for c in held], *at]))
         keys = ["_slot", "_block", "_chunk"]
-        return routed.groupBy(*keys).cogroup(spreaded.groupBy(*keys)).applyInPandas(compare, result_schema)
+        pairs = routed.groupBy(*keys).cogroup(spreaded.groupBy(*keys))
+        return pairs.applyInPandas(compare_codes, bounded) if coder else pairs.applyInPandas(compare, result_schema)
 
+    if coder is None:
+        if n_rings > 1:
+            first = _top(search(q, True), k).where(F.col("rank") == k).select("_q", F.col("_dist").alias("_bound"))
+            q = materialise(q.join(first, "_q", "left"), "queries")
+        return _named(_top(search(q, False), k), qid, did, carry)
     if n_rings > 1:
-        first = _top(search(q, True), k).where(F.col("rank") == k).select("_q", F.col("_dist").alias("_bound"))
-        q = materialise(q.join(first, "_q", "left"), "queries")
-    return _named(_top(search(q, False), k), qid, did, carry)
+        first = kth_upper(search(q, True), k).select("_qi", F.sqrt("_most").alias("_bound"))
+        q = materialise(q.join(first, "_qi", "left"), "queries")
+    found = materialise(search(q, False), "candidates")
+    left = found.join(kth_upper(found, k), "_qi", "left").where(F.col("_most").isNull() | (F.col("_lb") <= F.col("_most") + F.lit(1e-8))).select("_qi", "_di")
+    full = left.join(q.select("_qi", "_q", F.col("_v").alias("_qv"), F.col("_c").alias("_qc")), "_qi").join(d.select("_di", "_d", "_v", "_c", *carry), "_di")
+    return _named(_top(full.withColumn("_dist", F.sqrt(F.round(exact_square("_qv", "_qc", "_v", "_c"), 9))), k), qid, did, carry)
+
+
+def kth_upper(pairs: DataFrame, k: int) -> DataFrame:
+    """``(_qi, _most)``: the k-th smallest upper bound of each query that has as many candidates."""
+    best = first_rows(pairs.select("_qi", "_ub", "_di"), ["_qi"], ["_ub", "_di"], k)
+    return best.groupBy("_qi").agg(F.max("_ub").alias("_most"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).drop("_n")
+
+
+def exact_square(av: str, ac: str, bv: str, bc: str) -> Column:
+    """Squared distance of two vectors with codes, summed in the order of the columns."""
+    numbers = F.aggregate(F.zip_with(av, bv, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    apart = F.zip_with(ac, bc, lambda x, y: F.when(x == y, 0.0).when((x == 0) | (y == 0), 1.0).otherwise(2.0))
+    return F.aggregate(apart, numbers, lambda s, x: s + x)
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators import features, hotdeck, knn, metrics, models
+from tallyloom.operators import boost, features, gram, hotdeck, knn, metrics, models
 
 from .registry import query
 
@@ -72,9 +73,24 @@ def split_stratified(t):
 
 # ---------------------------------------------------------------- nearest neighbours
 
-@query("knn_regress", f"WITH {near_sql('a.id <> b.id')} SELECT id, avg(y) AS predicted FROM near WHERE rank <= 2 GROUP BY 1", dbl="predicted")
+WIDE = [f"e{i + 1}" for i in range(64) if i != 6]      # all values but the one that is predicted
+WIDE_DIST = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in WIDE)
+
+
+def wide(t):
+    e = F.col("embedding")
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("L"), F.floor(F.col("label") / 3).cast("string")).alias("code"), (e[6].cast("double") * 1000).alias("y"),
+                               *[e[int(c[1:]) - 1].cast("double").alias(c) for c in WIDE])
+
+
+@query("knn_regress", f"""
+WITH feat AS (SELECT vec_id AS id, 'L' || CAST(label // 3 AS VARCHAR) AS code, CAST(embedding[7] AS DOUBLE) * 1000 AS y, {', '.join(f'CAST(embedding[{c[1:]}] AS DOUBLE) AS {c}' for c in WIDE)} FROM embeddings),
+par AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS s_{c}' for c in WIDE)} FROM feat),
+z AS (SELECT id, code, y, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in WIDE)} FROM feat, par),
+near AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round({WIDE_DIST} + CASE WHEN a.code <> b.code THEN 2 ELSE 0 END, 9), b.id) AS rank FROM z a JOIN z b ON a.id <> b.id)
+SELECT id, avg(y) AS predicted FROM near WHERE rank <= 2 GROUP BY 1""", dbl="predicted")
 def knn_regress(t):
-    return knn.knn_regress(feat(t), feat(t), NUM, ["code"], "y", "id", exclude_same=True)
+    return knn.knn_regress(wide(t), wide(t), WIDE, ["code"], "y", "id", exclude_same=True)
 
 
 @query("knn_regress_past", f"WITH {near_sql('a.id <> b.id AND b.year <= a.year')} SELECT id, avg(y) AS predicted FROM near WHERE rank <= 2 GROUP BY 1", dbl="predicted")
@@ -117,6 +133,48 @@ def knn_cv(t):
     return knn.knn_cv(feat(t), NUM, ["code"], "y", "id")
 
 
+def grid_sql(rows: str, name: str = "") -> str:
+    """Adjusted R2 by fold of every (k, weights, p), from ``rows``: each fold by the others, which decide its scaling."""
+    pars = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUM)
+    diffs = [f"abs((a.{c} - m_{c}) / s_{c} - (f.{c} - m_{c}) / s_{c})" for c in NUM]
+    codes = "CASE WHEN a.code = f.code THEN 0 ELSE 2 END"
+    dist = {1: " + ".join(diffs), 2: " + ".join(f"{d} ** 2" for d in diffs)}
+    near = " UNION ALL ".join(f"""SELECT {p} AS p, a.id, a.fold, a.y AS own, f.y, round({dist[p]} + {codes}, 9) ** (1.0 / {p}) AS d,
+  row_number() OVER (PARTITION BY a.id ORDER BY round({dist[p]} + {codes}, 9), f.id) AS rank FROM r{name} a JOIN par{name} USING (fold) JOIN r{name} f ON f.fold <> a.fold""" for p in (1, 2))
+    return f"""r{name} AS (SELECT *, {FOLD.format('id')} AS fold FROM {rows}), t{name} AS (SELECT DISTINCT fold FROM r{name}), par{name} AS (SELECT t{name}.fold, {pars} FROM t{name} JOIN r{name} o ON o.fold <> t{name}.fold GROUP BY 1),
+near{name} AS ({near}), p{name} AS (SELECT p, id, fold, own, k, avg(y) AS uniform, coalesce(avg(CASE WHEN d = 0 THEN y END), sum(CASE WHEN d > 0 THEN y / d END) / sum(CASE WHEN d > 0 THEN 1 / d END)) AS distance
+  FROM near{name} JOIN (SELECT unnest([2, 3, 4, 5]) AS k) ON rank <= k GROUP BY 1, 2, 3, 4, 5),
+u{name} AS (SELECT p, k, fold, weights, own, predicted FROM p{name} UNPIVOT (predicted FOR weights IN (uniform, distance))),
+s{name} AS (SELECT p, k, fold, weights, 1 - (1 - (1 - sum((own - predicted) ** 2) / (var_pop(own) * count(*)))) * ((SELECT count(*) FROM r{name}) - 1) / ((SELECT count(*) FROM r{name}) - {len(NUM) + 1} - 1) AS score FROM u{name} GROUP BY 1, 2, 3, 4),
+grid{name} AS (SELECT CAST(k AS INTEGER) AS k, weights, CAST(p AS DOUBLE) AS p, avg(score) AS mean_score, stddev_pop(score) AS sd_score FROM s{name} GROUP BY 1, 2, 3),
+placed{name} AS (SELECT *, CAST(row_number() OVER (ORDER BY round(mean_score, 12) DESC, k, weights DESC, p) AS INTEGER) AS place FROM grid{name})"""
+
+
+@query("knn_grid", f"WITH {FEAT}, {grid_sql('feat')} SELECT * FROM placed", dbl="mean_score sd_score", digits=6)
+def knn_grid(t):
+    return knn.knn_grid(feat(t), NUM, ["code"], "y", "id")
+
+
+def _best_sql() -> str:
+    pars = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUM)
+    diffs = [f"abs((a.{c} - m_{c}) / s_{c} - (b.{c} - m_{c}) / s_{c})" for c in NUM]
+    one = f"round({' + '.join(diffs)} + CASE WHEN a.code = b.code THEN 0 ELSE 2 END, 9)"
+    two = f"round({' + '.join(d + ' ** 2' for d in diffs)} + CASE WHEN a.code = b.code THEN 0 ELSE 2 END, 9)"
+    return f"""tr AS (SELECT * FROM feat WHERE {SPLIT.format('id')} = 'train'), te AS (SELECT * FROM feat WHERE {SPLIT.format('id')} = 'test'), {grid_sql('tr', '_g')},
+best AS (SELECT * FROM placed_g WHERE place = 1), pq AS (SELECT {pars} FROM tr),
+n AS (SELECT a.id, b.y, d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM (SELECT a.id, b.id AS bid, b.y, CASE WHEN p = 1 THEN {one} ELSE sqrt({two}) END AS d FROM te a, tr b, pq, best) x
+  JOIN te a ON a.id = x.id JOIN tr b ON b.id = x.bid)"""
+
+
+@query("knn_best", f"""
+WITH {FEAT}, {_best_sql()}
+SELECT id, CASE WHEN any_value(weights) = 'uniform' THEN avg(y) ELSE coalesce(avg(CASE WHEN d = 0 THEN y END), sum(CASE WHEN d > 0 THEN y / d END) / sum(CASE WHEN d > 0 THEN 1 / d END)) END AS predicted
+FROM n, best WHERE rank <= best.k GROUP BY id""", dbl="predicted", digits=4)
+def knn_best(t):
+    df = features.split_rows(feat(t), "id")
+    return knn.knn_best(df.where("part = 'train'"), df.where("part = 'test'"), NUM, ["code"], "y", "id")
+
+
 @query("knn_classify", """
 WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id),
@@ -131,27 +189,27 @@ def classes(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
-GAPPED = """g AS (SELECT id, CASE WHEN label IN (1, 4) OR f6 > 0.2 THEN NULL ELSE f1 END AS f1, CASE WHEN label IN (1, 2) THEN NULL ELSE f2 END AS f2, CASE WHEN label = 3 AND f4 > 0 THEN NULL ELSE f3 END AS f3, f4 FROM feat)"""
+GAPS = {"f1": ("label IN (1, 4) OR f6 > 0.2", lambda lab: lab.isin(1, 4) | (F.col("f6") > 0.2)), "f2": ("label IN (1, 2)", lambda lab: lab.isin(1, 2)),
+        "f3": ("label = 3 AND f4 > 0", lambda lab: (lab == 3) & (F.col("f4") > 0)), "f4": ("id % 11 = 3", lambda lab: F.col("id") % 11 == 3),
+        "f5": ("f1 > 0.15 OR id % 7 = 1", lambda lab: (F.col("f1") > 0.15) | (F.col("id") % 7 == 1)), "f6": ("id % 5 = 2 OR label = 6", lambda lab: (F.col("id") % 5 == 2) | (lab == 6))}
+GAPPED = f"g AS (SELECT id, {', '.join(f'CASE WHEN {sql} THEN NULL ELSE {c} END AS {c}' for c, (sql, _) in GAPS.items())} FROM feat)"
 
 
 def _impute_sql(c: str) -> str:
-    cols = ["f1", "f2", "f3", "f4"]
-    d = " + ".join(f"coalesce((a.{x} - b.{x}) ** 2, 0)" for x in cols)
-    n = " + ".join(f"CAST(a.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INTEGER)" for x in cols)
-    return f"""(SELECT id, avg(v) AS v FROM (SELECT a.id, b.{c} AS v, row_number() OVER (PARTITION BY a.id ORDER BY round(({d}) * 4 / ({n}), 9), b.id) AS rank
+    d = " + ".join(f"coalesce((a.{x} - b.{x}) ** 2, 0)" for x in GAPS)
+    n = " + ".join(f"CAST(a.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INTEGER)" for x in GAPS)
+    return f"""(SELECT id, avg(v) AS v FROM (SELECT a.id, b.{c} AS v, row_number() OVER (PARTITION BY a.id ORDER BY round(({d}) * {len(GAPS)} / ({n}), 9), b.id) AS rank
   FROM zz a JOIN zz b ON a.{c} IS NULL AND b.{c} IS NOT NULL AND ({n}) > 0) WHERE rank <= 3 GROUP BY 1)"""
 
 
 @query("knn_impute", f"""
-WITH {FEAT}, {GAPPED}, pp AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in ('f1', 'f2', 'f3', 'f4'))} FROM g),
-zz AS (SELECT id, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in ('f1', 'f2', 'f3', 'f4'))} FROM g, pp)
-SELECT g.id, coalesce(g.f1, x1.v * s_f1 + m_f1, m_f1) AS f1, coalesce(g.f2, x2.v * s_f2 + m_f2, m_f2) AS f2, coalesce(g.f3, x3.v * s_f3 + m_f3, m_f3) AS f3, g.f4 AS f4
-FROM g CROSS JOIN pp LEFT JOIN {_impute_sql('f1')} x1 ON g.id = x1.id LEFT JOIN {_impute_sql('f2')} x2 ON g.id = x2.id LEFT JOIN {_impute_sql('f3')} x3 ON g.id = x3.id""", dbl="f1 f2 f3 f4")
+WITH {FEAT}, {GAPPED}, pp AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in GAPS)} FROM g),
+zz AS (SELECT id, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in GAPS)} FROM g, pp)
+SELECT g.id, {', '.join(f'coalesce(g.{c}, x_{c}.v * s_{c} + m_{c}, m_{c}) AS {c}' for c in GAPS)}
+FROM g CROSS JOIN pp {' '.join(f'LEFT JOIN {_impute_sql(c)} x_{c} ON g.id = x_{c}.id' for c in GAPS)}""", dbl=" ".join(GAPS))
 def knn_impute(t):
-    lab = F.col("label")
-    g = feat(t).select("id", F.when(~(lab.isin(1, 4) | (F.col("f6") > 0.2)), F.col("f1")).alias("f1"), F.when(~lab.isin(1, 2), F.col("f2")).alias("f2"),
-                       F.when(~((lab == 3) & (F.col("f4") > 0)), F.col("f3")).alias("f3"), "f4")
-    return knn.knn_impute(g, ["f1", "f2", "f3", "f4"], "id")
+    g = feat(t).select("id", *[F.when(~gap(F.col("label")), F.col(c)).alias(c) for c, (_, gap) in GAPS.items()])
+    return knn.knn_impute(g, list(GAPS), "id")
 
 
 LOCAL = """u AS (SELECT o_orderkey AS unit, o_custkey AS parent, o_totalprice AS omsetning, o_orderpriority || o_orderstatus AS naring, o_orderpriority || o_orderstatus AS n3, 'N' || CAST(c_nationkey AS VARCHAR) AS nf3,
@@ -347,7 +405,102 @@ def linear_by_group(t):
     return models.linear_by_group(df, "x", "y", ["p_brand"])
 
 
-# ---------------------------------------------------------------- Spark ML: rows only
+# ---------------------------------------------------------------- linear models, components, curves: normal equations in SQL
+
+def sweep_sql(name: str, columns: int) -> str:
+    """Least squares by sweeping the first ``columns`` pivots of ``name`` (g, i, j, v), the sums of products; y is the last column. Weights: ``name_beta`` (g, i, v)."""
+    steps = []
+    for k in range(1, columns + 1):
+        last = name if k == 1 else f"{name}_{k - 1}"
+        steps.append(f"""{name}_{k} AS MATERIALIZED (SELECT t.g, t.i, t.j, CASE WHEN abs(p.v) < 1e-12 THEN t.v WHEN t.i = {k} AND t.j = {k} THEN 1 / p.v WHEN t.i = {k} THEN t.v / p.v WHEN t.j = {k} THEN -t.v / p.v
+  ELSE t.v - r.v * c.v / p.v END AS v FROM {last} t JOIN {last} p ON p.g = t.g AND p.i = {k} AND p.j = {k} JOIN {last} r ON r.g = t.g AND r.i = t.i AND r.j = {k} JOIN {last} c ON c.g = t.g AND c.i = {k} AND c.j = t.j)""")
+    return ", ".join(steps) + f", {name}_beta AS (SELECT g, i, v FROM {name}_{columns} WHERE j = {columns + 1} AND i <= {columns})"
+
+
+CODES = ["L0", "L1", "L2", "L3"]
+
+
+def long_sql(source: str) -> str:
+    """``x`` (id, i, v): numbers, codes as zeros and ones (their sum stands for the constant), y last."""
+    values = [f"CAST({c} AS DOUBLE)" for c in NUM] + [f"CAST(code = '{c}' AS INTEGER)::DOUBLE" for c in CODES] + ["y"]
+    return "x AS (" + " UNION ALL ".join(f"SELECT id, {i + 1} AS i, {v} AS v FROM {source}" for i, v in enumerate(values)) + ")"
+
+
+WIDTH = len(NUM) + len(CODES)
+ERRORS = "count(*) AS n, avg((y - p) ** 2) AS mse, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, quantile_cont(abs(y - p), 0.5) AS median_ae, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2"
+
+
+@query("stack_regress", f"""
+WITH {z_sql()}, {long_sql('feat')}, f AS (SELECT id, y, {FOLD.format('id')} AS fold FROM feat), lines AS (SELECT DISTINCT fold AS g FROM f UNION ALL SELECT -1),
+s AS MATERIALIZED (SELECT g, a.i, b.i AS j, sum(a.v * b.v) AS v FROM lines JOIN f ON fold <> g JOIN x a USING (id) JOIN x b USING (id) GROUP BY 1, 2, 3), {sweep_sql('s', WIDTH)},
+lin AS (SELECT id, sum(b.v * x.v) AS linear FROM f JOIN s_beta b ON b.g = fold JOIN x USING (id, i) GROUP BY 1), lin_all AS (SELECT id, sum(b.v * x.v) AS linear FROM x JOIN s_beta b USING (i) WHERE g = -1 GROUP BY 1),
+near AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round({DIST} + CASE WHEN a.code <> b.code THEN 2 ELSE 0 END, 9), b.id) AS rank FROM z a JOIN z b ON {FOLD.format('a.id')} <> {FOLD.format('b.id')}),
+near_all AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round({DIST} + CASE WHEN a.code <> b.code THEN 2 ELSE 0 END, 9), b.id) AS rank FROM z a JOIN z b ON TRUE),
+oof AS (SELECT f.id, f.y, linear, k.knn FROM f JOIN lin USING (id) JOIN (SELECT id, avg(y) AS knn FROM near WHERE rank <= 2 GROUP BY 1) k USING (id)),
+m AS (SELECT avg(y) AS my, avg(linear) AS ml, avg(knn) AS mk, var_pop(linear) * count(*) + 1 AS ll, var_pop(knn) * count(*) + 1 AS kk, covar_pop(linear, knn) * count(*) AS lk, covar_pop(linear, y) * count(*) AS ly, covar_pop(knn, y) * count(*) AS ky FROM oof),
+w AS (SELECT *, (ly * kk - ky * lk) / (ll * kk - lk * lk) AS wl, (ky * ll - ly * lk) / (ll * kk - lk * lk) AS wk FROM m)
+SELECT a.id, my + wl * (a.linear - ml) + wk * (k.knn - mk) AS predicted FROM lin_all a JOIN (SELECT id, avg(y) AS knn FROM near_all WHERE rank <= 2 GROUP BY 1) k USING (id), w""", dbl="predicted", digits=5)
+def stack_regress(t):
+    return gram.stack_regress(feat(t), feat(t), NUM, ["code"], "y", "id")
+
+
+SLOT = "CAST(('0x' || substring(md5(CAST(id AS VARCHAR) || ':curve'), 1, 6)) AS BIGINT)::DOUBLE / 16777216"
+STEPS = "(SELECT unnest([0, 1, 2, 3, 4]) AS step, unnest([0.1, 0.325, 0.55, 0.775, 1.0]) AS fraction)"
+
+
+@query("learning_curve", f"""
+WITH {FEAT}, {long_sql('feat')}, f AS (SELECT id, y, {FOLD.format('id')} AS fold, {SLOT} AS u FROM feat), lines AS (SELECT DISTINCT fold * 5 + step AS g, fold AS tf, step, fraction FROM f, {STEPS}),
+s AS MATERIALIZED (SELECT g, a.i, b.i AS j, sum(a.v * b.v) AS v FROM lines JOIN f ON fold <> tf AND u < fraction JOIN x a USING (id) JOIN x b USING (id) GROUP BY 1, 2, 3), {sweep_sql('s', WIDTH)},
+p AS (SELECT g, id, sum(b.v * x.v) AS p FROM s_beta b JOIN x USING (i) GROUP BY 1, 2),
+e AS (SELECT fraction, tf, fold = tf AS tested, avg(abs(y - p)) AS mae FROM lines JOIN p USING (g) JOIN f USING (id) WHERE fold = tf OR u < fraction GROUP BY 1, 2, 3)
+SELECT CAST(fraction AS DOUBLE) AS fraction, avg(CASE WHEN NOT tested THEN mae END) AS train_mean, stddev_pop(CASE WHEN NOT tested THEN mae END) AS train_sd, avg(CASE WHEN tested THEN mae END) AS test_mean, stddev_pop(CASE WHEN tested THEN mae END) AS test_sd
+FROM e GROUP BY 1""", dbl="train_mean train_sd test_mean test_sd", digits=5)
+def learning_curve(t):
+    return gram.linear_learning_curve(feat(t), NUM, ["code"], "y", "id")
+
+
+@query("learning_curve_knn", f"""
+WITH {z_sql('standard')}, f AS (SELECT *, {FOLD.format('id')} AS fold, {SLOT} AS u FROM z), d AS MATERIALIZED (SELECT a.id, a.fold AS afold, a.u AS au, a.label AS own, b.id AS bid, b.fold, b.u, b.label,
+  round({DIST} + CASE WHEN a.code <> b.code THEN 2 ELSE 0 END, 9) AS d FROM f a JOIN f b ON TRUE),
+n AS (SELECT tf, fraction, id, afold, own, label, row_number() OVER (PARTITION BY tf, fraction, id ORDER BY d, bid) AS rank FROM (SELECT DISTINCT fold AS tf FROM f), {STEPS}, d
+  WHERE d.fold <> tf AND d.u < fraction AND (afold = tf OR au < fraction)),
+v AS (SELECT tf, fraction, id, afold, own, label, count(*) AS c FROM n WHERE rank <= 5 GROUP BY ALL),
+g AS (SELECT tf, fraction, afold = tf AS tested, own = label AS hit FROM v QUALIFY row_number() OVER (PARTITION BY tf, fraction, id ORDER BY c DESC, label) = 1),
+e AS (SELECT fraction, tf, tested, avg(hit::INTEGER) AS s FROM g GROUP BY 1, 2, 3)
+SELECT CAST(fraction AS DOUBLE) AS fraction, avg(CASE WHEN NOT tested THEN s END) AS train_mean, stddev_pop(CASE WHEN NOT tested THEN s END) AS train_sd, avg(CASE WHEN tested THEN s END) AS test_mean, stddev_pop(CASE WHEN tested THEN s END) AS test_sd
+FROM e GROUP BY 1""", dbl="train_mean train_sd test_mean test_sd", digits=6)
+def learning_curve_knn(t):
+    return gram.knn_learning_curve(feat(t), NUM, ["code"], "label", "id")
+
+
+@query("pca_two_columns", """
+WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), z AS (SELECT (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM p),
+c AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM z), e AS (SELECT *, sqrt(((a - c) / 2) ** 2 + b * b) AS r FROM c),
+v AS (SELECT 1 AS component, ((a + c) / 2 + r) / (a + c) AS variance, ((a + c) / 2 + r) / (a + c) AS cumulative FROM e UNION ALL SELECT 2, ((a + c) / 2 - r) / (a + c), 1.0 FROM e)
+SELECT CAST(component AS INTEGER) AS component, variance, cumulative FROM v""", dbl="variance cumulative", digits=9)
+def pca_two_columns(t):
+    e = F.col("embedding")
+    df = t.embeddings.select(e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
+    return models.pca_variance(df, ["x", "y"], None).drop("top_columns")
+
+
+@query("pca_variance", """
+WITH v AS (SELECT unnest(range(1, 65)) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT 64::INTEGER AS components, true AS ordered, true AS sums_to_one, CAST(count(DISTINCT c) AS INTEGER) AS columns FROM v""")
+def pca_variance(t):
+    out = models.pca_variance(classes(t), [f"e{i}" for i in range(64)], None)
+    last = F.max_by("cumulative", "component")
+    pairs = out.withColumn("_next", F.coalesce(F.lead("variance").over(Window.orderBy("component")), F.lit(0.0)))
+    return pairs.agg(F.count(F.lit(1)).cast("int").alias("components"), F.bool_and(F.col("variance") >= F.col("_next") - 1e-12).alias("ordered"), (F.abs(last - 1) < 1e-9).alias("sums_to_one"),
+                     F.size(F.array_distinct(F.flatten(F.collect_list("top_columns")))).alias("columns"))
+
+
+@query("knn_regress_pca", f"WITH {near_sql('a.id <> b.id', kind='standard')} SELECT id, avg(y) AS predicted FROM near WHERE rank <= 2 GROUP BY 1", dbl="predicted")
+def knn_regress_pca(t):
+    """All components of numbers and codes: distances are those before the rotation."""
+    return gram.knn_regress_pca(feat(t), feat(t), NUM, ["code"], "y", "id", None, exclude_same=True)
+
+
+# ---------------------------------------------------------------- Spark ML: lines against normal equations, trees by what must hold of them
 
 def shop(t):
     """One row per order with sums over its lines, and codes."""
@@ -357,69 +510,86 @@ def shop(t):
 
 
 SHOP = (["syss", "lonn", "units"], ["o_orderpriority"], "oms")
+SHOP_SQL = """shop AS (SELECT o_orderkey AS id, o_orderpriority AS code, o_orderstatus AS status, CAST(sum(l_extendedprice) AS DOUBLE) AS y, CAST(sum(l_quantity) AS DOUBLE) AS syss, CAST(sum(l_extendedprice * l_tax) AS DOUBLE) AS lonn, CAST(count(*) AS DOUBLE) AS units
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3)"""
+SHOP_VALUES = ["syss", "lonn", "units", *[f"CAST(starts_with(code, '{i}') AS INTEGER)::DOUBLE" for i in range(1, 6)], "y"]
+LINE_SQL = f"""{SHOP_SQL}, x AS ({' UNION ALL '.join(f'SELECT id, {i + 1} AS i, {v} AS v FROM shop' for i, v in enumerate(SHOP_VALUES))}),
+s AS MATERIALIZED (SELECT 0 AS g, a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (id) WHERE id IN (SELECT id FROM shop WHERE {{train}}) GROUP BY 1, 2, 3), {sweep_sql('s', 8)},
+p AS (SELECT id, sum(b.v * x.v) AS p FROM s_beta b JOIN x USING (i) GROUP BY 1)"""
 
 
 def scored(df):
     return metrics.regression_metrics(df, "oms", "predicted")
 
 
-@query("gbt_regress")
-def gbt_regress(t):
-    df = features.split_rows(shop(t), "o_orderkey")
-    return scored(models.gbt_regress(df.where("part = 'train'"), *SHOP, max_iter=10).predict(df.where("part = 'test'")))
+def sound(df):
+    """How many rows were predicted, whether none is negative, and whether the errors are below those of the mean."""
+    return df.agg(F.count("predicted").alias("n"), (F.min("predicted") >= 0).alias("not_negative"), (F.avg((F.col("oms") - F.col("predicted")) ** 2) < F.var_pop("oms") / 2).alias("explains_half"))
 
 
-@query("gbt_grid")
-def gbt_grid(t):
+@query("linear_regress", f"""
+WITH {LINE_SQL.format(train=SPLIT.format('id') + " = 'train'")} SELECT {ERRORS} FROM p JOIN shop USING (id) WHERE {SPLIT.format('id')} = 'test'""".replace("avg((y - p) ** 2) AS mse, ", ""), dbl="rmse mae median_ae r2", digits=2)
+def linear_regress(t):
     df = features.split_rows(shop(t), "o_orderkey")
-    fitted = models.gbt_regress(df.where("part = 'train'"), *SHOP, grid={"maxDepth": [2, 4]}, max_iter=4, folds=2, fold_key="o_orderkey")
-    return scored(fitted.predict(df.where("part = 'test'")))
+    return scored(models.linear_regress(df.where("part = 'train'"), *SHOP).predict(df.where("part = 'test'"), clip=False)).drop("mse")
 
 
-@query("feature_importance")
-def feature_importance(t):
-    return models.feature_importance(models.gbt_regress(shop(t), *SHOP, max_iter=5))
+TESTED = f"WITH {SHOP_SQL} SELECT count(*) AS n, true AS not_negative, true AS explains_half FROM shop WHERE {SPLIT.format('id')} = 'test'"
 
 
-@query("linear_regress")
-def linear_regress(t):
+@query("gbt_regress", TESTED)
+def gbt_regress(t):
     df = features.split_rows(shop(t), "o_orderkey")
-    return scored(models.linear_regress(df.where("part = 'train'"), *SHOP).predict(df.where("part = 'test'"), clip=False))
+    return sound(models.gbt_regress(df.where("part = 'train'"), *SHOP).predict(df.where("part = 'test'")))
 
 
-@query("stack_regress")
-def stack_regress(t):
-    df = feat(t)
-    return scored(df.join(models.stack_regress(df, df, NUM[:3], ["code"], "y", "id", folds=3), "id").withColumnRenamed("y", "oms"))
+@query("gbt_grid", TESTED)
+def gbt_grid(t):
+    df = features.split_rows(shop(t), "o_orderkey")
+    fitted = models.gbt_regress(df.where("part = 'train'"), *SHOP, grid={"maxDepth": [2, 4]}, max_iter=8, fold_key="o_orderkey")
+    return sound(fitted.predict(df.where("part = 'test'")))
 
 
-@query("pca_variance")
-def pca_variance(t):
-    return models.pca_variance(classes(t), [f"e{i}" for i in range(64)], 6)
+@query("gbt_regress_pca", TESTED)
+def gbt_regress_pca(t):
+    df = features.split_rows(shop(t), "o_orderkey")
+    train, test = df.where("part = 'train'"), df.where("part = 'test'")
+    return sound(test.select("o_orderkey", "oms").join(models.gbt_regress_pca(train, test, *SHOP, "o_orderkey", 0.95), "o_orderkey"))
 
 
-@query("knn_regress_pca")
-def knn_regress_pca(t):
-    return models.knn_regress_pca(feat(t), feat(t), NUM, "y", "id", 3, exclude_same=True)
+@query("feature_importance", f"""
+WITH {SHOP_SQL} SELECT CAST(3 + count(DISTINCT code) AS INTEGER) AS features, true AS sums_to_one, true AS numbers_lead FROM shop""")
+def feature_importance(t):
+    out = models.feature_importance(models.gbt_regress(shop(t), *SHOP))
+    return out.agg(F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"), (F.sum(F.when(F.col("feature").isin(*SHOP[0]), F.col("importance"))) > 0.9).alias("numbers_lead"))
 
 
-@query("tree_classify")
+@query("tree_classify", f"""
+WITH c AS (SELECT vec_id AS id, label FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 50))
+SELECT CAST(label AS VARCHAR) AS label, count(*) AS support, true AS shares FROM c WHERE {SPLIT.format('id')} = 'test' GROUP BY 1 UNION ALL
+SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), count(*), true FROM c WHERE {SPLIT.format('id')} = 'test'""")
 def tree_classify(t):
-    return models.tree_classify(classes(t), [f"e{i}" for i in range(64)], [], "label", "id", 20, trees=10)[1]
+    out = models.tree_classify(classes(t), [f"e{i}" for i in range(64)], [], "label", "id")[1].where("support > 0")
+    return out.select("label", "support", ((F.least("precision", "recall", "f1") >= 0) & (F.greatest("precision", "recall", "f1") <= 1)).alias("shares"))
 
 
-@query("learning_curve")
-def learning_curve(t):
-    def fit(train, test):
-        return models.linear_regress(train, *SHOP).predict(test)
-    return models.learning_curve(shop(t), fit, "oms", "o_orderkey", (0.1, 0.325, 0.55, 0.775, 1.0), 2)
+@query("boost_classify", f"""
+WITH c AS (SELECT vec_id AS id, label FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 50))
+SELECT label AS actual, count(*) AS n, true AS sums_to_one, true AS one_per_class FROM c WHERE {SPLIT.format('id')} = 'test' GROUP BY 1""")
+def boost_classify(t):
+    """Probabilities of every class for each tested row."""
+    out, _ = boost.boost_classify(classes(t), [f"e{i}" for i in range(64)], [], "label", "id")
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
+    return out.groupBy("actual").agg(F.count("predicted").alias("n"), (F.max(F.abs(total - 1)) < 1e-9).alias("sums_to_one"), (F.min(F.size("probabilities")) == F.max(F.size("probabilities"))).alias("one_per_class"))
 
 
-@query("impute_with")
+@query("impute_with", f"""
+WITH {LINE_SQL.format(train="status <> 'P'")}, l AS (SELECT 'linear' AS model, count(*) AS n, true AS not_negative, avg((y - greatest(p, 0)) ** 2) < var_pop(y) / 2 AS explains_half FROM p JOIN shop USING (id) WHERE status = 'P')
+SELECT * FROM l UNION ALL SELECT m, n, true, true FROM l, (SELECT unnest(['gbt', 'knn', 'stack']) AS m)""")
 def impute_with(t):
     df = shop(t)
     out = None
-    for name in ("linear", "gbt"):
-        part = scored(models.impute_with(name, df.where("o_orderstatus <> 'P'"), df.where("o_orderstatus = 'P'"), *SHOP, "o_orderkey")).withColumn("model", F.lit(name))
+    for name in sorted(models.IMPUTERS):
+        part = sound(models.impute_with(name, df.where("o_orderstatus <> 'P'"), df.where("o_orderstatus = 'P'"), *SHOP, "o_orderkey")).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
