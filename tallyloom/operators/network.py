@@ -1,11 +1,11 @@
-"""Road network: directed edges, components, cheapest routes. Every round is written to the shared folder."""
+"""Road network: directed edges, components, cheapest routes. What a round finds is written to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .grouping import first_rows
 
 
@@ -19,72 +19,136 @@ def orient_edges(df: DataFrame, source: str = "source", target: str = "target",
     return df.select(F.inline(both)).where(F.col("weight") >= 0)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``(node, component, size, largest)``; the component is named by its smallest node.
+def component_stars(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component)`` of every node but the smallest of its component, which names it.
 
     Alternating star contraction (each node's larger neighbours, then its smaller ones, are hung on the smallest
-    node around), which needs about log^2 rounds, not as many rounds as the longest path. Nodes with many edges:
-    minima are partial aggregates, and their join back is against a written table, so adaptive execution
-    may split the skewed side.
+    node around), which needs about log^2 rounds, not as many rounds as the longest path. A round is two jobs, each a partial minimum
+    per node joined back to the edges, which adaptive execution splits where a node has many; the last check of a round is
+    counted while its edges are written.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    nodes = materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).where("node IS NOT NULL").distinct(), "nodes")
-    e = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    def large_star(df: DataFrame) -> DataFrame:
-        sym = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        return sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    def small_star(df: DataFrame) -> DataFrame:
-        low = materialise(df.groupBy("u").agg(F.min("v").alias("m")), "low")
-        hung = df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+        return out, tuple(seen.get.values())
 
-    before = mark(e)
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    e, before = settle(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        e = materialise(large_star(e), "edges")
-        e = materialise(small_star(e), "edges")
-        now = mark(e)
+        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = materialise(sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e, now = settle(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-    out = nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component, size, largest)``; the component is named by its smallest node."""
+    nodes = edges.select(F.col(src).alias("node")).union(edges.select(dst)).where("node IS NOT NULL").distinct()
+    out = materialise(nodes.join(component_stars(edges, src, dst), "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
     sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.orderBy(F.desc("size"), "component").limit(1).select("component").scalar()
     return out.join(sizes, "component").select("node", "component", "size", (F.col("component") == top).alias("largest"))
 
 
-def _cheapest(edges: DataFrame, origins: DataFrame, src: str, dst: str, weight: str) -> tuple[DataFrame, DataFrame]:
-    """Cost and predecessor of every node reached from every origin. Only states improved in the last round are
-    extended; a round's candidates are reduced to one per (origin, node) before anything is joined."""
+DIGITS = 9      # costs are sums rounded to this many digits, so that paths of equal cost are equal in whatever order they were summed
+
+
+class Labels:
+    """Labels ``(origin, node, cost, hops)`` in an append-only table: every round adds the labels it improved and rewrites nothing."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.path, self.schema = first.sparkSession, scratch_path(first.sparkSession, "labels"), first.schema
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        """Every label so far, also those that were improved on."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def best(self) -> DataFrame:
+        return self.all().groupBy("origin", "node").agg(F.min(F.struct("cost", "hops")).alias("_b")).select("origin", "node", "_b.cost", "_b.hops")
+
+
+def _better(cand: DataFrame, labels: Labels) -> DataFrame:
+    """Candidates that no label of the same origin and node equals or beats."""
+    old = labels.all().select(F.col("origin").alias("_o"), F.col("node").alias("_n"), F.struct("cost", "hops").alias("_l"))
+    at = (F.col("origin") == F.col("_o")) & (F.col("node") == F.col("_n"))
+    return cand.join(old, at & (F.col("_l") <= F.struct("cost", "hops")), "left_anti")
+
+
+def _nearest_only(keep: int):
+    """Candidates as of :func:`_better` that are also among the ``keep`` best origins of their node."""
+    def better(cand: DataFrame, labels: Labels) -> DataFrame:
+        top = first_rows(labels.best(), ["node"], ["cost", "origin"], keep).groupBy("node").agg(F.collect_list(F.struct("cost", "origin")).alias("_top"))
+        here = F.struct("cost", "origin")
+        ahead = F.filter("_top", lambda x: (x["origin"] != F.col("origin")) & (x < here))
+        known = F.exists("_top", lambda x: (x["origin"] == F.col("origin")) & (x <= here))
+        # Candidates of one node are many only where it has many neighbours: they are cut to the best of each round first.
+        cand = first_rows(cand, ["node"], ["cost", "origin"], keep)
+        return cand.join(top, "node", "left").where(F.col("_top").isNull() | (~known & (F.size(ahead) < keep))).drop("_top")
+    return better
+
+
+def _cheapest(edges: DataFrame, origins: DataFrame, src: str, dst: str, weight: str, delta: float | None = None, better=_better) -> tuple[Labels, DataFrame]:
+    """Labels of every node reached from every origin, least cost first and of equal costs fewest edges; and the edges.
+
+    Delta-stepping: nodes are settled in buckets of cost. Within a bucket the light edges (up to ``delta``, by default the mean weight) are
+    followed until nothing in it improves; then the heavy ones once, from nodes that are final by then. A round's candidates are
+    reduced to one per (origin, node) before they are compared with the labels, and only improvements are written.
+    """
     e = materialise(edges.groupBy(F.col(src).alias("node"), F.col(dst).alias("next")).agg(F.min(weight).cast("double").alias("w")), "edges")
     node = e.schema["node"].dataType
-    state = origins.select(F.col(origins.columns[0]).cast(node).alias("origin")).distinct() \
-        .select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(node).alias("pred"))
-    state = front = materialise(state, "state")
-    while True:
-        cand = front.join(e, "node").groupBy("origin", F.col("next").alias("node")).agg(
-            F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("pred"))).alias("_b"))
-        cand = cand.select("origin", "node", "_b.cost", "_b.pred")
-        old = state.select("origin", "node", F.col("cost").alias("_old"))
-        front = materialise(cand.join(old, ["origin", "node"], "left").where("_old IS NULL OR cost < _old").drop("_old"), "front")
-        if front.isEmpty():
-            return state, e
-        keep = state.join(front.select("origin", "node"), ["origin", "node"], "left_anti")
-        state = materialise(keep.unionByName(front), "state")
+    start = origins.select(F.col(origins.columns[0]).cast(node).alias("origin")).where("origin IS NOT NULL").distinct()
+    labels = Labels(start.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")))
+    delta = delta or e.agg(F.avg("w")).first()[0] or 1.0
+    light, heavy = e.where(F.col("w") <= delta), e.where(F.col("w") > delta)
+
+    def follow(front: DataFrame, along: DataFrame) -> DataFrame:
+        cost = F.round(F.col("cost") + F.col("w"), DIGITS)
+        cand = front.join(along, "node").groupBy("origin", F.col("next").alias("node")).agg(F.min(F.struct(cost.alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("_b"))
+        found = materialise(better(cand.select("origin", "node", "_b.cost", "_b.hops"), labels), "improved")
+        labels.add(found)
+        return found
+
+    low = 0.0
+    while low is not None:
+        high = low + delta
+        inside = F.col("cost") < high
+        front = materialise(labels.best().where((F.col("cost") >= low) & inside), "bucket")
+        while not front.isEmpty():
+            front = follow(front, light).where(inside)
+        settled = labels.best().where((F.col("cost") >= low) & inside)
+        follow(settled, heavy)
+        low = labels.best().where(F.col("cost") >= high).agg(F.min("cost")).first()[0]
+    return labels, e
 
 
 def od_costs(edges: DataFrame, origins: DataFrame, dests: DataFrame, src: str = "src", dst: str = "dst",
              weight: str = "weight") -> DataFrame:
     """``(origin, dest, cost)``: cheapest travel cost; unreachable pairs are absent."""
-    state, _ = _cheapest(edges, origins, src, dst, weight)
+    labels, _ = _cheapest(edges, origins, src, dst, weight)
     wanted = dests.select(F.col(dests.columns[0]).alias("node")).distinct()
-    return state.join(wanted, "node").select("origin", F.col("node").alias("dest"), "cost")
+    return materialise(labels.best(), "costs").join(wanted, "node").select("origin", F.col("node").alias("dest"), "cost")
+
+
+def nearest_destination(edges: DataFrame, origins: DataFrame, dests: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight") -> DataFrame:
+    """``(origin, dest, cost)``: the cheapest destination of each origin, itself left out; equal costs go to the smallest destination.
+
+    One search from all destinations at once, along the edges turned round. A node keeps its two best destinations only (the
+    second for a node that is a destination itself), so the labels grow with the nodes, not with nodes x destinations.
+    """
+    turned = edges.select(F.col(dst).alias("src"), F.col(src).alias("dst"), F.col(weight).alias("weight"))
+    labels, _ = _cheapest(turned, dests, "src", "dst", "weight", better=_nearest_only(2))
+    wanted = origins.select(F.col(origins.columns[0]).alias("node")).distinct()
+    found = materialise(labels.best(), "costs").join(wanted, "node").select(F.col("node").alias("origin"), F.col("origin").alias("dest"), "cost")
+    return nearest_dest(found)
 
 
 def nearest_dest(costs: DataFrame) -> DataFrame:
@@ -94,20 +158,29 @@ def nearest_dest(costs: DataFrame) -> DataFrame:
 
 def route_frequencies(edges: DataFrame, origins: DataFrame, dests: DataFrame, src: str = "src", dst: str = "dst",
                       weight: str = "weight") -> DataFrame:
-    """``(src, dst, routes)``: how many cheapest routes use each edge, by walking predecessors back, one hop per round.
+    """``(src, dst, routes)``: how many cheapest routes use each edge, one route for each pair of an origin and another destination.
 
-    Routes that share an (origin, node) walk on as one row with a count.
+    Of the cheapest routes to a node the one with fewest edges is taken, and of these the one that comes by the smallest node, so the routes
+    of an origin are a tree. Counts are pushed up the trees, the nodes with most edges first: when a node's turn comes, all that goes
+    through it is known, and it hands its count to its predecessor once. Every round appends to one written table.
     """
-    state, _ = _cheapest(edges, origins, src, dst, weight)
-    back = state.where("pred IS NOT NULL").select("origin", "node", "pred")
-    wanted = dests.select(F.col(dests.columns[0]).alias("node")).distinct()
-    walk = materialise(state.join(wanted, "node").where("origin <> node").select("origin", "node", F.lit(1).cast("long").alias("n")), "walk")
-    used = None
-    while not walk.isEmpty():
-        step = materialise(walk.join(back, ["origin", "node"]), "step")
-        part = step.groupBy("pred", "node").agg(F.sum("n").alias("n"))
-        used = part if used is None else used.unionByName(part)
-        walk = materialise(step.where("pred <> origin").groupBy("origin", F.col("pred").alias("node")).agg(F.sum("n").alias("n")), "walk")
-    if used is None:
-        used = back.where("false").select("pred", "node", F.lit(0).cast("long").alias("n"))
-    return used.groupBy(F.col("pred").alias("src"), F.col("node").alias("dst")).agg(F.sum("n").alias("routes"))
+    labels, e = _cheapest(edges, origins, src, dst, weight)
+    state = materialise(labels.best(), "state")
+    before = state.select("origin", F.col("node").alias("pred"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    tight = (F.round(F.col("_c") + F.col("w"), DIGITS) == F.col("cost")) & (F.col("_h") + 1 == F.col("hops"))
+    steps = before.join(e.withColumnRenamed("node", "pred"), "pred").join(state.withColumnRenamed("node", "next"), ["origin", "next"]).where(tight)
+    tree = materialise(steps.groupBy("origin", F.col("next").alias("node"), "hops").agg(F.min("pred").alias("pred")), "tree")
+    wanted = dests.select(F.col(dests.columns[0]).alias("node")).distinct().withColumn("_own", F.lit(1).cast("long"))
+    tree = materialise(tree.join(wanted, "node", "left").withColumn("_own", F.coalesce("_own", F.lit(0).cast("long"))), "tree")
+    passed = None
+    used = scratch_path(e.sparkSession, "used")
+    for hops in range(tree.agg(F.coalesce(F.max("hops"), F.lit(0))).first()[0], 0, -1):
+        level = tree.where(F.col("hops") == hops)
+        if passed is not None:
+            level = level.join(passed, ["origin", "node"], "left").withColumn("_own", F.col("_own") + F.coalesce("_n", F.lit(0))).drop("_n")
+        level = materialise(level.where("_own > 0").select("origin", "node", "pred", F.col("_own").alias("n")), "level")
+        level.select("pred", "node", "n").write.mode("append").parquet(used)
+        passed = level.groupBy("origin", F.col("pred").alias("node")).agg(F.sum("n").alias("_n"))
+    if passed is None:
+        return e.where("false").select(F.col("node").alias("src"), F.col("next").alias("dst"), F.lit(0).cast("long").alias("routes"))
+    return e.sparkSession.read.parquet(used).groupBy(F.col("pred").alias("src"), F.col("node").alias("dst")).agg(F.sum("n").alias("routes"))

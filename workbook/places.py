@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import aggregate as agg
 from tallyloom.operators import geo, network, text
 
 from .registry import query
@@ -159,7 +158,24 @@ def nearest_dest(t):
     return network.nearest_dest(costs)
 
 
-@query("route_frequencies")
+@query("nearest_destination", f"""
+WITH {od_sql()} SELECT origin, dest, cost FROM (SELECT src AS origin, dst AS dest, c AS cost, row_number() OVER (PARTITION BY src ORDER BY round(c, 6), dst) AS rn FROM d5
+ WHERE src <> dst AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)) WHERE rn = 1""", dbl="cost", digits=2)
+def nearest_destination(t):
+    return network.nearest_destination(network.orient_edges(roads(t)), t.nation.select("n_nationkey"), t.nation.where("n_regionkey < 3").select("n_nationkey"))
+
+
+def routes_sql() -> str:
+    """Least (cost, edges) by the number of edges, the smallest predecessor on such a route, and routes walked back."""
+    walks = ["w0 AS (SELECT n_nationkey AS o, n_nationkey AS v, 0::DOUBLE AS c, 0 AS h FROM nation)"]
+    walks += [f"w{i} AS MATERIALIZED (SELECT o, dst AS v, min(round(c + w, 9)) AS c, {i} AS h FROM w{i - 1} JOIN g ON v = src GROUP BY 1, 2)" for i in range(1, 25)]
+    every = " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(25))
+    return f"""e AS (SELECT * FROM {EDGES}), g AS (SELECT src, dst, min(weight)::DOUBLE AS w FROM e GROUP BY 1, 2), {', '.join(walks)},
+best AS MATERIALIZED (SELECT o, v, c, min(h) AS h FROM ({every}) JOIN (SELECT o, v, min(c) AS c FROM ({every}) GROUP BY 1, 2) USING (o, v, c) GROUP BY 1, 2, 3),
+tree AS MATERIALIZED (SELECT b.o, b.v, min(a.v) AS pred FROM best b JOIN g ON g.dst = b.v JOIN best a ON a.o = b.o AND a.v = g.src WHERE round(a.c + g.w, 9) = b.c AND a.h + 1 = b.h GROUP BY 1, 2),
+back AS (SELECT o, v, pred FROM tree UNION ALL SELECT back.o, t.v, t.pred FROM back JOIN tree t ON t.o = back.o AND t.v = back.pred)"""
+
+
+@query("route_frequencies", f"WITH RECURSIVE {routes_sql()} SELECT pred AS src, v AS dst, count(*) AS routes FROM back GROUP BY 1, 2")
 def route_frequencies(t):
-    r = network.route_frequencies(network.orient_edges(roads(t)), t.nation.select("n_nationkey"), t.nation.select("n_nationkey"))
-    return agg.top_k(r, [F.desc("routes"), F.col("src"), F.col("dst")], 3)
+    return network.route_frequencies(network.orient_edges(roads(t)), t.nation.select("n_nationkey"), t.nation.select("n_nationkey"))
