@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rint0, safe_div, zero_if_null
+from ..session import materialise
 from .clean import drop_zero_total, fix_unit_error
 from .grouping import Totals, by_group
 
@@ -209,7 +210,8 @@ def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str
     one = register.groupBy(key).agg(*[F.max(c).alias(c) for c in extra])
     df = df.join(one, key, "left").fillna(0.0, subset=extra)
     two = F.substring(F.coalesce(F.col(code), F.col(parent_code)), 1, 2).try_cast("int")
-    df = df.withColumn("industrial", F.coalesce(two.between(low, high), F.lit(False)).cast("int"))
+    # Counted twice and read once: the chain before this is run once, into a written table.
+    df = materialise(df.withColumn("industrial", F.coalesce(two.between(low, high), F.lit(False)).cast("int")), "units")
 
     def step(part: DataFrame, t: Totals) -> DataFrame:
         part = t.add(part, keys, has_industrial=F.max("industrial"),

@@ -39,11 +39,11 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """All groups above the row threshold as a written table, or None if there is none.
 
-    One pass over the key columns with map-side counts.
+    One pass over the key columns with map-side counts; only where some group is hot is a table of them written.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows(df))
-    hot = materialise(counts.select(*[F.col(k).alias("_hot_" + k) for k in keys]), "hot")
-    return None if hot.isEmpty() else hot
+    hot = counts.select(*[F.col(k).alias("_hot_" + k) for k in keys])
+    return None if hot.isEmpty() else materialise(hot, "hot")
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None | str = "find") -> tuple[DataFrame, DataFrame | None]:

@@ -3,16 +3,18 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import clean_code, finite, fmt_percent, half_even, parse_number, safe_div
 from tallyloom.operators import aggregate as agg
 from tallyloom.operators import allocate as al
-from tallyloom.operators import clean, factors, features, geo, hotdeck, joins, knn, metrics, models, network, publish, reshape, text, windows
+from tallyloom.operators import boost, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, publish, reshape, text, windows
 from tallyloom.operators.classify import classify_responses
-from tallyloom.operators.nearest import nearest
+from tallyloom.operators.nearest import Quantiser, nearest
 from tallyloom.operators.ordering import add_lags, dense_ranks, exact_percentiles, number_rows, running
+from tallyloom.operators.partial import nearest_partial
 from tallyloom.plans import allocate_units
 from tallyloom.sources import collect_period_files, collect_periods, stage, write_partitioned
 
@@ -416,3 +418,229 @@ def test_scratch_tables_can_be_removed(spark):
     materialise(spark.range(3), "gone").count()
     clear_scratch(spark)
     assert not [n for n in os.listdir(scratch_dir(spark)) if n.startswith("gone")]
+
+
+# ---------------------------------------------------------------- gaps in any pattern, many dimensions, grids
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_partial_neighbours_are_exact(spark, block):
+    random.seed(11)
+    data = [(i, [None if random.random() < 0.3 else float(random.randint(0, 4)) + (i % 3) * 10 for _ in range(5)], f"g{i % 2}") for i in range(260)]
+    data += [(500 + i, [1.0, None, 2.0, 3.0, None], "g0") for i in range(90)]                    # a quarter of the rows are copies
+    data += [(700, [None] * 5, "g1"), (701, [None, None, None, None, 2.0], "g1")]
+    cols = [f"c{j}" for j in range(5)]
+    df = spark.createDataFrame([(i, *v, g) for i, v, g in data], f"id int, {', '.join(c + ' double' for c in cols)}, grp string")
+    got = {}
+    for r in nearest_partial(df, cols, "id", 3, "grp", block_rows=block).collect():
+        got.setdefault((r["id"], r["column"]), []).append((r["rank"], r["donor"], r["value"]))
+    want = {}
+    for i, v, g in data:
+        for c in range(5):
+            if v[c] is not None:
+                continue
+            found = []
+            for j, w, h in data:
+                on = [k for k in range(5) if v[k] is not None and w[k] is not None]
+                if h == g and w[c] is not None and on:
+                    found.append((round(sum((v[k] - w[k]) ** 2 for k in on) * 5 / len(on), 9), j, w[c]))
+            if found:
+                want[(i, c)] = [(n, j, x) for n, (_, j, x) in enumerate(sorted(found)[:3], 1)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_partial_neighbours_of_nothing(spark):
+    df = spark.createDataFrame([], "id int, a double, b double")
+    assert nearest_partial(df, ["a", "b"], "id", 2).count() == 0 and knn.knn_impute(df, ["a", "b"], "id").count() == 0
+    one = spark.createDataFrame([(1, None, None), (2, 1.0, None)], "id int, a double, b double")
+    assert rows(knn.knn_impute(one, ["a", "b"], "id"), "id", "a", "b") == [(1, 1.0, 0.0), (2, 1.0, 0.0)]
+
+
+def test_number_of_blocks_does_not_grow_with_patterns(spark):
+    random.seed(3)
+    df = spark.createDataFrame([(i, *[None if random.random() < 0.5 else random.random() for _ in range(8)]) for i in range(600)], "id int, " + ", ".join(f"c{j} double" for j in range(8)))
+    patterns = df.select(*[F.col(f"c{j}").isNull() for j in range(8)]).distinct().count()
+    near = nearest_partial(df, [f"c{j}" for j in range(8)], "id", 2, block_rows=100)
+    assert patterns > 150 and near.select("id").distinct().count() > 500
+
+
+@pytest.mark.parametrize("block", [None, 4])
+def test_nearest_in_many_dimensions_is_exact(spark, block):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 24)) + rng.integers(0, 3, 400)[:, None] * 4
+    x[:, 5] = np.where(rng.random(400) < 0.01, 1e4, x[:, 5])                                     # outliers
+    don = [(i, [float(v) for v in x[i]], [int(i % 3)], f"g{i % 2}") for i in range(400)] + [(1000 + i, [float(v) for v in x[0]], [1], "g0") for i in range(50)]
+    que = [(i, [float(v) for v in x[i] + 0.1], [int(i % 4)], ["g0"] if i % 3 else ["g0", "g1"]) for i in range(80)]
+    d = spark.createDataFrame(don, "did int, vec array<double>, cats array<bigint>, grp string")
+    q = spark.createDataFrame(que, "qid int, vec array<double>, cats array<bigint>, may array<string>")
+    got = {(r["qid"], r["rank"]): r["did"] for r in nearest(q, d, 3, "qid", "did", cats="cats", group="grp", groups="may", exclude_same=True, block_rows=block).collect()}
+    want = {}
+    for i, v, c, may in que:
+        def dist(y):
+            code = 0 if y[2] == c else 1 if 0 in (y[2][0], c[0]) else 2
+            return round(sum((a - b) ** 2 for a, b in zip(v, y[1])) + code, 9)
+        for n, y in enumerate(sorted((y for y in don if y[3] in may and y[0] != i), key=lambda y: (dist(y), y[0]))[:3], 1):
+            want[(i, n)] = y[0]
+    assert got == want
+
+
+def test_quantised_bounds_hold_and_leave_few_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "_d int, _v array<double>")
+    coder = Quantiser(df, 64)
+    code = coder.encode(x)
+    off = np.sqrt(((x - coder.decode(code)) ** 2).sum(axis=1))
+    none = np.empty((1500, 0), np.int64)
+    low, up = coder.bounds(x, none, code, off, none)
+    true = ((x[:, None, :] - x[None]) ** 2).sum(axis=2)
+    assert (low <= true + 1e-9).all() and (true <= up + 1e-9).all()
+    np.fill_diagonal(up, np.inf)
+    np.fill_diagonal(low, np.inf)
+    limit = np.partition(up, 4, axis=1)[:, 4]
+    assert (low <= limit[:, None]).mean() < 0.1                              # of uniform vectors, where pivots leave all pairs
+    assert (low <= limit[:, None]).sum(axis=1).min() >= 5
+
+
+def test_power_and_weights(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 3.0, 0.0, 2.0), (3, 2.0, 2.0, 4.0), (4, 0.0, 0.0, 7.0)], "id int, a double, b double, y double")
+    q = spark.createDataFrame([(9, 0.0, 0.0)], "id int, a double, b double")
+    by = lambda **o: knn.knn_regress(df.where("id < 4"), q, ["a", "b"], [], "y", "id", 2, "none", **o).first()["predicted"]
+    assert by() == pytest.approx((1 + 4) / 2) and by(power=1) == pytest.approx((1 + 2) / 2)      # (2, 2) is nearer by squares, (3, 0) by sums
+    assert by(weights="distance") == 1.0                                                         # at distance 0 alone
+    far = knn.knn_regress(df.where("id IN (2, 3)"), q, ["a", "b"], [], "y", "id", 2, "none", weights="distance", power=1).first()["predicted"]
+    assert far == pytest.approx((2 / 3 + 4 / 4) / (1 / 3 + 1 / 4))
+    with pytest.raises(ValueError):
+        knn.weighted_mean("y", "other")
+    assert knn.knn_best(df.where("false"), q, ["a", "b"], [], "y", "id").count() == 0
+
+
+# ---------------------------------------------------------------- sums of products
+
+def test_lines_of_all_folds_from_one_pass(spark):
+    rng = np.random.default_rng(2)
+    n = 300
+    x, code = rng.normal(size=(n, 3)), rng.integers(0, 4, n)
+    y = x @ [1.0, -2.0, 0.5] + np.array([0.0, 1.0, 5.0, -3.0])[code] + rng.normal(size=n) * 0.1
+    df = spark.createDataFrame([(i, *map(float, x[i]), None if i == 7 else f"k{code[i]}", float(y[i])) for i in range(n)], "id int, a double, b double, c double, k string, y double")
+    line, whole = gram.linear_out_of_fold(df, ["a", "b", "c"], ["k"], "y", "id", 5)
+    got = {r["id"]: r["predicted"] for r in line.collect()}
+    fold = {r["id"]: r["f"] for r in df.select("id", features.fold_of(F.col("id"), 5).alias("f")).collect()}
+    names = ["missing" if i == 7 else f"k{code[i]}" for i in range(n)]
+    known = sorted(set(names))
+    full = np.concatenate([x, np.array([[float(m == v) for v in known] for m in names])], axis=1)
+    for f in range(5):
+        use = np.array([fold[i] != f for i in range(n)])
+        beta = np.linalg.lstsq(full[use], y[use], rcond=None)[0]
+        for i in np.flatnonzero(~use):
+            if i != 7:
+                assert got[i] == pytest.approx(full[i] @ beta, abs=1e-8)
+    beta = np.linalg.lstsq(full, y, rcond=None)[0]
+    out = whole.predict(df.fillna("missing", ["k"]), "id").collect()
+    assert all(r["values"][0] == pytest.approx(full[r["id"]] @ beta, abs=1e-8) for r in out)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 4)) @ np.diag([5.0, 2.0, 1.0, 0.01])
+    df = spark.createDataFrame([(i, *map(float, r), f"k{i % 3}") for i, r in enumerate(x)], "id int, a double, b double, c double, d double, k string")
+    parts = gram.Components(df, ["a", "b", "c", "d"], [], None, "none")
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(parts.variance, values)
+    few = gram.Components(df, ["a", "b", "c", "d"], [], 0.95, "none")
+    assert few.n == int(np.searchsorted(np.cumsum(values) / values.sum(), 0.95, side="right")) + 1
+    full = gram.Components(df, ["a", "b", "c", "d"], ["k"], None, "standard")
+    got = {r["id"]: np.array(r["pc"]) for r in full.project(df, "id").collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = ((z[0] - z[1]) ** 2).sum() + 2                                     # all components: distances as before, codes two apart
+    assert ((got[0] - got[1]) ** 2).sum() == pytest.approx(want)
+    assert np.allclose(np.mean(list(got.values()), axis=0), 0, atol=1e-9)
+
+
+def test_learning_curves_of_any_model(spark):
+    df = spark.createDataFrame([(i, float(i % 13), float(i % 13) * 2 + (i % 5) * 0.1) for i in range(400)], "id int, x double, y double")
+    fit = lambda train, test: models.linear_regress(train, ["x"], [], "y").predict(test)
+    slow = {r["fraction"]: r for r in models.learning_curve(df, fit, "y", "id", (0.3, 1.0), 3).collect()}
+    quick = {r["fraction"]: r for r in gram.linear_learning_curve(df, ["x"], [], "y", "id", (0.3, 1.0), 3).collect()}
+    for f, r in slow.items():
+        for c in ("train_mean", "train_sd", "test_mean", "test_sd"):
+            assert quick[f][c] == pytest.approx(r[c], abs=1e-6)
+    assert gram.linear_learning_curve(df.where("false"), ["x"], [], "y", "id").count() == 0
+
+
+# ---------------------------------------------------------------- boosted trees for many classes
+
+def test_first_round_is_the_mean_of_the_leaves(spark):
+    data = [(i, float(i % 2), ["a", "b", "c"][(i // 2) % 3 if i % 2 else 0 if i % 10 else 1]) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, x double, label string")
+    model = boost.Boosted(df, ["x"], [], "label", rounds=1, depth=1, rate=1.0, ridge=0.0, least=0.0)
+    got = {r["x"]: r["probabilities"] for r in model.predict(df, "id", "x").dropDuplicates(["x"]).collect()}
+    for x in (0.0, 1.0):
+        share = np.array([np.mean([lab == v for _, y, lab in data if y == x]) for v in "abc"])
+        step = (share - 1 / 3) / (2 / 9)                                       # mean gradient over mean curvature of the first softmax
+        want = np.exp(step) / np.exp(step).sum()
+        assert got[x] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_boosting_learns_and_is_defined_on_odd_input(spark):
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(600):
+        a, b = rng.random(2)
+        label = "p" if a < 0.3 else "q" if b < 0.5 else "r"
+        data.append((i, None if i % 50 == 0 else float(a), float(b), "u" if i % 7 else None, label))
+    df = spark.createDataFrame(data + [(1000 + i, 0.5, 0.5, "u", "rare") for i in range(5)], "id int, a double, b double, k string, label string")
+    out, report = boost.boost_classify(df, ["a", "b"], ["k"], "label", "id", rounds=4, depth=2)
+    assert {r["actual"] for r in out.select("actual").distinct().collect()} == {"p", "q", "r"}
+    assert out.where("actual = predicted").count() > 0.93 * out.count() and report.count() == 6
+    assert out.where("abs(aggregate(probabilities, 0D, (s, x) -> s + x) - 1) > 1e-9").count() == 0
+    assert boost.boost_classify(df.where("label = 'p'"), ["a"], [], "label", "id")[0].where("predicted <> 'p'").count() == 0
+    assert boost.boost_classify(df.where("false"), ["a"], ["k"], "label", "id")[0].count() == 0
+
+
+# ---------------------------------------------------------------- roads
+
+def test_routes_follow_the_tie_rule(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 4, 1.0), (3, 4, 1.0), (1, 4, 2.0), (4, 5, 0.0), (5, 4, 0.0), (4, 6, 3.0), (5, 6, 3.0)], "src int, dst int, weight double")
+    o = spark.createDataFrame([(1,)], "o int")
+    d = spark.createDataFrame([(i,) for i in range(1, 7)], "d int")
+    got = rows(network.route_frequencies(e, o, d), "src", "dst", "routes")
+    # 4 is reached by the direct edge (fewest edges of cost 2); 6 through 4, not by the longer way over 5
+    assert got == [(1, 2, 1), (1, 3, 1), (1, 4, 3), (4, 5, 1), (4, 6, 1)]
+    assert network.route_frequencies(e.where("false"), o, d).count() == 0
+
+
+def test_searches_against_plain_dijkstra(spark):
+    import heapq
+    random.seed(2)
+    edges = [(random.randint(0, 40), random.randint(0, 40), round(random.choice([0.0, 0.5, random.random() * 9]), 3)) for _ in range(150)]
+    e = spark.createDataFrame(edges, "src int, dst int, weight double")
+
+    def costs(a):
+        best, heap = {}, [(0.0, a)]
+        while heap:
+            c, u = heapq.heappop(heap)
+            if u in best:
+                continue
+            best[u] = c
+            for x, y, w in edges:
+                if x == u and y not in best:
+                    heapq.heappush(heap, (round(c + w, 9), y))
+        return best
+    every = spark.createDataFrame([(i,) for i in range(41)], "n int")
+    some = spark.createDataFrame([(i,) for i in range(0, 41, 4)], "n int")
+    want = {(a, b): c for a in range(41) for b, c in costs(a).items()}
+    assert {(r["origin"], r["dest"]): r["cost"] for r in network.od_costs(e, every, every).collect()} == want
+    near = {r["origin"]: (r["dest"], r["cost"]) for r in network.nearest_destination(e, every, some).collect()}
+    plain = {}
+    for a in range(41):
+        reach = [(want[(a, b)], b) for b in range(0, 41, 4) if b != a and (a, b) in want]
+        if reach:
+            plain[a] = (min(reach)[1], min(reach)[0])
+    assert near == plain
+
+
+def test_rounds_write_improvements_only(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src int, dst int, weight double")
+    labels, _ = network._cheapest(e, spark.createDataFrame([(0,)], "o int"), "src", "dst", "weight")
+    assert labels.all().count() == 13 == labels.best().count()

@@ -13,6 +13,7 @@ from tallyloom.operators import factors, publish, training
 from tallyloom.operators.aggregate import control_totals as control
 from tallyloom.operators.classify import classify_responses, scale_to_total
 from tallyloom.plans import allocate_units, produce
+from tallyloom.plans import feature_panel as panel
 from tallyloom.session import materialise
 
 from .registry import query
@@ -476,8 +477,64 @@ def control_totals_n3(t):
 
 # ---------------------------------------------------------------- the whole run
 
-@query("end_to_end", f"""
-WITH {BY_RATE}, {BASE},
+PANEL_BASE = """f AS (SELECT l_orderkey AS id, l_partkey AS v_orgnr, l_suppkey, l_linenumber, CAST(year(o_orderdate) AS INTEGER) AS year, CASE l_returnflag WHEN 'R' THEN '04' ELSE '02' END AS regtype,
+  p_type AS tmp_sn2007_5, CASE p_brand WHEN 'Brand#1' THEN 'LARGE' WHEN 'Brand#2' THEN 'SMALL' ELSE p_type END AS nacef_5, 'S' || CAST(c_nationkey AS VARCHAR) AS b_kommunenr, o_totalprice AS foretak_omsetning,
+  l_extendedprice AS fjor_omsetn_kr_t1, CASE WHEN l_tax > 0.07 THEN NULL ELSE l_extendedprice * (1 - l_discount) END AS new_oms,
+  CASE WHEN l_tax = 0 THEN 0 ELSE l_quantity END AS b_sysselsetting_syss, CASE WHEN l_tax = 0 THEN 0 ELSE l_quantity END AS gjeldende_bdr_syss, CASE WHEN l_discount = 0 THEN 0 ELSE 1 + l_quantity / 2 END AS fjor_syssel_t1
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+SIX = ["mean", "emp", "bef", "inf", "inn", "syss"]
+
+
+def _panel_fill(c: str) -> str:
+    d = " + ".join(f"coalesce((a.{x} - b.{x}) ** 2, 0)" for x in SIX)
+    n = " + ".join(f"CAST(a.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INTEGER)" for x in SIX)
+    return f"""(SELECT key, avg(v) AS v FROM (SELECT a.key, b.{c} AS v, row_number() OVER (PARTITION BY a.key ORDER BY round(({d}) * 6 / ({n}), 9), b.key) AS rank
+  FROM zz a JOIN zz b ON a.year = b.year AND a.{c} IS NULL AND b.{c} IS NOT NULL AND ({n}) > 0) WHERE rank <= 3 GROUP BY 1)"""
+
+
+@query("feature_panel", f"""
+WITH {CODE_SQL}, {PANEL_BASE}, years AS (SELECT DISTINCT year FROM f),
+price AS (SELECT year, substring(p_type, 1, 5) AS n4, 1 + avg(p_size) / 100 + (year - 1990) / 1000.0::DOUBLE AS factor FROM part, years WHERE p_type <> 'SMALL' GROUP BY 1, 2),
+pop AS (SELECT year, 'S' || CAST(s_nationkey AS VARCHAR) AS k, 1 + avg(s_acctbal) / 100003 AS factor FROM supplier, years WHERE s_nationkey % 7 <> year % 7 GROUP BY 1, 2),
+inc AS (SELECT year, 'S' || CAST(c_nationkey AS VARCHAR) AS k, 1 + avg(c_acctbal) / 100003 AS factor FROM customer, years GROUP BY 1, 2),
+g AS (SELECT f.*, fjor_omsetn_kr_t1 * coalesce(price.factor, 1.05) AS inf, fjor_omsetn_kr_t1 * pop.factor AS bef, fjor_omsetn_kr_t1 * (b_sysselsetting_syss / nullif(fjor_syssel_t1, 0)) AS emp, fjor_omsetn_kr_t1 * inc.factor AS inn
+  FROM f LEFT JOIN price ON substring(tmp_sn2007_5, 1, 5) = n4 AND price.year = f.year LEFT JOIN pop ON b_kommunenr = pop.k AND pop.year = f.year LEFT JOIN inc ON b_kommunenr = inc.k AND inc.year = f.year),
+h AS (SELECT * REPLACE (CASE WHEN b_sysselsetting_syss = 0 THEN coalesce(emp, 0) ELSE emp END AS emp, CASE WHEN b_sysselsetting_syss = 0 THEN coalesce(bef, 0) ELSE bef END AS bef), v_orgnr || '/' || year AS key FROM g
+  QUALIFY row_number() OVER (PARTITION BY year, v_orgnr ORDER BY id, l_linenumber, l_suppkey) = 1),
+mm AS (SELECT year, tmp_sn2007_5 AS nacef_5, avg(foretak_omsetning) AS m0 FROM h GROUP BY 1, 2), i AS MATERIALIZED (SELECT h.*, round_even(coalesce(m0, 0), 0) AS mean, b_sysselsetting_syss AS syss FROM h LEFT JOIN mm USING (year, nacef_5)),
+pp AS (SELECT year, {', '.join(f'avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}' for c in SIX)} FROM i GROUP BY 1),
+zz AS MATERIALIZED (SELECT key, year, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in SIX)} FROM i JOIN pp USING (year)),
+k AS (SELECT i.* REPLACE ({', '.join(f'round_even(coalesce(i.{c}, x_{c}.v * s_{c} + m_{c}, m_{c}), 0) AS {c}' for c in ('emp', 'bef', 'inf', 'inn'))}) FROM i JOIN pp USING (year)
+  {' '.join(f'LEFT JOIN {_panel_fill(c)} x_{c} USING (key)' for c in ('emp', 'bef', 'inf', 'inn'))} WHERE regtype NOT IN ('04', '11')),
+l AS (SELECT v_orgnr, count(*) AS n, count(new_oms) AS ny, regr_slope(new_oms, year) AS b, avg(CASE WHEN new_oms IS NOT NULL THEN year END) AS xm, avg(new_oms) AS ym FROM k WHERE year < 1998 GROUP BY 1),
+t AS (SELECT k.*, coalesce(CASE WHEN n = ny AND n >= 2 THEN ym + coalesce(b, 0) * (year - xm) END, new_oms) AS trend, coalesce(code, b_kommunenr) AS region FROM k LEFT JOIN l USING (v_orgnr) LEFT JOIN (SELECT old_code, min(new_code) AS code FROM m GROUP BY 1) ON b_kommunenr = old_code),
+o AS (SELECT *, avg(new_oms / nullif(gjeldende_bdr_syss, 0)) OVER (PARTITION BY tmp_sn2007_5, year) * gjeldende_bdr_syss AS o1, avg(new_oms / nullif(gjeldende_bdr_syss, 0)) OVER (PARTITION BY tmp_sn2007_5, region, year) * gjeldende_bdr_syss AS o2 FROM t)
+SELECT v_orgnr, year, id, region AS b_kommunenr, emp AS emp_delta_oms, bef AS befolkning_delta_oms, inf AS inflation_rate_oms, inn AS inntekt_delta_oms, trend AS new_oms_trendForecast, CASE WHEN gjeldende_bdr_syss = 0 THEN coalesce(o1, 0) ELSE o1 END AS by_industry,
+  CASE WHEN gjeldende_bdr_syss = 0 THEN coalesce(o2, 0) ELSE o2 END AS by_region, CASE WHEN v_orgnr % 10 <> 0 THEN CAST(v_orgnr % 1000 AS DOUBLE) END AS x_koordinat FROM o""",
+       dbl="emp_delta_oms befolkning_delta_oms inflation_rate_oms inntekt_delta_oms new_oms_trendForecast by_industry by_region x_koordinat", digits=5)
+def feature_panel(t):
+    """All years' features at once: growth, gaps filled within the year, trend, region codes, productivity, places."""
+    x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    size = F.when(F.col("l_tax") == 0, 0.0).otherwise(F.col("l_quantity"))
+    region = F.concat(F.lit("S"), F.col("c_nationkey").cast("string"))
+    f = x.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("v_orgnr"), "l_suppkey", "l_linenumber", F.year("o_orderdate").alias("year"),
+                 F.when(F.col("l_returnflag") == "R", "04").otherwise("02").alias("regtype"), F.col("p_type").alias("tmp_sn2007_5"),
+                 F.when(F.col("p_brand") == "Brand#1", "LARGE").when(F.col("p_brand") == "Brand#2", "SMALL").otherwise(F.col("p_type")).alias("nacef_5"), region.alias("b_kommunenr"),
+                 F.col("o_totalprice").alias("foretak_omsetning"), F.col("l_extendedprice").alias("fjor_omsetn_kr_t1"), F.when(F.col("l_tax") <= 0.07, F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("new_oms"),
+                 size.alias("b_sysselsetting_syss"), size.alias("gjeldende_bdr_syss"), F.when(F.col("l_discount") == 0, 0.0).otherwise(1 + F.col("l_quantity") / 2).alias("fjor_syssel_t1"))
+    years = F.explode(F.sequence(F.lit(1990), F.lit(2010))).alias("year")
+    named = lambda c: F.concat(F.lit("S"), F.col(c).cast("string")).alias("k")
+    price = t.part.where("p_type <> 'SMALL'").groupBy(F.substring("p_type", 1, 5).alias("n4")).agg((1 + F.avg("p_size") / 100).alias("factor")).select(years, "n4", "factor") \
+        .withColumn("factor", F.col("factor") + (F.col("year") - 1990) / 1000.0)
+    pop = t.supplier.groupBy("s_nationkey").agg((1 + F.avg("s_acctbal") / 100003).alias("factor")).select(years, "s_nationkey", "factor").where(F.col("s_nationkey") % 7 != F.col("year") % 7).select("year", named("s_nationkey"), "factor")
+    inc = t.customer.groupBy("c_nationkey").agg((1 + F.avg("c_acctbal") / 100003).alias("factor")).select(years, named("c_nationkey"), "factor")
+    places = t.part.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("v_orgnr"), (F.col("p_partkey") % 1000).cast("double").alias("x_koordinat"), F.lit(0.0).alias("y_koordinat"))
+    out = panel(f, 1998, price, pop, inc, 1.05, code_map(t), places, order=["id", "l_linenumber", "l_suppkey"])
+    return out.select("v_orgnr", "year", "id", "b_kommunenr", "emp_delta_oms", "befolkning_delta_oms", "inflation_rate_oms", "inntekt_delta_oms", "new_oms_trendForecast",
+                      F.col("oms_syssmean_basedOn_naring").alias("by_industry"), F.col("oms_syssmean_basedOn_naring_kommune").alias("by_region"), "x_koordinat")
+
+
+RUN = f"""WITH {BY_RATE}, {BASE},
 w AS (SELECT b.* REPLACE (z.new_oms AS new_oms), z.quality, CAST(year(o_orderdate) AS INTEGER) AS year, b.l_partkey || '-' || b.l_suppkey || '-' || b.l_linenumber AS v_orgnr, b_sysselsetting_syss AS gjeldende_bdr_syss
   FROM b JOIN z ON b.id = z.id AND b.l_linenumber = z.l_linenumber AND b.l_partkey = z.l_partkey AND b.l_suppkey = z.l_suppkey JOIN orders ON b.id = o_orderkey),
 bad AS (SELECT *, v_orgnr || '|' || id || '|' || year AS row FROM w WHERE year = 2000 AND quality = 'bad'), good AS (SELECT * FROM w WHERE year = 2000 AND quality <> 'bad' AND id NOT IN (SELECT id FROM bad)),
@@ -490,14 +547,49 @@ near AS (SELECT za.row, arg_min(zb.y, (round((za.f1 - zb.f1) * (za.f1 - zb.f1) +
 pred AS (SELECT row, list_avg(best) AS predicted FROM near),
 o AS (SELECT {KEYS}, regtype, orgnr_n_1, lopenr, radnr, tmp_sn2007_5, nacef_5, foretak_omsetning, foretak_driftskostnad, new_oms, gjeldende_driftsk_kr, lonn, gjeldende_lonn_kr, b_sysselsetting_syss, salgsint, forbruk FROM good
   UNION ALL SELECT {KEYS}, regtype, orgnr_n_1, lopenr, radnr, tmp_sn2007_5, nacef_5, foretak_omsetning, foretak_driftskostnad, greatest(predicted, 0), gjeldende_driftsk_kr, lonn, gjeldende_lonn_kr, b_sysselsetting_syss, salgsint, forbruk FROM bad LEFT JOIN pred USING (row)),
-{CHAIN.replace("@source", "o")}
+{CHAIN.replace("@source", "o")}"""
+CODES = ["45", "46", "47", "68"]
+
+
+@query("end_to_end", f"""{RUN}
 SELECT {KEYS}, regtype, new_oms, new_drkost, bedr_salgsint, bedr_forbruk FROM e19""", dbl="new_oms new_drkost bedr_salgsint bedr_forbruk")
 def end_to_end(t):
     """Classify, impute this year's bad answers by nearest neighbours, allocate and reconcile."""
+    return outputs(t)["units"].select(*KEY, "regtype", "new_oms", "new_drkost", "bedr_salgsint", "bedr_forbruk")
+
+
+def outputs(t):
     marks = classified(t).select(*KEY, "quality", F.col("new_oms").alias("_oms"))
     year = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"))
     panel = units(t).drop("new_oms").join(marks, KEY).join(year, "id").withColumns({
         "new_oms": F.col("_oms"), "v_orgnr": F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber"), "gjeldende_bdr_syss": F.col("b_sysselsetting_syss"),
         "b_kommunenr": F.lit(None).cast("string")}).drop("_oms")
-    out = produce(materialise(panel, "panel"), 2000, ["45", "46", "47", "68"], ["b_sysselsetting_syss", "gjeldende_lonn_kr"], ["tmp_sn2007_5"])
-    return out["units"].select(*KEY, "regtype", "new_oms", "new_drkost", "bedr_salgsint", "bedr_forbruk")
+    return produce(materialise(panel, "panel"), 2000, CODES, ["b_sysselsetting_syss", "gjeldende_lonn_kr"], ["tmp_sn2007_5"])
+
+
+@query("end_to_end_check", f"""{RUN}
+SELECT * FROM (SELECT {KEYS}, foretak_driftskostnad - sum(new_drkost) OVER (PARTITION BY id) AS difference FROM e19) WHERE abs(difference) > 1000""", dbl="difference", digits=4)
+def end_to_end_check(t):
+    """Enterprises whose units do not add up after the run."""
+    return outputs(t)["check_manually"].select(*KEY, "difference")
+
+
+PAIRS = {"oms": ("foretak_omsetning", "new_oms"), "drkost": ("foretak_driftskostnad", "new_drkost"), "forbruk": ("forbruk", "bedr_forbruk"), "salgsint": ("salgsint", "bedr_salgsint")}
+
+
+@query("end_to_end_totals", f"""{RUN},
+x AS (SELECT *, substring(nacef_5, 1, 4) AS n3 FROM e19 WHERE substring(nacef_5, 1, 2) IN ({', '.join(f"'{c}'" for c in CODES)})),
+xp AS (SELECT n3, {', '.join(f'sum({a}) AS parent_{n}' for n, (a, _) in PAIRS.items())} FROM x WHERE radnr = 1 GROUP BY 1), xc AS (SELECT n3, {', '.join(f'sum({b}) AS child_{n}' for n, (_, b) in PAIRS.items())} FROM x GROUP BY 1)
+SELECT n3, {', '.join(f'parent_{n}, child_{n}, parent_{n} - coalesce(child_{n}, 0) AS diff_{n}' for n in PAIRS)} FROM xp LEFT JOIN xc USING (n3)""",
+       dbl=" ".join(f"parent_{n} child_{n} diff_{n}" for n in PAIRS), digits=1)
+def end_to_end_totals(t):
+    """Enterprise totals beside the sums of what was allocated, by three-digit industry."""
+    return outputs(t)["control_totals"]
+
+
+@query("end_to_end_update", f"""{RUN}
+SELECT id AS enhets_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS orgnr_bedrift, new_oms AS gjeldende_omsetn_kr, new_drkost AS gjeldende_driftsk_kr FROM e19
+WHERE id IN (SELECT id FROM bad WHERE substring(nacef_5, 1, 2) IN ({', '.join(f"'{c}'" for c in CODES)}) AND regtype <> '01')""", dbl="gjeldende_omsetn_kr gjeldende_driftsk_kr", digits=4)
+def end_to_end_update(t):
+    """The update file of the run."""
+    return outputs(t)["update_file"]
