@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.network import connected_components
+from ..operators.network import component_stars
 from ..session import materialise
 from .common import fixed, fresh, located, text_or_empty
 from .words import regroup, shingle_sets
@@ -63,10 +63,10 @@ def signatures(docs: DataFrame, words: int, coordinates: int, id_col: str, text_
     return rows.mapInArrow(run, f"doc_id {kind}, _row long, n long, fp binary, sig array<int>")
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with this adjacency matrix, breadth first from the smallest node of each tree."""
+def _stars(linked: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+    """``(smallest node, other node)`` for each component of the graph with this adjacency matrix."""
     left, edges = np.ones(len(linked), bool), []
-    for root in range(len(linked)):
+    for root in np.argsort(nodes).tolist():
         if not left[root]:
             continue
         left[root] = False
@@ -74,8 +74,8 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
         for u in queue:
             new = np.flatnonzero(linked[u] & left)
             left[new] = False
-            edges += [(u, v) for v in new.tolist()]
             queue += new.tolist()
+        edges += [(int(nodes[root]), int(nodes[v])) for v in queue[1:]]
     return edges
 
 
@@ -92,7 +92,8 @@ def _whole(size: int, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -
 
 
 def candidates(postings: DataFrame, t: int, percent: int) -> DataFrame:
-    """``(a, b)``: for each posting, a spanning forest of its nodes that agree in ``t`` coordinates and whose sizes allow the similarity.
+    """``(a, b)``: for each posting, its nodes hung on the smallest of those that they are tied to by agreeing in ``t`` coordinates, with sizes
+    that allow the similarity.
 
     ``postings`` is ``(token, node, n, sig)``. A posting of more than ``BLOCK`` nodes is compared in pairs of blocks, each a task's work
     of its own. What comes out of a posting, or of a pair of its blocks, is less than one row per node, however many nodes are alike.
@@ -124,11 +125,11 @@ def candidates(postings: DataFrame, t: int, percent: int) -> DataFrame:
             for g in np.flatnonzero((sizes > 2) | (block_i != block_j)).tolist():
                 at = slice(starts[g], starts[g] + sizes[g])
                 left, right = _sides(own[at], block_i[g], block_j[g])
-                edges = _forest(_whole(sizes[g], left, right, linked(n[at], sig[at], left, right)))
+                edges = _stars(_whole(sizes[g], left, right, linked(n[at], sig[at], left, right)), node[at])
                 if edges:
-                    x, y = np.array(edges).T
-                    a.append(node[at][x])
-                    b.append(node[at][y])
+                    x, y = np.array(edges, np.int64).T
+                    a.append(x)
+                    b.append(y)
             if a:
                 x, y = np.concatenate(a), np.concatenate(b)
                 pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -176,7 +177,8 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
 
 
 def confirm(groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(a, b)``: links by the full shingle sets, as a spanning forest for each group of nodes, or pair of its blocks.
+    """``(a, b)``: links by the full shingle sets, each node hung on the smallest that it is linked to over any number of steps within its group, or
+    pair of the group's blocks.
 
     ``groups`` is ``(comp, node, n, text)``. A group's sets meet in one task if they are at most ``BLOCK`` nodes and ``SET_BYTES``,
     otherwise two blocks of about that size at a time, so that no pair of texts is ever a row.
@@ -191,7 +193,7 @@ def confirm(groups: DataFrame, words: int, percent: int) -> DataFrame:
             return [(min(nodes), max(nodes))] if good else []
         linked = _whole(len(sets), left, right, similar(sets, left, right, percent))
         np.fill_diagonal(linked, False)
-        return [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in _forest(linked)]
+        return _stars(linked, np.array(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, own, sets, found = None, [], [], [], []
@@ -227,10 +229,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
       coordinates (but for one pair in a million at the very threshold). So, with every node's pairs in order of how many nodes have them,
       they share one of their K-t+1 rarest: only this prefix is posted. Values that one node alone has come first
       and are skipped: they join nothing, but use up the prefix.
-    * Within a posting the collisions of the signatures are counted. Nodes with t collisions are candidates; a posting gives a
-      spanning forest of them (:func:`candidates`), never its pairs, and the forests' components are the groups in which links can be.
-    * A group's full sets meet in one task, or two blocks of them at a time, where all their pairs are compared at once; what comes out is a
-      spanning forest again (:func:`confirm`), and its components are the result.
+    * Within a posting the collisions of the signatures are counted. Nodes with t collisions are candidates; a posting gives one row per node at
+      most (:func:`candidates`), never its pairs, and the components of these rows are the groups in which links can be.
+    * A group's full sets meet in one task, or two blocks of them at a time, where all their pairs are compared at once; what comes out is
+      one row per node again (:func:`confirm`), and the components of these rows are the result.
 
     Work inside a posting or group grows with the square of its nodes, in blocks of ``BLOCK``; rows written and moved by the two comparisons
     grow with its nodes, times its blocks. A group is as large as a chain of candidates makes it: texts from one template
@@ -255,11 +257,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
     postings = prefix.join(lonely, "token").join(nodes.select("node", "n", "sig"), "node")
     forest = materialise(candidates(materialise(postings, "postings"), t, percent), "candidates")
 
-    groups = connected_components(forest, "a", "b").select("node", F.col("component").alias("comp"))
+    stars = component_stars(forest, "a", "b")
+    groups = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "comp")
     groups = materialise(groups.join(nodes.select("node", "n"), "node"), "groups")
     source = located(docs, "node", text_or_empty(text_col).alias("text")).join(groups.hint("merge"), "node")
     links = materialise(confirm(source, words, percent), "links")
-    label = connected_components(links, "a", "b").select("node", F.col("component").alias("comp"))
+    label = component_stars(links, "a", "b").withColumnRenamed("component", "comp")
 
     named = nodes.select("fp", "node").join(label, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
     members = materialise(rows.select("doc_id", "_row", "n", "fp").join(named, "fp", "left").select("doc_id", "_row", "n", F.coalesce("comp", "_row").alias("comp")), "members")
