@@ -396,6 +396,9 @@ def test_toxicity_odd_rows(spark, odd, none):
         assert toxicity.toxicity(odd, some).where("predicted = 0").count() == len(ODD)
     assert toxicity.toxicity(none, labels).count() == 0
     assert toxicity.drop_toxic(odd, labels.where("false")).columns == odd.columns
+    clash = odd.withColumn("_text_", F.lit("x")).withColumn("_text", F.lit("y")).withColumn("_toxicity", F.lit(1))
+    kept = toxicity.drop_toxic(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == toxicity.drop_toxic(odd, labels).count()
 
 
 def test_toxicity_keeps_the_class_ratio(spark):
@@ -449,6 +452,17 @@ def test_mixing_comes_near_targets(spark):
     assert first.select(key).exceptAll(mixing.mix_sources(df.repartition(5)).select(key)).count() == 0
 
 
+def test_unequal_odds_are_kept(spark):
+    """Documents with three times the odds are in the sample with three times the odds."""
+    df = spark.range(30000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20000, "a").otherwise("b").alias("source"), F.lit("one two three four").alias("text"),
+                                   F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
+    got = mixing.mix_sources(df, weights=(1, 5), odds_col="w").where("source = 'a'")
+    r = {x.w: x for x in got.join(df.select("doc_id", "w"), "doc_id").groupBy("w").agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("p"), F.first("target").alias("t"), F.first("source_size").alias("s")).collect()}
+    p1, p3 = r[1.0].p, r[3.0].p
+    assert p3 / (1 - p3) / (p1 / (1 - p1)) == pytest.approx(3, rel=0.15)
+    assert (p1 + p3) / 2 == pytest.approx(r[1.0].t / r[1.0].s % 1, abs=0.001)
+
+
 def test_sharding_odd_rows(spark, odd, none):
     got = sharding.extendible_shards(odd, limit_bytes=1000).collect()
     assert len(got) == len(ODD)
@@ -481,3 +495,62 @@ def test_shards_hold_every_row_once(spark, tmp_path):
     other = docs.orderBy(F.desc("_row"), F.desc("doc_id"))
     with pytest.raises(ValueError):
         sharding.write_shards(other, sharding.extendible_shards(docs, limit_bytes=1000), str(tmp_path / "other"))
+
+
+# ---------------------------------------------------------------- quality against a plain model
+
+def plain_kneser_ney(sample):
+    """``log10 p(token | history)`` of one language from its training texts, by dictionaries."""
+    pairs = Counter()
+    for t in sample:
+        w = [*WORD.findall((t or "").translate(LOWER)), None]
+        pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+
+    def off(counts):
+        n = {k: sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = {k: max(0.05, min(k - 0.05, k - (k + 1) * y * n[k + 1] / n[k])) if n[1] and n[k] else 0.5 for k in (1, 2, 3)}
+        return lambda c: d[min(c, 3)]
+    cut, kinds = off(pairs), Counter(w for _, w in pairs)
+    low, total = off(kinds), sum(kinds.values())
+    unknown = sum(low(c) for c in kinds.values()) / total / (len(kinds) + 1)
+    lower = {w: (c - low(c)) / total + unknown for w, c in kinds.items()}
+    seen, taken = Counter(), defaultdict(float)
+    for (h, _), c in pairs.items():
+        seen[h] += c
+        taken[h] += cut(c)
+
+    def log(history, token):
+        share = (pairs[(history, token)] - cut(pairs[(history, token)])) / seen[history] if (history, token) in pairs else 0.0
+        return math.log10(share + (taken[history] / seen[history] if history in seen else 1.0) * lower.get(token, unknown))
+    return log
+
+
+def test_quality_against_a_plain_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    max_docs = 40
+    got = {r.doc_id: r for r in quality.quality(docs, labels, max_docs=max_docs).collect()}
+    texts = {r.doc_id: (r.lang, r.text) for r in docs.select("doc_id", "lang", "text").collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect() if r.doc_id in texts}
+    h = {i: (int(hashlib.md5(f"q{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for i in good}
+    by = defaultdict(list)
+    for i in good:
+        by[texts[i][0]].append(i)
+    level = quality._level([len(v) for v in by.values()], max_docs)
+    for lang, ids in by.items():
+        low, high = min(h[i] for i in ids), max(h[i] for i in ids)
+        trains = [i for i in ids if h[i] == low or (h[i] < min(0.5, level / len(ids)) and h[i] < high)]
+        log = plain_kneser_ney([texts[i][1] for i in trains])
+        want = {}
+        for i, (own, t) in texts.items():
+            if own == lang:
+                w = [*WORD.findall((t or "").translate(LOWER)), None]
+                want[i] = 10 ** min(-sum(map(log, ["<s>", *w[:-1]], w)) / len(w), 300)
+                assert got[i].perplexity == pytest.approx(want[i], rel=1e-9)
+        held = sorted(want[i] for i in ids if i not in trains)
+        if held:
+            assert got[ids[0]].threshold in [pytest.approx(x) for x in held]
+            assert sum(x <= got[ids[0]].threshold for x in held) >= 0.995 * len(held) - 1
+        for i in want:
+            assert got[i].kept == (got[i].threshold is None or got[i].perplexity <= got[i].threshold)
