@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*names, column])
 
     schema = StructType([*[docs.schema[c] for c in names], StructField(column, DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(f"`{text_col}`").alias("_text_")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(f"`{text_col}`").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **options) -> DataFrame:
