@@ -19,7 +19,9 @@ from .common import fresh, text_or_empty, unit_hash
 #: A word of a window: letters and marks; ASCII digits and signs separate words.
 LETTERS = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 STEMS = (4, 5, 6)                      # a word's first letters are windows, too
-GRID = tuple(np.round(np.arange(0.15, 0.75, 0.05), 2).tolist())
+GRID = tuple(np.round(np.arange(0.3, 1.0, 0.05), 2).tolist())
+ODDS = (2.0, 4.0, 10.0)                     # how much likelier in a toxic document a unit of the toxic dictionary is; the calibration chooses
+LEAST_SAVED = 8                        # bytes; where the ordinary dictionary leaves less to save, a window says little
 SHIFTS = [bytes((b + k) & 255 for b in range(256)) for k in (0, 64, 128, 192)]
 
 
@@ -36,10 +38,11 @@ def units(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Dictionaries of both classes, the share of a window's length that the toxic one must save, and the calibration."""
+    """Dictionaries of both classes, the share of what a whole match saves that the toxic one must save, and the calibration."""
     toxic: bytes = b""
     ordinary: bytes = b""
     common: frozenset = frozenset()
+    floor: int = 0                     # compressed length of a window that is one match
     threshold: float = 1.0
     weights: list[float] = field(default_factory=lambda: [-20.0, 0.0, 0.0])
 
@@ -49,10 +52,12 @@ class Windows:
 
     def __init__(self, model: Model):
         import zstandard
-        self.common = model.common
+        self.common, self.floor = model.common, model.floor
 
         def compressor(content: bytes):
-            params = zstandard.ZstdCompressionParameters(window_log=20, hash_log=17, chain_log=18, search_log=6, min_match=5, target_length=128,
+            # Tables as large as the dictionary: entries that fall out of them are never found again.
+            log = max(17, (2 * len(content)).bit_length())
+            params = zstandard.ZstdCompressionParameters(window_log=max(20, log), hash_log=log, chain_log=log, search_log=6, min_match=5, target_length=128,
                                                          strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=params)
@@ -63,7 +68,7 @@ class Windows:
         self.known: dict[str, float] = {}
 
     def gain(self, word: str) -> float:
-        """The largest share of its length that the toxic dictionary saves on a window of the word."""
+        """What the toxic dictionary saves over the ordinary one on a window of the word, as a share of what a whole match saves; the largest over its windows."""
         best = 0.0
         for unit in units(word):
             g = self.known.get(unit)
@@ -73,7 +78,7 @@ class Windows:
                 else:
                     window = spell(unit)
                     long = len(self.ordinary.compress(window))
-                    g = (long - len(self.toxic.compress(window))) / long
+                    g = max(0, long - len(self.toxic.compress(window))) / max(long - self.floor, LEAST_SAVED)
                 if len(self.known) > 300_000:      # memory only; a dropped entry is computed again
                     self.known.clear()
                 self.known[unit] = g
@@ -148,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
 
     At most about ``max_docs`` documents of each class are used (chosen by the md5 of their id). Two thirds
     of them train the dictionaries: the toxic one gets the words and stems that are significantly more frequent in toxic documents
-    (log-likelihood ratio above the logarithm of the number of different ones), at most ``max_words``; the ordinary one
+    (log-likelihood ratio above the logarithm of the number of different ones) and several times as frequent (``ODDS``), at most ``max_words``; the ordinary one
     the most frequent others among those that look like these, so that what both classes share costs the same. The remaining third
-    chooses the threshold and fits a logistic curve; each of its documents counts for all that its class has for one drawn, so that
+    chooses the odds and the threshold and fits a logistic curve; each of its documents counts for all that its class has for one drawn, so that
     scores keep the class ratio of all labelled rows, whatever their number. Without labels of both classes every score is about 0.
     """
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).alias("_y"))
@@ -169,27 +174,36 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
     rate = _toxic_share(sizes, max_docs)
     p = F.col("t") / (F.col("t") + F.col("o"))
     ratio = F.col("t") * F.log(p / rate) + F.when(F.col("o") > 0, F.col("o") * F.log((1 - p) / (1 - rate))).otherwise(0.0)
-    found = counts.where(p > rate).withColumn("llr", ratio).where(F.col("llr") > math.log(n_units)) \
+    found = counts.where(p > rate).withColumn("llr", ratio).where((F.col("llr") > math.log(n_units)) & (F.col("t") * (1 - rate) >= min(ODDS) * rate * F.col("o"))) \
         .orderBy(F.desc("llr"), "unit").limit(max_words).collect()
-    toxic = [r["unit"] for r in found]
     common = [r["unit"] for r in counts.where("o > 0").orderBy(F.desc("o"), "unit").limit(max_common).collect()]
     counts.unpersist()
+    best = None
+    for odds in ODDS:
+        model = _dictionaries([r["unit"] for r in found if r["t"] * (1 - rate) >= odds * rate * r["o"]], common)
+        rows = _features(sample.where(~fit), model).collect()
+        if not rows:
+            return Model()
+        y, words, hits = np.array([r["y"] for r in rows], float), np.array([r["words"] for r in rows]), np.array([r["hits"] for r in rows])
+        weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+        for k, g in enumerate(GRID):
+            w, loss = _logistic(_inputs(hits[:, k], words), y, weight)
+            if best is None or loss < best[0] - 1e-9:
+                best = (loss, model, g, w)
+    model = best[1]
+    model.threshold, model.weights = best[2], [float(v) for v in best[3]]
+    return model
+
+
+def _dictionaries(toxic: list[str], common: list[str]) -> Model:
+    """Both dictionaries, and what a window that is one match of the toxic one compresses to."""
     hot = set(toxic)
     common = [u for u in common if u not in hot]
     beginnings = {u[:3] for u in hot}
     similar = [u for u in common if u[:3] in beginnings]
     model = Model(b"".join(map(spell, reversed(toxic))) + b"".join(map(spell, reversed(similar))), b"".join(map(spell, reversed(similar))), frozenset(common))
-    rows = _features(sample.where(~fit), model).collect()
-    if not rows:
-        return Model()
-    y, words, hits = np.array([r["y"] for r in rows], float), np.array([r["words"] for r in rows]), np.array([r["hits"] for r in rows])
-    weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
-    best = None
-    for k, g in enumerate(GRID):
-        w, loss = _logistic(_inputs(hits[:, k], words), y, weight)
-        if best is None or loss < best[0] - 1e-9:
-            best = (loss, g, w)
-    model.threshold, model.weights = best[1], [float(v) for v in best[2]]
+    compress = Windows(model).toxic.compress
+    model.floor = min((len(compress(spell(u))) for u in toxic), default=0)
     return model
 
 

@@ -387,6 +387,17 @@ def test_toxicity_held_out(spark):
     assert sum(toxic) / len(toxic) > 0.6 and sum(clean) / len(clean) < 0.03
 
 
+@pytest.mark.parametrize("fillers", [0, 3000, 30000])
+def test_toxic_units_are_found_in_dictionaries_of_any_size(fillers):
+    rng = np.random.default_rng(fillers)
+    other = ["".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(fillers)]
+    bad = [f"vile{chr(97 + i)}word" for i in range(20)]
+    filler = b"".join(map(toxicity.spell, other))
+    windows = toxicity.Windows(toxicity.Model(b"".join(map(toxicity.spell, bad)) + filler, filler, floor=17))
+    assert min(windows.gain(w) for w in bad) > 0.9
+    assert max(windows.gain(w) for w in ["harmless", "ordinary", "sunshine", *other[:50]]) < 0.5
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (7, 1), (7, 0), (9, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd, labels)
