@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import clean_code, finite, fmt_percent, half_even, parse_number, safe_div
 from tallyloom.operators import aggregate as agg
 from tallyloom.operators import allocate as al
-from tallyloom.operators import boost, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, publish, reshape, text, windows
+from tallyloom.operators import boost, boxes, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, publish, reshape, text, windows
 from tallyloom.operators.classify import classify_responses
 from tallyloom.operators.nearest import Quantiser, nearest
 from tallyloom.operators.ordering import add_lags, dense_ranks, exact_percentiles, number_rows, running
@@ -644,3 +644,32 @@ def test_rounds_write_improvements_only(spark):
     e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)] + [(0, 2, 3.5)], "src int, dst int, weight double")
     labels, _ = network._cheapest(e, spark.createDataFrame([(0,)], "o int"), "src", "dst", "weight", delta=2.0)       # the edge of 3.5 is heavy
     assert labels.all().count() == 6 == labels.best().count()
+
+
+@pytest.mark.parametrize("power", [1, 2])
+def test_boxes_leave_few_comparisons_and_the_exact_nearest(power):
+    """Before boxes, a query was sent to most cells of the pivots; here it reaches few leaves, inside a block and over blocks."""
+    rng = np.random.default_rng(11)
+    dv, dc = rng.normal(size=(6, 20000)), rng.integers(1, 4, (1, 20000))
+    qv, qc = rng.normal(size=(6, 300)), rng.integers(0, 5, (1, 300))
+    dv[:, :500] = dv[:, :1]                                                       # copies
+    apart = boxes.powers(qv, qc, dv, dc, power)
+    want = np.argsort(np.round(apart, 9), axis=1, kind="stable")[:, :3]
+    q, d, dist = boxes.nearest_in_block(qv, qc, np.full(300, np.inf), dv, dc, 3, power)
+    assert (d.reshape(300, 3) == want).all() and np.allclose(dist.reshape(300, 3), np.take_along_axis(apart, want, axis=1), atol=1e-8)
+    tree = boxes.Tree(dv, dc, 128)
+    low, high = (np.array([f(dv[:, m], axis=1) for m in tree.members]) for f in (np.min, np.max))
+    tree.fit(low, high, [[np.unique(dc[0, m])] for m in tree.members])
+    bound = boxes.slack(np.sort(apart, axis=1)[:, 2])
+    sent = {(int(r), leaf) for leaf, rows in tree.reach(qv, qc, bound, power) for r in rows}
+    assert len(sent) < 0.25 * 300 * len(tree.members)
+    leaf_of = tree.find(dv, dc)
+    assert all((i, int(leaf_of[j])) in sent for i in range(300) for j in want[i])
+
+
+def test_boxed_search_with_infinite_values_and_without_numbers(spark):
+    d = spark.createDataFrame([(i, [float(i), 0.0 if i else float("inf")], [i % 2 + 1]) for i in range(40)], "did int, vec array<double>, cats array<bigint>")
+    got = nearest(d.withColumnRenamed("did", "qid"), d, 2, "qid", "did", cats="cats", exclude_same=True, block_rows=5)
+    assert got.where("qid = 0 OR did = 0").count() == 0 and got.where("qid = 5").orderBy("rank").select("did").collect() == [(4,), (6,)]
+    plain = d.select("did", F.array().cast("array<double>").alias("vec"), "cats")
+    assert nearest(plain.withColumnRenamed("did", "qid"), plain, 2, "qid", "did", cats="cats").where("qid = 7").orderBy("rank").select("did").collect() == [(1,), (3,)]
