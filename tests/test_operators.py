@@ -14,7 +14,7 @@ from tallyloom.operators import boost, boxes, clean, factors, features, geo, gra
 from tallyloom.operators.classify import classify_responses
 from tallyloom.operators.nearest import Quantiser, nearest
 from tallyloom.operators.ordering import add_lags, dense_ranks, exact_percentiles, number_rows, running
-from tallyloom.operators.partial import nearest_partial
+from tallyloom.operators.partial import Ranges, _interleaved, nearest_partial, partial_distances
 from tallyloom.plans import allocate_units
 from tallyloom.sources import collect_period_files, collect_periods, stage, write_partitioned
 
@@ -673,3 +673,40 @@ def test_boxed_search_with_infinite_values_and_without_numbers(spark):
     assert got.where("qid = 0 OR did = 0").count() == 0 and got.where("qid = 5").orderBy("rank").select("did").collect() == [(4,), (6,)]
     plain = d.select("did", F.array().cast("array<double>").alias("vec"), "cats")
     assert nearest(plain.withColumnRenamed("did", "qid"), plain, 2, "qid", "did", cats="cats").where("qid = 7").orderBy("rank").select("did").collect() == [(1,), (3,)]
+
+
+def test_runs_of_blocks_bound_their_rows_and_leave_few():
+    """Before, every query looked at every block of every group, and compared itself with all rows of a block."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8192, 4))
+    x[rng.random(x.shape) < 0.02] = np.nan
+    x = x[np.lexsort((_interleaved(x, [np.nanquantile(x[:, j], np.arange(1, 64) / 64) for j in range(4)], 6), *(~np.isnan(x)).T))]
+    rows = Ranges(x, x, (~np.isnan(x)).astype(np.int64), np.ones(len(x), np.int64))
+    short = rows.joined(np.arange(0, len(x), 128))
+    long = short.joined(np.arange(0, 64, 8))
+    v = rng.normal(size=(50, 4))
+    v[:, 0] = np.nan
+    true = partial_distances(v, x).reshape(50, 64, 128).min(axis=2)
+    least, _ = short.bounds(v, np.arange(64))
+    outer, _ = long.bounds(v, np.arange(8))
+    assert (least <= true + 1e-9).all() and (outer <= least.reshape(50, 8, 8).min(axis=2) + 1e-9).all()
+    kth = np.sort(partial_distances(v, x), axis=1)[:, 2]
+    assert (least <= kth[:, None]).mean() < 0.5
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_partial_neighbours_with_periods_are_exact(spark, block):
+    rng = random.Random(8)
+    data = [(i, i % 3, *[None if rng.random() < 0.3 else float(rng.randint(0, 9)) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, p int, a double, b double, c double")
+    got = {(r["id"], r["column"], r["rank"]): r["donor"] for r in nearest_partial(df, ["a", "b", "c"], "id", 2, "p", block_rows=block).collect()}
+    want = {}
+    for i, p, *v in data:
+        for c in range(3):
+            found = []
+            for j, other, *w in data:
+                both = [(x - y) ** 2 for x, y in zip(v, w) if x is not None and y is not None]
+                if other == p and v[c] is None and w[c] is not None and both:
+                    found.append((round(sum(both) * 3 / len(both), 9), j))
+            want |= {(i, c, n): j for n, (_, j) in enumerate(sorted(found)[:2], 1)}
+    assert got == want
