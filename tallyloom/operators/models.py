@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +34,7 @@ class Fitted:
         ready = train.withColumns(self.cols).withColumn("label", F.col(y).cast("double"))
         self.steps = pipe.fit(ready)
         # Iterative fits read the features many times: written once, not recomputed per pass.
-        features = materialise(self.steps.transform(ready).select("features", "label", *(["_fold"] if "_fold" in ready.columns else [])), "features")
+        features = materialise(self.steps.transform(ready).select("features", "label"), "features")
         self.model = estimator.fit(features)
 
     def predict(self, df: DataFrame, name: str = "predicted", clip: bool = True) -> DataFrame:
@@ -52,18 +51,70 @@ class Fitted:
         return names
 
 
+BINS = 32
+
+
+def bin_columns(train: DataFrame, num: Sequence[str], bins: int = BINS) -> dict[str, Column]:
+    """``{_s_column: number of the quantile bin}``, cut at quantiles of all training rows; the bins are where trees may cut at all."""
+    if not num:
+        return {}
+    spread = [i / bins for i in range(1, bins)]
+    row = train.agg(*[F.percentile_approx(c, spread, 10000).alias(f"c{i}") for i, c in enumerate(num)]).first()
+    cuts = [sorted(set(r or [])) for r in row]
+    return {"_s_" + c: sum([(F.col(c) > F.lit(v)).cast("double") for v in found], F.lit(0.0)) for c, found in zip(num, cuts)}
+
+
+class FittedTrees(Fitted):
+    """Boosted trees. Spark's trees see a number by its bin only, so rows that are equal in all bins and codes train as one row with
+    their mean and, as its weight, their number: sums of weights, labels and residuals in every node are those of the rows.
+
+    The iterations read one row per different (bins, codes), however many rows there are. ``grid``: parameters are chosen by the mean over the folds
+    (``_fold`` of the training rows) of the absolute errors of rows, as Spark's cross-validation does.
+    """
+
+    def __init__(self, train: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, estimator: GBTRegressor, grid: Sequence[dict] = (), folds: int = 3):
+        self.num, self.cat, self.y = list(num), list(cat), y
+        train = clean_features(train, num, cat)
+        fold = ["_fold"] if grid else []
+        # Read for the bins, for the groups and, with a grid, for the errors of every fold.
+        train = materialise(train.select(*num, *cat, F.col(y).cast("double").alias("label"), *fold), "train")
+        self.cols = bin_columns(train, self.num)
+        rows = train.withColumns(self.cols)
+        whole = F.when(F.count("label") == F.count(F.lit(1)), F.avg("label"))      # a missing label stays one, and the fit reports it
+        alike = materialise(rows.groupBy(*self.cols, *cat, *fold).agg(whole.alias("label"), F.count(F.lit(1)).cast("double").alias("weight")), "alike")
+        self.steps = feature_pipeline(num, cat, {c: (0.0, 1.0) for c in self.num})[0].fit(alike)
+        features = materialise(self.steps.transform(alike).select("features", "label", "weight", *fold), "features")
+        estimator = estimator.setWeightCol("weight")
+        self.model = estimator.fit(features, self._best(estimator, grid, folds, features, rows)) if grid else estimator.fit(features)
+
+    def _best(self, estimator: GBTRegressor, grid: Sequence[dict], folds: int, features: DataFrame, rows: DataFrame) -> dict:
+        errors = [0.0] * len(grid)
+        for f in range(folds):
+            part, tested = features.where(F.col("_fold") != f), self.steps.transform(rows.where(F.col("_fold") == f)).select("features", "label")
+            if part.isEmpty():
+                raise ValueError(f"no training rows beside fold {f}")
+            for i, model in estimator.fitMultiple(part, list(grid)):
+                tested = model.setPredictionCol(f"_p{i}").transform(tested)
+            found = tested.agg(*[F.avg(F.abs(F.col("label") - F.col(f"_p{i}"))).alias(f"e{i}") for i in range(len(grid))]).first()      # one number per choice
+            if found["e0"] is None:
+                raise ValueError(f"no rows in fold {f}")
+            errors = [e + found[f"e{i}"] for i, e in enumerate(errors)]
+        return grid[errors.index(min(errors))]
+
+
 def gbt_regress(train: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, grid: dict | None = None, scaler: str = "robust",
                 max_iter: int = 20, max_depth: int = 5, folds: int = 3, fold_key: str | None = None, seed: int = 42) -> Fitted:
-    """Boosted trees. ``grid``: {parameter: values} searched by cross-validation on folds given by a hash of ``fold_key``."""
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=seed)
+    """Boosted trees. ``grid``: {parameter: values} searched by cross-validation on folds given by a hash of ``fold_key``.
+
+    Bins do not depend on the scale of a column, so ``scaler`` changes nothing here.
+    """
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, maxBins=BINS, seed=seed)
     if not grid:
-        return Fitted(train, num, cat, y, gbt, scaler)
+        return FittedTrees(train, num, cat, y, gbt)
     params = ParamGridBuilder()
     for name, values in grid.items():
         params = params.addGrid(gbt.getParam(name), list(values))
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=params.build(), numFolds=folds, parallelism=4, foldCol="_fold",
-                        evaluator=RegressionEvaluator(metricName="mae", labelCol="label"))
-    return Fitted(train.withColumn("_fold", fold_of(F.col(fold_key), folds)), num, cat, y, cv, scaler)
+    return FittedTrees(train.withColumn("_fold", fold_of(F.col(fold_key), folds)), num, cat, y, gbt, params.build(), folds)
 
 
 def linear_regress(train: DataFrame, num: Sequence[str], cat: Sequence[str], y: str, scaler: str = "robust", ridge: float = 0.0) -> Fitted:
@@ -72,8 +123,7 @@ def linear_regress(train: DataFrame, num: Sequence[str], cat: Sequence[str], y:
 
 def feature_importance(fitted: Fitted) -> DataFrame:
     """``(feature, importance)``, largest first; the model is small and lives on the driver."""
-    model = getattr(fitted.model, "bestModel", fitted.model)
-    weights = model.featureImportances.toArray()
+    weights = fitted.model.featureImportances.toArray()
     rows = [(n, float(w)) for n, w in zip(fitted.feature_names(), weights)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

@@ -276,6 +276,24 @@ def test_splits_are_stable(spark):
     assert features.split_ordered(df, ["id"]).where("part = 'train'").agg(F.max("id")).first()[0] == 799
 
 
+def test_trees_train_on_different_rows_only(spark, monkeypatch):
+    """Rows alike in bins and codes are one row with their mean and number; the leaves are means of all of them."""
+    seen = {}
+    plain = models.materialise
+    monkeypatch.setattr(models, "materialise", lambda df, name: seen.setdefault(name, plain(df, name)))
+    df = spark.range(600).select("id", (F.col("id") % 4).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("c"),
+                                 ((F.col("id") % 4) * 100 + F.col("id") % 3).cast("double").alias("y"))
+    fitted = models.gbt_regress(df, ["a"], ["c"], "y", max_iter=3)
+    assert seen["features"].count() == 4
+    assert {(r["a"], round(r["predicted"], 6)) for r in fitted.predict(df).collect()} == {(float(a), a * 100 + 1.0) for a in range(4)}
+
+
+def test_tree_grid_scores_rows(spark):
+    df = spark.range(300).select("id", (F.col("id") % 8).cast("double").alias("a"), ((F.col("id") % 8) ** 2 * 10 + F.col("id") % 5).cast("double").alias("y"))
+    fitted = models.gbt_regress(df, ["a"], [], "y", grid={"maxDepth": [1, 4]}, max_iter=2, fold_key="id")
+    assert fitted.model.getOrDefault("maxDepth") == 4
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double")
     m = metrics.regression_metrics(df, "y", "p", n_features=1).first()
