@@ -9,10 +9,11 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import by_group
+from ..session import materialise
+from .grouping import has_key
 from .hotdeck import in_share
 from .joins import join_unique
-from .ordering import exact_percentiles, number_rows
+from .ordering import exact_percentiles, number_rows, running
 
 Scaling = Mapping[str, tuple[float, float]]
 
@@ -113,20 +114,44 @@ def split_rows(df: DataFrame, key: str, seed: object = 42, train_hex: str = "ccc
     return df.withColumn("part", F.when(in_share(F.col(key), F.lit(seed), train_hex), "train").otherwise("test"))
 
 
+def _first_share(df: DataFrame, keys: Sequence[str], coarse: Column, order: Sequence[str], share: float) -> DataFrame:
+    """``part``: the first ``share`` of the rows of each group in the declared order trains. ``coarse`` never falls along that order.
+
+    The last training row is found by counts per value of ``coarse``; only rows with its value are ranked one by one, all others are before or
+    behind it. Rows without a key are tested.
+    """
+    keys = list(keys)
+    df = df.withColumn("_at", F.struct(coarse.alias("v")))      # a struct: a missing value compares as the smallest
+    counts = materialise(df.where(has_key(keys)).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    last = F.floor(F.col("_all") * share + F.lit(1e-9))
+    up_to = running(counts, keys, ["_at"], sums={"_hi": F.col("_n")})
+    if keys:
+        up_to = join_unique(up_to, counts.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+    else:
+        up_to = up_to.withColumn("_all", counts.agg(F.sum("_n")).scalar())
+    cut = up_to.where((F.col("_hi") >= last) & (F.col("_hi") - F.col("_n") < last)) \
+        .select(*keys, F.col("_at").alias("_cut"), (last - F.col("_hi") + F.col("_n")).alias("_left"))
+    cut = materialise(cut, "cut")                               # at most one row per group
+    if keys:
+        df = join_unique(df, cut, keys)
+    else:
+        df = df.withColumns({c: cut.select(c).scalar() for c in ("_cut", "_left")})
+    edge = F.coalesce(F.col("_at") == F.col("_cut"), F.lit(False))
+    ranked = number_rows(df.where(edge), keys, order, "_rn")
+    part = lambda train: F.when(train, "train").otherwise("test")
+    return df.where(~edge).withColumn("part", part(F.col("_at") < F.col("_cut"))) \
+        .unionByName(ranked.withColumn("part", part(F.col("_rn") <= F.col("_left"))).drop("_rn")).drop("_at", "_cut", "_left")
+
+
 def split_stratified(df: DataFrame, label: str, key: str, seed: object = 42, share: float = 0.8) -> DataFrame:
     """The same share of every class, in the order of the hash."""
     draw = df.withColumn("_m", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
-    out = number_rows(draw, [label], ["_m", key], "_rn")
-    out = by_group(out, [label], lambda part, t: t.add(part, [label], _n=F.count(F.lit(1))), source=df)
-    return out.withColumn("part", F.when(F.col("_rn") <= F.floor(F.col("_n") * share + F.lit(1e-9)), "train").otherwise("test")) \
-        .drop("_m", "_rn", "_n")
+    return _first_share(draw, [label], F.substring("_m", 1, 4), ["_m", key], share).drop("_m")
 
 
 def split_ordered(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:
     """First part of the rows in the declared order trains, the rest tests."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    out = number_rows(df, [], order, "_rn")
-    return out.withColumn("part", F.when(F.col("_rn") <= F.floor(n * share + F.lit(1e-9)), "train").otherwise("test")).drop("_rn")
+    return _first_share(df, [], F.col(order[0]), order, share)
 
 
 def fold_of(key: Column, folds: int, seed: object = 42) -> Column:

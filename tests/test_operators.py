@@ -1,5 +1,6 @@
 """Operators on small literals: missing values, zero divisors, ties, repeated ids, hot groups; and invariants."""
 
+import hashlib
 import math
 import random
 
@@ -294,6 +295,30 @@ def test_tree_grid_scores_rows(spark):
     assert fitted.model.getOrDefault("maxDepth") == 4
 
 
+def test_splits_match_a_full_ranking(spark, groups, share):
+    rng = random.Random(5)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 3.0, float("nan")])) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, c string, o double")
+    got = features.split_ordered(df, ["o", "id"], share)
+    first = sorted(data, key=lambda r: (r[2] is not None, r[2] is not None and math.isnan(r[2]), r[2] or 0, r[0]))[:int(200 * share + 1e-9)]
+    assert rows(got.where("part = 'train'"), "id") == sorted([(r[0],) for r in first], key=str) and got.count() == 200
+    strat = {r["id"]: r["part"] for r in features.split_stratified(df, "c", "id", share=share).collect()}
+    for c in "ab":
+        mine = sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i, k, _ in data if k == c)
+        assert [i for _, i in mine if strat[i] == "train"] == [i for _, i in mine[:int(len(mine) * share + 1e-9)]]
+    assert len(strat) == 200 and {strat[i] for i, c, _ in data if c is None} == {"test"}
+
+
+def test_ordered_split_ranks_ties_of_the_last_row_only(spark, monkeypatch):
+    seen = []
+    plain = features.number_rows
+    monkeypatch.setattr(features, "number_rows", lambda df, *a, **k: (seen.append(df.count()), plain(df, *a, **k))[1])
+    df = spark.range(1000).withColumn("day", F.col("id") % 100)
+    assert features.split_ordered(df, ["day", "id"], 0.805).where("part = 'train'").count() == 805
+    features.split_stratified(df.withColumn("c", F.lit("x")), "c", "id")
+    assert seen[0] == 10 and seen[1] <= 5
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double")
     m = metrics.regression_metrics(df, "y", "p", n_features=1).first()
