@@ -1,7 +1,8 @@
 """Hot-deck imputation: donors in the same code with the nearest value of one measure, from fine to coarse levels.
 
-Nearest in one dimension needs no distance table. Donors are numbered in order inside each code (running counts that
-stay correct for hot codes), a query is placed among them, and its neighbours to either side are fetched by position:
+Nearest in one dimension needs no distance table. Donors and queries stand in one order inside each code. A single donor is the last one passed
+on the way to the query, or the last one with another id, from below and from above: running values over one shuffle (correct for hot codes).
+For several donors, they are numbered in order, a query is placed among them, and its neighbours to either side are fetched by position:
 an equality join on (code, position), spread evenly whatever the size of the code. Each donor also knows the next
 donor with another id, so own rows are skipped in one step however many there are.
 """
@@ -27,6 +28,8 @@ def nearest_donors(queries: DataFrame, donors: DataFrame, levels: Sequence[str],
     the smallest unit id, then the smallest donor row. ``qid``/``did`` identify rows. ``keys`` must match too
     (bootstrap iteration). Donors found at a finer level are not taken again unless ``allow_repeat``.
     """
+    if k == 1:
+        return _nearest_donor(queries, donors, levels, x, carry, qid, did, unit, keys)
     keys = list(keys)
     place = [*keys, "_lvl", "_code", "_side"]
 
@@ -84,6 +87,44 @@ def nearest_donors(queries: DataFrame, donors: DataFrame, levels: Sequence[str],
     return found.withColumn("rank", number([], ["level", *best])).where(F.col("rank") <= k).drop("_drow", "_in")
 
 
+def _nearest_donor(queries: DataFrame, donors: DataFrame, levels: Sequence[str], x: str, carry: Sequence[str],
+                   qid: str, did: str, unit: str, keys: Sequence[str]) -> DataFrame:
+    """:func:`nearest_donors` for one donor: both sides from one order of donors and queries, the better one kept where it is found."""
+    keys = list(keys)
+    place = [*keys, "_lvl", "_code"]
+
+    def spread(df: DataFrame, *cols: Column) -> DataFrame:
+        at = F.explode(F.array(*[F.struct(F.lit(i).alias("_lvl"), F.col(c).cast("string").alias("_code")) for i, c in enumerate(levels)])).alias("_at")
+        df = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), *cols, at)
+        return df.select(*keys, "_at.*", "_x", *[c for c in df.columns if c not in (*keys, "_at", "_x")]).where(F.col("_code").isNotNull())
+
+    q = spread(queries, F.col(qid).alias("_row"), F.col(unit).alias("_id"), F.lit(True).alias("_query"))
+    d = spread(donors, F.struct(F.col(unit).alias("_id"), F.col(x).alias("_x"), F.col(did).alias("_row"), *carry).alias("_me"))
+    both = q.unionByName(d.withColumn("_query", F.lit(False)), allowMissingColumns=True)
+    hot = hot_keys(both, place)
+    kept = both.columns
+
+    def passed(df: DataFrame, y: Column, behind: Column, name: str) -> DataFrame:
+        """``name``: the donor passed last on the way down to the query in ``y``; of equal ones the smallest id, then the smallest row."""
+        order = [y.desc(), behind, F.col("_me._id").desc(), F.col("_me._row").desc(), F.col("_row").desc()]
+        df = running(df, place, order, hot=hot, before={"_prev": F.col("_me")})
+        change = F.when(F.col("_prev._id") != F.col("_me._id"), F.col("_prev"))
+        df = running(df, place, order, lasts={"_last": F.col("_me"), "_other": change}, hot=hot)
+        pick = F.when(F.col("_last._id") != F.col("_id"), F.col("_last")).otherwise(F.col("_other"))
+        return df.withColumn(name, F.when(F.col("_query"), pick)).select(*kept, *[c for c in df.columns if c == "_above"], name)
+
+    # Equal values belong to one side: from above a query stands before equal donors, from below behind them.
+    both = passed(both, F.col("_x"), F.col("_query").desc(), "_above")
+    both = passed(both, -F.col("_x"), F.col("_query").asc(), "_below").where("_query")
+
+    def found(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._x") - F.col("_x")).alias("distance"), F.col(f"{c}._id").alias("donor_id"),
+                                                     F.col(f"{c}._row").alias("_drow"), *[F.col(f"{c}.{v}").alias(v) for v in carry]))
+    best = both.select(*keys, F.col("_row").alias(qid), F.col("_lvl").alias("level"), F.least(found("_above"), found("_below")).alias("_p")).where(F.col("_p").isNotNull())
+    order = Window.partitionBy(*keys, qid).orderBy("level", "distance", "donor_id", "_drow")
+    return best.select(*keys, qid, "level", "_p.*").withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("_drow")
+
+
 def hot_deck(df: DataFrame, levels: Sequence[str], x: str, ratio: str, amount: str, id: str, row: str) -> DataFrame:
     """Donor = another unit of the finest code that has one, nearest in ``x``; predicted = donor ratio x own amount."""
     near = nearest_donors(df, df, levels, x, [ratio], row, row, id, 1)

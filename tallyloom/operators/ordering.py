@@ -32,12 +32,12 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
             sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
-            hot: DataFrame | None | str = "find") -> DataFrame:
-    """Add running sums and last non-missing values, both up to and including the row.
+            hot: DataFrame | None | str = "find", before: dict[str, Column] | None = None) -> DataFrame:
+    """Add running sums and last non-missing values, both up to and including the row; ``before``: last non-missing values of the rows before it.
 
     ``order`` must be a total order inside the group. ``sums={'rn': F.lit(1)}`` numbers the rows.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, earlier = sums or {}, lasts or {}, before or {}
     cold, hot = split_hot(df, keys, hot)
 
     def local(part: DataFrame, extra: Sequence[str]) -> tuple[DataFrame, Window]:
@@ -46,6 +46,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cols = {n: F.sum(c).over(run) for n, c in sums.items()}
         cols |= {n: F.last(c, ignorenulls=True).over(run) for n, c in lasts.items()}
+        cols |= {n: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n, c in earlier.items()}
         return part.withColumns(cols), w
 
     out, _ = local(cold, [])
@@ -58,13 +59,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     carry = ends.select(
         *[F.col(k).alias("_k_" + k) for k in keys], F.col("_slice").alias("_s"),
         *[F.sum(n).over(before).alias("_c_" + n) for n in sums],
-        *[F.last(n, ignorenulls=True).over(before).alias("_c_" + n) for n in lasts])
+        *[F.last(n, ignorenulls=True).over(before).alias("_c_" + n) for n in lasts],
+        *[F.last(F.coalesce(c, n), ignorenulls=True).over(before).alias("_c_" + n) for n, c in earlier.items()])
     cond = part["_slice"] == carry["_s"]
     for k in keys:
         cond = cond & part[k].eqNullSafe(carry["_k_" + k])
     joined = part.join(F.broadcast(carry), cond, "left")
     fix = {n: F.col(n) + F.coalesce(F.col("_c_" + n), F.lit(0)) for n in sums}
-    fix |= {n: F.coalesce(F.col(n), F.col("_c_" + n)) for n in lasts}
+    fix |= {n: F.coalesce(F.col(n), F.col("_c_" + n)) for n in (*lasts, *earlier)}
     return out.unionByName(joined.withColumns(fix).select(*out.columns))
 
 

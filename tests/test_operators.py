@@ -319,6 +319,28 @@ def test_ordered_split_ranks_ties_of_the_last_row_only(spark, monkeypatch):
     assert seen[0] == 10 and seen[1] <= 5
 
 
+def test_hot_deck_matches_all_pairs(spark, groups):
+    rng = random.Random(3)
+    data = [(i, rng.choice("abcde"), rng.choice("xy"), rng.choice(["u", None]), rng.choice([None, 0.0, 1.0, 2.0, 3.0, 7.0]), i / 100) for i in range(120)]
+    df = spark.createDataFrame(data, "row int, id string, c string, d string, x double, r double")
+    near = hotdeck.nearest_donors(df.where("row % 2 = 0"), df.where("row % 3 < 2"), ["c", "d"], "x", ["r"], "row", "row", "id")
+    want = []
+    for a in data[::2]:
+        pairs = [(lvl, abs(a[4] - b[4]), b[1], b[0]) for lvl in (0, 1) for b in data if b[0] % 3 < 2 and None not in (a[4], b[4], a[2 + lvl]) and a[2 + lvl] == b[2 + lvl] and a[1] != b[1]]
+        if pairs:
+            lvl, dist, donor, row = min(pairs)
+            want.append((a[0], lvl, dist, donor, row / 100))
+    assert rows(near, "row", "level", "distance", "donor_id", "r") == sorted(want, key=str)
+
+
+def test_hot_deck_writes_no_deck_of_donors(spark, monkeypatch):
+    written = []
+    plain = hotdeck.materialise
+    monkeypatch.setattr(hotdeck, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    df = spark.createDataFrame([(i, f"u{i}", "c", float(i), 1.0) for i in range(20)], "row int, id string, c string, x double, r double")
+    assert hotdeck.hot_deck(df, ["c"], "x", "r", "x", "id", "row").where("donor_id IS NOT NULL").count() == 20 and written == []
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double")
     m = metrics.regression_metrics(df, "y", "p", n_features=1).first()
