@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip_low, finite, parse_number, safe_div
-from .grouping import Totals, by_group
+from ..session import materialise
+from .grouping import Totals, by_group, has_key
 from .joins import join_unique
 from .ordering import number_rows
 
@@ -48,6 +49,12 @@ def safe_ratio(df: DataFrame, name: str, numerator: str, denominator: str) -> Da
 
 
 def fill_group_mean(df: DataFrame, col: str, keys: Sequence[str], totals: Totals | None = None) -> DataFrame:
+    """Gaps take the mean of their group. Means are aggregated map-side into a written table, so rows are brought together by group only
+    where that table is large."""
+    if totals is None and keys:
+        means = df.where(has_key(keys)).groupBy(*keys).agg(F.avg(col).alias("_mean"))
+        return join_unique(df, materialise(means, "means"), keys).withColumn(col, F.coalesce(F.col(col), F.col("_mean"))).select(*df.columns)
+
     def step(part: DataFrame, t: Totals) -> DataFrame:
         part = t.add(part, keys, _mean=F.avg(col))
         return part.withColumn(col, F.coalesce(F.col(col), F.col("_mean"))).drop("_mean")

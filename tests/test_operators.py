@@ -341,6 +341,13 @@ def test_hot_deck_writes_no_deck_of_donors(spark, monkeypatch):
     assert hotdeck.hot_deck(df, ["c"], "x", "r", "x", "id", "row").where("donor_id IS NOT NULL").count() == 20 and written == []
 
 
+def test_group_means_fill_without_gathering_groups(spark, groups):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None), (None, 5.0), (None, None)], "g string, v double")
+    out = clean.fill_group_mean(df, "v", ["g"])
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out, "g", "v") == sorted([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", None), (None, 5.0), (None, None)], key=str)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double")
     m = metrics.regression_metrics(df, "y", "p", n_features=1).first()
