@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import rint0, safe_div, zero_if_null
 from ..session import materialise
 from .clean import drop_zero_total, fix_unit_error
-from .grouping import Totals, by_group
+from .grouping import Totals, WindowTotals, by_group
 
 OMS, COST, NEW_COST = "new_oms", "gjeldende_driftsk_kr", "new_drkost"
 T_OMS, T_COST, SIZE = "foretak_omsetning", "foretak_driftskostnad", "b_sysselsetting_syss"
@@ -197,23 +197,28 @@ def reconcile(df: DataFrame, key: str, value: str, total: str, tol: float = 1000
 
 def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str] = ("orgnr_n_1", "lopenr"), key: str = "id",
                           cost: str = NEW_COST, code: str = "tmp_sn2007_5", parent_code: str = "nacef_5",
-                          low: int = 5, high: int = 33) -> DataFrame:
+                          low: int = 5, high: int = 33, source: DataFrame | None = None) -> DataFrame:
     """Cost control for parents with manufacturing units (two-digit industry ``low``..``high``).
 
     Adds ``share`` (of parent cost, or of manufacturing cost where the parent has manufacturing) and applies the
     minimum rule with the extra cost items of the register (``no4295_f, no4995_f, no6200_f`` of the parent, ``no4295,
     no4995, no6200`` of the unit); then single units take the parent's cost and totals by id are shown. The
-    register is cut to one row per id.
+    register is cut to one row per id. ``source``: an earlier table with at least the rows of ``df`` (parent and ``key`` columns), on which groups are
+    counted; without it ``df`` is written once, because it is read for the counts, too.
     """
     keys = list(keys)
     extra = ["no4295_f", "no4995_f", "no6200_f"]
     one = register.groupBy(key).agg(*[F.max(c).alias(c) for c in extra])
     df = df.join(one, key, "left").fillna(0.0, subset=extra)
     two = F.substring(F.coalesce(F.col(code), F.col(parent_code)), 1, 2).try_cast("int")
-    # Counted twice and read once: the chain before this is run once, into a written table.
-    df = materialise(df.withColumn("industrial", F.coalesce(two.between(low, high), F.lit(False)).cast("int")), "units")
+    df = df.withColumn("industrial", F.coalesce(two.between(low, high), F.lit(False)).cast("int"))
+    if source is None:
+        # Counted twice and read once: the chain before this is run once, into a written table.
+        df = source = materialise(df, "units")
 
     def step(part: DataFrame, t: Totals) -> DataFrame:
+        if isinstance(t, WindowTotals):
+            part = part.repartition(keys[0])       # serves the windows by parent and by run
         part = t.add(part, keys, has_industrial=F.max("industrial"),
                      fdk_indr=F.sum(F.when(F.col("industrial") == 1, F.col(cost))),
                      fdk_vanl=F.sum(F.when(F.col("industrial") == 0, F.col(cost)))).fillna(0.0, ["fdk_indr", "fdk_vanl"])
@@ -225,5 +230,5 @@ def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str
         single = F.col("regtype") == "01"
         return part.withColumns({a: F.when(single, F.col(b)).otherwise(F.col(a)) for a, b in
                                  {OMS: T_OMS, cost: T_COST, "bedr_salgsint": "salgsint", "bedr_forbruk": "forbruk"}.items()})
-    out = by_group(df, keys[:1], step, source=df.select(*keys))
-    return reconcile(out, key, cost, T_COST, keep="all", source=df)
+    out = by_group(df, keys[:1], step, source=source)
+    return reconcile(out, key, cost, T_COST, keep="all", source=source)

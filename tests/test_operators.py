@@ -348,6 +348,19 @@ def test_group_means_fill_without_gathering_groups(spark, groups):
     assert rows(out, "g", "v") == sorted([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", None), (None, 5.0), (None, None)], key=str)
 
 
+def test_industry_control_writes_no_copy_of_counted_units(spark, groups, monkeypatch):
+    cols = ("id long, orgnr_n_1 long, lopenr int, regtype string, tmp_sn2007_5 string, nacef_5 string, new_drkost double, new_oms double, foretak_driftskostnad double, foretak_omsetning double, "
+            "salgsint double, forbruk double, bedr_salgsint double, bedr_forbruk double, gjeldende_lonn_kr double, no4295 double, no4995 double, no6200 double")
+    df = spark.createDataFrame([(i // 3, i // 3 if i // 3 else None, i % 2, "02", "10.200" if i % 2 else "47.112", "47.300", 10.0 * i, 5.0, 90.0, 80.0, 7.0, 6.0, 3.0, 2.0, 4.0 * (i % 4), 1.0, 1.0, 1.0) for i in range(12)], cols)
+    register = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, 4.0, 5.0, 6.0)], "id long, no4295_f double, no4995_f double, no6200_f double")
+    want = rows(al.industry_cost_control(df, register), "id", "orgnr_n_1", "share", "thief", "new_drkost", "difference")
+    written = []
+    plain = al.materialise
+    monkeypatch.setattr(al, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    got = al.industry_cost_control(df, register, source=df.select("id", "orgnr_n_1"))
+    assert rows(got, "id", "orgnr_n_1", "share", "thief", "new_drkost", "difference") == want and len(want) == 12 and written == []
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double")
     m = metrics.regression_metrics(df, "y", "p", n_features=1).first()

@@ -227,7 +227,7 @@ SELECT {KEYS}, ind AS industrial, share, thief, nc AS new_drkost, foretak_drifts
 def industry_cost_control(t):
     register = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") * 0.01).alias("no4295_f"),
                                (F.col("o_totalprice") * 0.02).alias("no4995_f"), (F.col("o_totalprice") * 0.001).alias("no6200_f"))
-    return al.industry_cost_control(upto(t, "income"), register).select(*KEY, "industrial", "share", "thief", "new_drkost", "difference")
+    return al.industry_cost_control(upto(t, "income"), register, source=unit_keys(t)).select(*KEY, "industrial", "share", "thief", "new_drkost", "difference")
 
 
 # ---------------------------------------------------------------- factors and features
