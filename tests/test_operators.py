@@ -795,3 +795,19 @@ def test_partial_neighbours_with_periods_are_exact(spark, block):
                     found.append((round(sum(both) * 3 / len(both), 9), j))
             want |= {(i, c, n): j for n, (_, j) in enumerate(sorted(found)[:2], 1)}
     assert got == want
+
+
+def test_impute_with_reads_its_lines_once(spark):
+    from workbook import QUERIES
+    out = QUERIES["impute_with"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_columns_read_codes_and_numbers(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0, "a", "x"), (2, 2.0, 6.0, "b", None), (3, 3.0, None, "c", "x")], "id long, u double, v double, c string, d string")
+    d = features.clean_features(df, ["u", "v"], ["c", "d"])
+    columns = gram.Columns(d.where("id < 3"), ["u", "v"], ["c", "d"], {"u": (0.0, 1.0), "v": (0.0, 1.0)})
+    batch = columns.select(d.orderBy("id").coalesce(1), "id").toArrow().combine_chunks().to_batches()[0]
+    x, at = columns.read(batch)
+    assert x.tolist() == [[1, 1, 5], [1, 2, 6], [1, 3, 0]]
+    assert [a.tolist() for a in at] == [[3, 4, columns.size], [6, 5, 6]]
