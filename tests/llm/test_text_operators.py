@@ -565,3 +565,16 @@ def test_quality_against_a_plain_model(spark):
             assert sum(x <= got[ids[0]].threshold for x in held) >= 0.995 * len(held) - 1
         for i in want:
             assert got[i].kept == (got[i].threshold is None or got[i].perplexity <= got[i].threshold)
+
+
+def test_quality_trains_on_every_trusted_text_of_its_half(spark):
+    prepare(spark)
+    texts = {i: f"w{i % 53} v{i % 31} w{i * i % 41} u{i}" for i in range(18000)}
+    docs = spark.createDataFrame([(i, "x", t) for i, t in texts.items()], "doc_id long, lang string, text string").repartition(4)
+    got = {r.doc_id: r.perplexity for r in quality.quality(docs, docs.select("doc_id", F.lit(1).alias("quality"))).where("doc_id < 40").collect()}
+    h = {i: (int(hashlib.md5(f"q{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for i in texts}
+    log = plain_kneser_ney([t for i, t in texts.items() if h[i] < 0.5])
+    for i, p in got.items():
+        w = [*texts[i].split(), None]
+        assert p == pytest.approx(10 ** (-sum(map(log, ["<s>", *w[:-1]], w)) / len(w)), rel=1e-9)
+    assert len(got) == 40
