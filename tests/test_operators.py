@@ -811,3 +811,9 @@ def test_columns_read_codes_and_numbers(spark):
     x, at = columns.read(batch)
     assert x.tolist() == [[1, 1, 5], [1, 2, 6], [1, 3, 0]]
     assert [a.tolist() for a in at] == [[3, 4, columns.size], [6, 5, 6]]
+
+
+def test_a_line_through_a_gap_predicts_nothing(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "id long, u double")
+    line = gram.Linear(gram.Columns(df, ["u"], [], {"u": (0.0, 1.0)}), {0: np.array([1.0, 2.0])})
+    assert {r.id: r["values"] for r in line.predict(df, "id").collect()} == {1: [3.0], 2: [None], 3: [None]}
