@@ -21,8 +21,8 @@ from .lm import SPLIT, _bucketed, _ranges, _slices
 from .words import hash_words, mix, regroup, split_words
 
 TEXT_BYTES = 8 << 20
-GROUP_BYTES = 16 << 20    # texts that are counted and looked up together
-SHARD_ENTRIES = 3_000_000
+GROUP_BYTES = 12 << 20    # texts that are counted and looked up together
+SHARD_ENTRIES = 2_000_000
 NONE = np.uint32(0)       # number of a word that no training text has
 MANY = 2048
 LEAST_DOCS = 100      # training documents of a language that has twice as many trusted ones
@@ -129,7 +129,7 @@ def fit(sample: DataFrame) -> Tables:
 def _pack(*arrays: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes before all second ones, compressed: the upper bytes are mostly alike. Where there are many, each kind of byte has its own code."""
     planes = [x.tobytes() for a in arrays for x in np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T]
-    frames = map(zstandard.ZstdCompressor(level=3).compress, planes if len(arrays[0]) >= MANY else [b"".join(planes)])
+    frames = map(zstandard.ZstdCompressor(level=1).compress, planes if len(arrays[0]) >= MANY else [b"".join(planes)])
     return b"".join(len(x).to_bytes(4, "little") + x for x in frames)
 
 
