@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tallyloom.functions import clean_code, finite, fmt_percent, half_even, parse_number, safe_div
 from tallyloom.operators import aggregate as agg
 from tallyloom.operators import allocate as al
-from tallyloom.operators import boost, boxes, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, publish, reshape, text, windows
+from tallyloom.operators import boost, boxes, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, partial, publish, reshape, text, windows
 from tallyloom.operators.classify import classify_responses
 from tallyloom.operators.nearest import Quantiser, nearest
 from tallyloom.operators.ordering import add_lags, dense_ranks, exact_percentiles, number_rows, running
 from tallyloom.operators.partial import Ranges, _interleaved, nearest_partial, partial_distances
-from tallyloom.plans import allocate_units
+from tallyloom.plans import allocate_units, panel
 from tallyloom.sources import collect_period_files, collect_periods, stage, write_partitioned
 
 
@@ -817,3 +817,34 @@ def test_a_line_through_a_gap_predicts_nothing(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "id long, u double")
     line = gram.Linear(gram.Columns(df, ["u"], [], {"u": (0.0, 1.0)}), {0: np.array([1.0, 2.0])})
     assert {r.id: r["values"] for r in line.predict(df, "id").collect()} == {1: [3.0], 2: [None], 3: [None]}
+
+
+def _gaps_by_hand(v, far, x, k):
+    out, dist = [], partial_distances(v.T, x.T)
+    for q, c in zip(*np.nonzero(np.isnan(v.T)), strict=True):
+        near = sorted((dist[q, j], j) for j in range(x.shape[1]) if not np.isnan(x[c, j]) and dist[q, j] <= (np.inf if far is None else far[c, q]) and np.isfinite(dist[q, j]))[:k]
+        out += [(int(q), int(c), int(j), d) for d, j in near]
+    return out
+
+
+@pytest.mark.parametrize("patterns", [2, 40], ids=["few", "many"])
+@pytest.mark.parametrize("bounded", [False, True])
+def test_gaps_of_a_block_are_filled_exactly(patterns, bounded):
+    rng = np.random.default_rng(patterns)
+    masks = rng.random((patterns, 5)) < 0.3
+    masks[0] = False
+    table = lambda n: np.where(masks[rng.integers(0, patterns, n)], np.nan, rng.integers(0, 6, (n, 5)) / 2.0).T
+    v, x = table(80), table(700)
+    far = np.where(rng.random(v.shape) < 0.2, np.inf, rng.random(v.shape) * 3) if bounded else None
+    cuts = [np.linspace(0, 2.5, 7) for _ in range(5)]
+    got = partial.gaps_in_block(v, far, x, 3, cuts, 3)
+    assert [(int(q), int(c), int(j), float(d)) for q, c, j, d in zip(*got, strict=True)] == _gaps_by_hand(v, far, x, 3)
+
+
+def test_feature_panel_searches_once(spark, monkeypatch):
+    from workbook import QUERIES
+    written = []
+    plain = panel.materialise
+    monkeypatch.setattr(panel, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    out = QUERIES["feature_panel"](spark, "/root/testdata/sf0.001")
+    assert written == ["growth", "filled"] and "Arrow" not in out._jdf.queryExecution().optimizedPlan().toString()
