@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import session
 from tallyloom.functions import clean_code, finite, fmt_percent, half_even, parse_number, safe_div
 from tallyloom.operators import aggregate as agg
 from tallyloom.operators import allocate as al
@@ -848,3 +851,37 @@ def test_feature_panel_searches_once(spark, monkeypatch):
     monkeypatch.setattr(panel, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
     out = QUERIES["feature_panel"](spark, "/root/testdata/sf0.001")
     assert written == ["growth", "filled"] and "Arrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_written_stage_ends_its_shuffle(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {f.split("_")[1] for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+    before = shuffles()
+    out = session.materialise(spark.range(1000).repartition(3, "id"), "t")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and out.where("id >= 0").collect()
+
+
+def test_settled_results_keep_no_tables_on_the_way(spark):
+    kept, seen = session.materialise(spark.range(5), "kept"), []
+
+    def build():
+        seen.append(session.materialise(kept.withColumn("x", F.col("id") * 2), "way"))
+        return seen[0].where("x > 3")
+    out = session.settle(spark, build, "out")
+    exists = lambda df: all(os.path.exists(f.removeprefix("file:")) for f in df.inputFiles())
+    assert rows(out, "id", "x") == [(2, 4), (3, 6), (4, 8)] and exists(kept) and exists(out) and not exists(seen[0])
+
+
+@pytest.mark.parametrize("name", ["end_to_end_totals", "end_to_end_update", "end_to_end_check", "end_to_end"])
+def test_the_run_keeps_its_panel_and_units_only(spark, name):
+    from workbook import QUERIES
+    before = len(session._written)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [os.path.basename(p).rsplit("-", 1)[0] for p in session._written[before:]] == ["panel", "units"]
