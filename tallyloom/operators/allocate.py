@@ -195,7 +195,16 @@ def reconcile(df: DataFrame, key: str, value: str, total: str, tol: float = 1000
     return out.where(off if keep == "above" else ~off)
 
 
-def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str] = ("orgnr_n_1", "lopenr"), key: str = "id",
+REGISTER_COSTS = ["no4295_f", "no4995_f", "no6200_f"]
+
+
+def with_register_costs(df: DataFrame, register: DataFrame, key: str = "id") -> DataFrame:
+    """Adds the extra cost items of the register (cut to one row per id) to every unit, 0 where there are none."""
+    one = register.groupBy(key).agg(*[F.max(c).alias(c) for c in REGISTER_COSTS])
+    return df.join(one, key, "left").fillna(0.0, subset=REGISTER_COSTS)
+
+
+def industry_cost_control(df: DataFrame, register: DataFrame | None, keys: Sequence[str] = ("orgnr_n_1", "lopenr"), key: str = "id",
                           cost: str = NEW_COST, code: str = "tmp_sn2007_5", parent_code: str = "nacef_5",
                           low: int = 5, high: int = 33, source: DataFrame | None = None) -> DataFrame:
     """Cost control for parents with manufacturing units (two-digit industry ``low``..``high``).
@@ -203,13 +212,12 @@ def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str
     Adds ``share`` (of parent cost, or of manufacturing cost where the parent has manufacturing) and applies the
     minimum rule with the extra cost items of the register (``no4295_f, no4995_f, no6200_f`` of the parent, ``no4295,
     no4995, no6200`` of the unit); then single units take the parent's cost and totals by id are shown. The
-    register is cut to one row per id. ``source``: an earlier table with at least the rows of ``df`` (parent and ``key`` columns), on which groups are
+    register is cut to one row per id; None: ``df`` has its items already (:func:`with_register_costs`, where rows lie by id anyway). ``source``: an earlier table with at least the rows of ``df`` (parent and ``key`` columns), on which groups are
     counted; without it ``df`` is written once, because it is read for the counts, too.
     """
     keys = list(keys)
-    extra = ["no4295_f", "no4995_f", "no6200_f"]
-    one = register.groupBy(key).agg(*[F.max(c).alias(c) for c in extra])
-    df = df.join(one, key, "left").fillna(0.0, subset=extra)
+    if register is not None:
+        df = with_register_costs(df, register, key)
     two = F.substring(F.coalesce(F.col(code), F.col(parent_code)), 1, 2).try_cast("int")
     df = df.withColumn("industrial", F.coalesce(two.between(low, high), F.lit(False)).cast("int"))
     if source is None:
@@ -226,7 +234,7 @@ def industry_cost_control(df: DataFrame, register: DataFrame, keys: Sequence[str
             .when(F.col("industrial") == 1, safe_div(cost, "fdk_indr")).otherwise(F.lit(0.0))
         part = part.withColumn("share", F.coalesce(share, F.lit(0.0)))
         base = ["gjeldende_lonn_kr", "bedr_forbruk"]
-        part = enforce_minimum(part, keys, cost, [*base, "no4295", "no4995", "no6200"], [*base, *extra], totals=t)
+        part = enforce_minimum(part, keys, cost, [*base, "no4295", "no4995", "no6200"], [*base, *REGISTER_COSTS], totals=t)
         single = F.col("regtype") == "01"
         return part.withColumns({a: F.when(single, F.col(b)).otherwise(F.col(a)) for a, b in
                                  {OMS: T_OMS, cost: T_COST, "bedr_salgsint": "salgsint", "bedr_forbruk": "forbruk"}.items()})

@@ -885,3 +885,13 @@ def test_the_run_keeps_its_panel_and_units_only(spark, name):
     before = len(session._written)
     QUERIES[name](spark, "/root/testdata/sf0.001")
     assert [os.path.basename(p).rsplit("-", 1)[0] for p in session._written[before:]] == ["panel", "units"]
+
+
+def test_industry_control_moves_units_by_parent_twice_and_by_id_once(spark):
+    from workbook import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["industry_cost_control"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3

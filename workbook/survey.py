@@ -237,9 +237,11 @@ f22 AS (SELECT *, CASE WHEN regtype = '01' THEN foretak_driftskostnad WHEN anyt
 SELECT {KEYS}, ind AS industrial, share, thief, nc AS new_drkost, foretak_driftskostnad - sum(nc) OVER (PARTITION BY id) AS difference FROM f22""",
        dbl="share new_drkost difference")
 def industry_cost_control(t):
-    register = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") * 0.01).alias("no4295_f"),
+    register = t.orders.select("o_orderkey", (F.col("o_totalprice") * 0.01).alias("no4295_f"),
                                (F.col("o_totalprice") * 0.02).alias("no4995_f"), (F.col("o_totalprice") * 0.001).alias("no6200_f"))
-    return al.industry_cost_control(upto(t, "income"), register, source=unit_keys(t)).select(*KEY, "industrial", "share", "thief", "new_drkost", "difference")
+    # The register meets the lines where they lie by order; what that shuffles is gone before the allocation.
+    source = materialise(al.with_register_costs(lines(t), register, "o_orderkey"), "lines")
+    return al.industry_cost_control(upto(t, "income", source, al.REGISTER_COSTS), None, source=unit_keys(t)).select(*KEY, "industrial", "share", "thief", "new_drkost", "difference")
 
 
 # ---------------------------------------------------------------- factors and features
