@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse_number, safe_div
-from ..session import materialise
-from .grouping import hot_keys
-from .ordering import add_lags, running
+from ..session import materialise, settle
+from .grouping import hot_keys, split_hot
+from .ordering import add_lags, running, sliced
 
 
 def nearest_donors(queries: DataFrame, donors: DataFrame, levels: Sequence[str], x: str, carry: Sequence[str],
@@ -101,21 +101,25 @@ def _nearest_donor(queries: DataFrame, donors: DataFrame, levels: Sequence[str],
     q = spread(queries, F.col(qid).alias("_row"), F.col(unit).alias("_id"), F.lit(True).alias("_query"))
     d = spread(donors, F.struct(F.col(unit).alias("_id"), F.col(x).alias("_x"), F.col(did).alias("_row"), *carry).alias("_me"))
     both = q.unionByName(d.withColumn("_query", F.lit(False)), allowMissingColumns=True)
-    hot = hot_keys(both, place)
     kept = both.columns
 
-    def passed(df: DataFrame, y: Column, behind: Column, name: str) -> DataFrame:
+    def passed(df: DataFrame, y: Column, behind: Column, name: str, hot: bool) -> DataFrame:
         """``name``: the donor passed last on the way down to the query in ``y``; of equal ones the smallest id, then the smallest row."""
         order = [y.desc(), behind, F.col("_me._id").desc(), F.col("_me._row").desc(), F.col("_row").desc()]
-        df = running(df, place, order, hot=hot, before={"_prev": F.col("_me")})
-        change = F.when(F.col("_prev._id") != F.col("_me._id"), F.col("_prev"))
-        df = running(df, place, order, lasts={"_last": F.col("_me"), "_other": change}, hot=hot)
+        df = _last_two(df, place, order, hot)
         pick = F.when(F.col("_last._id") != F.col("_id"), F.col("_last")).otherwise(F.col("_other"))
         return df.withColumn(name, F.when(F.col("_query"), pick)).select(*kept, *[c for c in df.columns if c == "_above"], name)
 
-    # Equal values belong to one side: from above a query stands before equal donors, from below behind them.
-    both = passed(both, F.col("_x"), F.col("_query").desc(), "_above")
-    both = passed(both, -F.col("_x"), F.col("_query").asc(), "_below").where("_query")
+    def both_sides(df: DataFrame, hot: bool) -> DataFrame:
+        # Equal values belong to one side: from above a query stands before equal donors, from below behind them.
+        df = passed(df, F.col("_x"), F.col("_query").desc(), "_above", hot)
+        return passed(df, -F.col("_x"), F.col("_query").asc(), "_below", hot).where("_query")
+
+    # Split once: each part goes its whole way alone, and what the hot one writes on it goes with its result.
+    cold, warm = split_hot(both, place)
+    both = both_sides(cold, False)
+    if warm is not None:
+        both = both.unionByName(settle(queries.sparkSession, lambda: both_sides(warm, True), "hot"))
 
     def found(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._x") - F.col("_x")).alias("distance"), F.col(f"{c}._id").alias("donor_id"),
@@ -125,6 +129,32 @@ def _nearest_donor(queries: DataFrame, donors: DataFrame, levels: Sequence[str],
     return best.select(*keys, qid, "level", "_p.*").withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("_drow")
 
 
+def _last_two(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot: bool) -> DataFrame:
+    """Adds ``_last``, the donor ``_me`` that the row or the last one before it has, and ``_other``, the last before that with another id.
+
+    Hot groups: each slice finds both alone. What the slices before it end with, at most two donors per slice and key, replaces what a slice has not met.
+    """
+    df = sliced(df, keys, order) if hot else df
+    w = Window.partitionBy(*keys, *(["_slice"] if hot else [])).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_prev", F.last("_me", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    change = F.when(F.col("_prev._id") != F.col("_me._id"), F.col("_prev"))
+    df = df.withColumns({"_last": F.last("_me", ignorenulls=True).over(so_far), "_other": F.last(change, ignorenulls=True).over(so_far)}).drop("_prev")
+    if not hot:
+        return df
+    ends = df.withColumn("_end", F.lead(F.lit(1)).over(w).isNull()).where("_end").select(*keys, "_slice", "_last", "_other")
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    met = F.filter(F.flatten(F.collect_list(F.array("_other", "_last")).over(before)), lambda x: x.isNotNull())
+    carry = ends.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_slice").alias("_s"), met.alias("_met")).withColumn("_c_last", F.try_element_at("_met", F.lit(-1)))
+    carry = carry.withColumn("_c_other", F.try_element_at(F.filter("_met", lambda x: x["_id"] != F.col("_c_last._id")), F.lit(-1))).drop("_met")
+    cond = df["_slice"] == carry["_s"]
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(carry["_k_" + k])
+    df = df.join(F.broadcast(carry), cond, "left")
+    earlier = F.when(F.col("_last").isNull() | (F.col("_c_last._id") == F.col("_last._id")), F.col("_c_other")).otherwise(F.col("_c_last"))
+    return df.withColumns({"_last": F.coalesce("_last", "_c_last"), "_other": F.coalesce("_other", earlier)}).drop("_slice", *carry.columns)
+
+
 def hot_deck(df: DataFrame, levels: Sequence[str], x: str, ratio: str, amount: str, id: str, row: str) -> DataFrame:
     """Donor = another unit of the finest code that has one, nearest in ``x``; predicted = donor ratio x own amount."""
     near = nearest_donors(df, df, levels, x, [ratio], row, row, id, 1)

@@ -14,7 +14,7 @@ from tallyloom import session
 from tallyloom.functions import clean_code, finite, fmt_percent, half_even, parse_number, safe_div
 from tallyloom.operators import aggregate as agg
 from tallyloom.operators import allocate as al
-from tallyloom.operators import boost, boxes, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, partial, publish, reshape, text, windows
+from tallyloom.operators import boost, boxes, clean, factors, features, geo, gram, hotdeck, joins, knn, metrics, models, network, ordering, partial, publish, reshape, text, windows
 from tallyloom.operators.classify import classify_responses
 from tallyloom.operators.nearest import Quantiser, nearest
 from tallyloom.operators.ordering import add_lags, dense_ranks, exact_percentiles, number_rows, running
@@ -895,3 +895,21 @@ def test_industry_control_moves_units_by_parent_twice_and_by_id_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_hot_deck_orders_hot_groups_twice_only(spark, monkeypatch):
+    rng, written = random.Random(3), []
+    data = [(i, f"u{rng.randrange(6)}", "c" if rng.random() < 0.8 else "d", float(rng.randrange(5)), i / 100) for i in range(60)]
+    df = spark.createDataFrame(data, "row int, id string, c string, x double, r double")
+    plain = ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    spark.conf.set("tallyloom.hotRows", "1")
+    try:
+        got = rows(hotdeck.nearest_donors(df.where("row % 2 = 0"), df.where("row % 3 < 2"), ["c"], "x", ["r"], "row", "row", "id"), "row", "distance", "donor_id", "r")
+    finally:
+        spark.conf.unset("tallyloom.hotRows")
+    want = []
+    for a in data[::2]:
+        pairs = [(abs(a[3] - b[3]), b[1], b[0]) for b in data if b[0] % 3 < 2 and a[2] == b[2] and a[1] != b[1]]
+        want += [(a[0], d, u, r / 100) for d, u, r in sorted(pairs)[:1]]
+    assert got == sorted(want, key=str) and written == ["sliced", "sliced"]

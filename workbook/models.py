@@ -285,7 +285,7 @@ def level_sql(q: str, d: str, extra: str = "") -> str:
 WITH {DECK}, n AS ({level_sql('t', 't')}), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY lvl, dist, donor_id, drow) AS rn FROM n)
 SELECT t.row, donor_id, CAST(lvl AS INTEGER) AS level, r.ratio * x AS predicted FROM t LEFT JOIN r ON t.row = r.row AND rn = 1""", dbl="predicted")
 def hot_deck(t):
-    return hotdeck.hot_deck(deck(t), ["c1", "c2", "c3"], "x", "ratio", "x", "id", "row").select("row", "donor_id", "level", "predicted")
+    return hotdeck.hot_deck(materialise(deck(t), "units"), ["c1", "c2", "c3"], "x", "ratio", "x", "id", "row").select("row", "donor_id", "level", "predicted")
 
 
 @query("hot_deck_bootstrap", f"""
@@ -296,7 +296,7 @@ p AS (SELECT m.iteration, m.ratio * m.x AS actual, r.ratio * m.x AS predicted FR
 SELECT CAST(iteration AS INTEGER) AS iteration, count(*) AS n, avg(abs(actual - predicted)) AS mae, avg(CASE WHEN actual = 0 AND predicted = 0 THEN NULL WHEN actual = 0 THEN 100 ELSE abs(actual - predicted) * 100 / actual END) AS pct,
   1 - sum((actual - predicted) ** 2) / (var_pop(CASE WHEN predicted IS NOT NULL THEN actual END) * count(predicted)) AS r2 FROM p GROUP BY 1""", dbl="mae pct r2", digits=4)
 def hot_deck_bootstrap(t):
-    df = deck(t).withColumn("actual", F.col("ratio") * F.col("x"))
+    df = materialise(deck(t), "units").withColumn("actual", F.col("ratio") * F.col("x"))
     out = hotdeck.hot_deck_bootstrap(df, 3, ["c1", "c2", "c3"], "x", "ratio", "x", "actual", "id", "row")
     err = F.col("residual") * F.col("residual")
     seen = F.when(F.col("predicted").isNotNull(), F.col("actual"))
