@@ -913,3 +913,22 @@ def test_hot_deck_orders_hot_groups_twice_only(spark, monkeypatch):
         pairs = [(abs(a[3] - b[3]), b[1], b[0]) for b in data if b[0] % 3 < 2 and a[2] == b[2] and a[1] != b[1]]
         want += [(a[0], d, u, r / 100) for d, u, r in sorted(pairs)[:1]]
     assert got == sorted(want, key=str) and written == ["sliced", "sliced"]
+
+
+def test_a_block_is_bounded_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v, q = rng.random((3000, 20)), rng.random((300, 20))
+    donors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "_d int, _v array<double>")
+    coder, none, shapes = Quantiser(donors, 20), np.zeros((3000, 0), np.int64), []
+    code = coder.encode(v)
+    off = np.sqrt(((v - coder.decode(code)) ** 2).sum(axis=1))
+    plain = coder._bounds
+    monkeypatch.setattr(coder, "_bounds", lambda *a: (shapes.append((len(a[0]), len(a[2]))), plain(*a))[1])
+    limit, same = np.where(np.arange(300) % 3, np.inf, 0.4), (np.arange(300), np.arange(3000))
+    i, j, up, low = coder.within(q, none[:300], limit, code, off, none, 4, same)
+    assert max(a * b for a, b in shapes) <= 256 * 2048
+    below, above = coder.bounds(q, none[:300], code, off, none)
+    below[np.arange(300), np.arange(300)] = above[np.arange(300), np.arange(300)] = np.inf
+    far = np.minimum(limit, np.sort(above, axis=1)[:, 3])
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(below <= far[:, None] + 1e-8)), strict=True))
+    assert np.allclose(up, above[i, j]) and np.allclose(low, below[i, j])
